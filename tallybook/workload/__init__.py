@@ -4,7 +4,7 @@ from importlib import import_module
 
 from tallybook.workload import registry
 
-MODULES = ["summaries"]
+MODULES = ["summaries", "text"]
 
 
 def _load():
