@@ -126,9 +126,12 @@ class _Adjust:
         return self._edit(scores, cond, category, lambda s: F.greatest(F.lit(0), s - n))
 
 
-def adjust_scores(scores: Column | str, cleaned: Column | str, merchant: Column | str) -> Column:
-    """Context rules for merchants that span categories; the first group of rules ends the adjustment."""
-    n, m, s0 = col(cleaned), col(merchant), col(scores)
+def adjust_scores(df: DataFrame) -> DataFrame:
+    """Adds `adjusted`: context rules for merchants that span categories; the first group of rules ends the adjustment.
+
+    Each rule is its own projection over the carried vector, so no expression nests deeper than one rule.
+    """
+    n, m, s0 = F.col("cleaned"), F.col("merchant"), F.col("scores")
     has = lambda *words: contains_any(n, words)
     either = lambda w: n.contains(w) | m.contains(w)
     adj = _Adjust()
@@ -180,19 +183,14 @@ def adjust_scores(scores: Column | str, cleaned: Column | str, merchant: Column
         (adj.add, costco & care, "Health", 3),
         (adj.add, costco & ~care & has("instacart", "grocery", "food"), "Groceries", 2),
     ]
-    carried = F.array(s0)
-
-    def applied(edit, cond, category, k):
-        return lambda s: edit(s, cond, category, k)
-
-    for e in edits:
-        carried = F.transform(carried, applied(*e))
-    wallet = n.rlike(r"\b(paypal|venmo)\b")
-    lower = lambda s: F.transform(s, lambda x: F.struct(x["category"].alias("category"), (x["score"] - 1).alias("score"), x["ord"].alias("ord")))
-    carried = F.transform(carried, lambda s: F.when(wallet, lower(s)).otherwise(s))
-    counter = n.rlike(r"tst|sq\s*\*|spring district")
-    carried = F.transform(carried, lambda s: adj.add(s, counter, "Food & Dining", 3))
-    return first_match(final, carried[0])
+    df = df.withColumn("adjusted", s0)
+    carried = F.col("adjusted")
+    for edit, cond, category, k in edits:
+        df = df.withColumn("adjusted", edit(carried, cond, category, k))
+    lower = F.transform(carried, lambda x: F.struct(x["category"].alias("category"), (x["score"] - 1).alias("score"), x["ord"].alias("ord")))
+    df = df.withColumn("adjusted", F.when(n.rlike(r"\b(paypal|venmo)\b"), lower).otherwise(carried))
+    df = df.withColumn("adjusted", adj.add(carried, n.rlike(r"tst|sq\s*\*|spring district"), "Food & Dining", 3))
+    return df.withColumn("adjusted", first_match(final, carried))
 
 
 def verdict(scores: Column | str) -> Column:
@@ -216,13 +214,17 @@ def verdict(scores: Column | str) -> Column:
 
 
 def text_profile(rows: DataFrame, text: str = "description") -> DataFrame:
-    """Everything classification needs from the text alone, one row per distinct descriptor."""
+    """Everything classification needs from the text alone, one row per distinct descriptor.
+
+    Use explode_outer on the array columns: a plain explode infers a size filter that the optimizer would push through
+    the staged projections, repeating their expressions.
+    """
     d = rows.select(F.col(text).alias("description")).distinct()
     d = d.withColumn("cleaned", clean_description("description"))
     d = d.withColumn("merchant", merchant_alias("cleaned"))
     d = d.withColumn("hits", pattern_hits("cleaned", "merchant"))
     d = d.withColumn("scores", scores_from_hits("hits"))
-    d = d.withColumn("adjusted", adjust_scores("scores", "cleaned", "merchant"))
+    d = adjust_scores(d)
     d = d.withColumn("v", verdict("adjusted"))
     c = F.col("cleaned")
     foreign = (F.col("v.category") == "Other") & ~F.col("merchant").rlike("[a-zA-Z]{3,}")
@@ -266,7 +268,7 @@ def decide(profiled: DataFrame) -> DataFrame:
             (kind == "loan_payment", pack("expense", loan, "high", False, None)),
             (kind != "expense", pack(kind, other, F.when(why.isNull(), "high").otherwise("low"), why.isNotNull(), why)),
         ],
-        pack("expense", F.col("best_category"), F.col("best_confidence"), F.col("best_review") | (F.col("best_reason") == "international_merchant"), F.col("best_reason")),
+        pack("expense", F.col("best_category"), F.col("best_confidence"), F.col("best_review") | F.col("best_reason").eqNullSafe("international_merchant"), F.col("best_reason")),
     )
     df = df.withColumn("r", result)
     hint = F.when(~ruled & summary, False).when(~ruled & (kind == "cash"), False).when(~ruled & (kind == "loan_payment"), True)

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from tallybook.workload import registry
 
-MODULES = ["summaries", "text"]
+MODULES = ["summaries", "text", "matching", "insight_queries"]
 
 
 def _load():

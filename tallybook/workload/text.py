@@ -379,13 +379,13 @@ def d1(t):
  (values {', '.join(f"({i}, {sc}, {q(c)})" for i, (_, sc, c) in enumerate(v.CATEGORY_PATTERNS))}) c(i, score, category) where list_contains(p.hits, c.i) group by 1, 2""",
 )
 def d2(t):
-    prof = cl.text_profile(t.ledger, "memo").select("description", F.explode("scores").alias("s"))
+    prof = cl.text_profile(t.ledger, "memo").select("description", F.explode_outer("scores").alias("s")).filter("s is not null")
     return prof.select("description", "s.category", "s.score", F.col("s.ord").alias("first_pattern"))
 
 
 @query("d3_adjusted_scores", f"with {PROF} select description, r.c as category, (-r.n)::bigint as score from (select description, unnest(ranked) as r from prof)")
 def d3(t):
-    prof = cl.text_profile(t.ledger, "memo").select("description", F.explode("adjusted").alias("s"))
+    prof = cl.text_profile(t.ledger, "memo").select("description", F.explode_outer("adjusted").alias("s")).filter("s is not null")
     return prof.select("description", "s.category", "s.score")
 
 
