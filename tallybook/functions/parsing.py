@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallybook.columns import MONEY, col, contains_any, first_match, lookup
+from tallybook.columns import MONEY, col, contains_any, first_match, lookup, squash
 from tallybook.functions import fixed_values as v
 
 # Month names, date shapes and their group order, masks, typo domains.
@@ -46,21 +48,23 @@ HEADER_ISSUERS = [
 ISSUER_SYNONYMS = {"Citi": "Citibank", "Barclays": "Barclays US", "Ally": "Ally Bank", "Marcus": "Marcus by Goldman Sachs"}
 
 
+# Each numeric shape rewritten to year-month-day, and the formats with month names.
+ISO_REWRITES = [
+    (r"^(\d{1,2})[/-](20\d{2})$", "$2-$1-1"), (r"^(20\d{2})[/-](\d{1,2})$", "$1-$2-1"), (rf"^{_MM}/(\d{{4}})$", "$2-$1-1"),
+    (rf"^{_MM}/{_DD}/(\d{{4}})$", "$3-$1-$2"), (rf"^{_MM}-{_DD}-(\d{{4}})$", "$3-$1-$2"),
+    (rf"^{_MM}([/-]){_DD}\2(69|[7-9]\d)$", "19$4-$1-$3"), (rf"^{_MM}([/-]){_DD}\2(\d{{2}})$", "20$4-$1-$3"),
+    (rf"^(\d{{4}}){_MM}{_DD}$", "$1-$2-$3"),
+]
+NAMED_FORMATS = ["MMMM d yyyy", "MMM d yyyy", "d MMMM yyyy", "d MMM yyyy"]
+
+
 def parse_date(text: Column | str) -> Column:
     """Date of a statement cell in any of the known shapes; month-only values give day 1; anything else NULL."""
-    raw = F.trim(col(text))
-    flat = F.trim(F.replace(raw, F.lit(","), F.lit("")))
-
-    def build(src: Column, shape: str, order: str) -> Column:
-        part = {k: F.regexp_extract(src, shape, i) for i, k in enumerate(order, 1)}
-        year = part["y"]
-        year = F.when(F.length(year) == 2, F.concat(F.when(year >= "69", "19").otherwise("20"), year)).otherwise(year)
-        month = F.coalesce(lookup(F.lower(part["m"]), MONTH_NUMBERS), F.lpad(part["m"], 2, "0"))
-        day = F.lpad(part["d"], 2, "0") if "d" in part else F.lit("01")
-        return F.when(src.rlike(shape), F.concat(year, F.lit("-"), month, F.lit("-"), day).try_cast("date"))
-
-    shapes = [build(raw, s, o) for s, o in PARTIAL_SHAPES[:2]] + [build(flat, s, o) for s, o in DATE_SHAPES]
-    return F.coalesce(*shapes, build(flat, *PARTIAL_SHAPES[2]))
+    flat = squash(F.replace(col(text), F.lit(","), F.lit("")))
+    iso = reduce(lambda d, pr: F.regexp_replace(d, *pr), ISO_REWRITES, flat)
+    numeric = F.when(iso.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), iso.try_cast("date"))
+    named = [F.to_date(F.try_to_timestamp(flat, F.lit(f))) for f in NAMED_FORMATS]
+    return F.when(flat.rlike("[A-Za-z]"), F.coalesce(*named)).otherwise(numeric)
 
 
 def _signed(text: Column) -> Column:

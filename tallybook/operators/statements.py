@@ -73,17 +73,19 @@ def upload_totals(manifest: DataFrame) -> DataFrame:
 
 def chunk_bounds(lines: Column, size: int = CHUNK_LINES, reach: int = CHUNK_REACH) -> Column:
     """array<struct(start, stop)>: cuts after about `size` lines, moved forward to the next dated line within `reach`."""
-    n = F.size(lines)
     dated = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(DATED_LINE), i)), lambda i: i.isNotNull())
-    begin = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,stop:int>>)").alias("cuts"))
+    # Length and dated positions ride in the accumulator, so they are computed once per text and not once per cut.
+    begin = F.struct(F.lit(0).alias("at"), F.size(lines).alias("n"), dated.alias("dated"), F.expr("cast(array() as array<struct<start:int,stop:int>>)").alias("cuts"))
 
     def step(acc, _):
+        n = acc["n"]
         soft = F.least(acc["at"] + size, n)
-        stop = F.least(n, soft + reach, F.coalesce(F.array_min(F.filter(dated, lambda d: d >= soft)), n))
-        more = F.struct(stop.alias("at"), F.concat(acc["cuts"], F.array(F.struct(acc["at"].alias("start"), stop.alias("stop")))).alias("cuts"))
+        stop = F.least(n, soft + reach, F.coalesce(F.array_min(F.filter(acc["dated"], lambda d: d >= soft)), n))
+        cuts = F.concat(acc["cuts"], F.array(F.struct(acc["at"].alias("start"), stop.alias("stop"))))
+        more = F.struct(stop.alias("at"), n.alias("n"), acc["dated"].alias("dated"), cuts.alias("cuts"))
         return F.when(acc["at"] >= n, acc).otherwise(more)
 
-    return F.aggregate(F.sequence(F.lit(0), F.floor(n / size).cast("int")), begin, step)["cuts"]
+    return F.aggregate(F.sequence(F.lit(0), F.floor(F.size(lines) / size).cast("int")), begin, step)["cuts"]
 
 
 def chunk_text(texts: DataFrame, overlap: int = CHUNK_OVERLAP) -> DataFrame:
