@@ -159,3 +159,13 @@ def round_ratio_up(num: Column | str, den: Column | str, scale: int = 1) -> Colu
     """round(num * scale / den) with halves going up (the web client's rounding)."""
     num, den = col(num).cast("long"), F.nullif(col(den).cast("long"), F.lit(0).cast("long"))
     return floor_div(num * (2 * scale) + den, den * 2)
+
+
+def distinct_texts(rows: DataFrame, c: str, name: str = "description") -> DataFrame:
+    """Distinct values of a text column, spread over all tasks.
+
+    The values are few bytes but expensive to work on; an explicit partition count keeps adaptive execution from
+    coalescing them into one task.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select(F.col(c).alias(name)).distinct().repartition(n, name)

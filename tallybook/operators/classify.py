@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.columns import col, contains_any, first_match
+from tallybook.columns import col, contains_any, distinct_texts, first_match
 from tallybook.functions import fixed_values as v
 from tallybook.functions import parsing as p
 from tallybook.functions.merchants import clean_description, merchant_alias
@@ -219,7 +219,7 @@ def text_profile(rows: DataFrame, text: str = "description") -> DataFrame:
     Use explode_outer on the array columns: a plain explode infers a size filter that the optimizer would push through
     the staged projections, repeating their expressions.
     """
-    d = rows.select(F.col(text).alias("description")).distinct()
+    d = distinct_texts(rows, text)
     d = d.withColumn("cleaned", clean_description("description"))
     d = d.withColumn("merchant", merchant_alias("cleaned"))
     d = d.withColumn("hits", pattern_hits("cleaned", "merchant"))

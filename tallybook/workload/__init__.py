@@ -4,7 +4,7 @@ from importlib import import_module
 
 from tallybook.workload import registry
 
-MODULES = ["summaries", "text", "matching", "insight_queries", "analysis_queries", "upkeep", "source_queries"]
+MODULES = ["summaries", "text", "matching", "insight_queries", "analysis_queries", "upkeep", "source_queries", "stream_queries"]
 
 
 def _load():

@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from tallybook import columns as C
 from tallybook.functions import fixed_values as v
-from tallybook.functions import fingerprints as fp
 from tallybook.functions import merchants as mt
 from tallybook.functions import parsing as ps
 from tallybook.functions import signals as sg
 from tallybook.operators import aggregates as agg
 from tallybook.operators import classify as cl
 from tallybook.operators import recurrence as rec
+from tallybook.operators.dedup import with_fingerprint
 from tallybook.workload import sqltext as s
 from tallybook.workload.registry import LIVE, SPEND, query, rr, title, usd, usd_plain
 from tallybook.workload.summaries import MONTHS, m
@@ -59,8 +59,8 @@ FP = f"""sha256(case when ext_id is not null then concat_ws('|', bank_source, ac
 select transaction_id, {FP} as fingerprint from ledger join st on memo = text""",
 )
 def c4(t):
-    f = fp.fingerprint("bank_source", "account_name", "transaction_date", "amount", "memo", "ext_id")
-    return t.ledger.select("transaction_id", f.alias("fingerprint"))
+    rows = t.ledger.drop("description").withColumnRenamed("memo", "description")
+    return with_fingerprint(rows).select("transaction_id", "fingerprint")
 
 
 @query("c5_recurrence_key", f"select text, {s.recurrence_key('text')} as merchant_key, substr(merchant_key, 1, 8) as key8 from {BOTH}")
@@ -367,7 +367,7 @@ NORULE = "null::bigint as rule_id, null::varchar as rule_type, null::varchar as
 select transaction_id, {s.typed('rl', 'cents > 0', 'bank_source')[0]} as transaction_type, {s.typed('rl', 'cents > 0', 'bank_source')[1]} as reason from x""",
 )
 def d1(t):
-    texts = t.ledger.select("memo").distinct().withColumn("cleaned", mt.clean_description("memo"))
+    texts = C.distinct_texts(t.ledger, "memo", "memo").withColumn("cleaned", mt.clean_description("memo"))
     texts = texts.select("memo", cl._type_rules(F.col("cleaned"), True).alias("rule_in"), cl._type_rules(F.col("cleaned"), False).alias("rule_out"))
     x = t.ledger.join(texts, "memo").withColumn("r", cl.resolve_type("rule_in", "rule_out", "amount", "bank_source"))
     return x.select("transaction_id", F.col("r.type").alias("transaction_type"), F.col("r.reason").alias("reason"))
@@ -424,7 +424,7 @@ def merchant_rules(t):
  where coalesce(o.id, g.id) is not null""",
 )
 def d5(t):
-    texts = t.ledger.select(F.col("memo").alias("description")).distinct().withColumn("cleaned", mt.clean_description("description"))
+    texts = C.distinct_texts(t.ledger, "memo").withColumn("cleaned", mt.clean_description("description"))
     texts = texts.withColumn("merchant", mt.merchant_alias("cleaned"))
     best = cl.best_rules(texts, merchant_rules(t))
     own = best.filter("rule_user is not null").select(F.col("rule_user").alias("user_id"), F.col("description").alias("memo"), F.col("best").alias("own"))
