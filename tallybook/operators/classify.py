@@ -282,38 +282,61 @@ def _ngrams(text: Column, longest: int = 3) -> Column:
     return F.array_distinct(F.flatten(F.array(*[of(k) for k in range(1, longest + 1)])))
 
 
-def best_rules(texts: DataFrame, rules: DataFrame) -> DataFrame:
-    """Best matching rule per (user or global, description).
+SHARED = "*"
+# A pattern without alternation that starts with plain characters contains them in every match.
+PLAIN_START = r"^\^?([a-z0-9 ]{3})(?:[a-z0-9 ]|(?![*?{|+]))"
 
-    `texts` is (description, cleaned, merchant). Exact, prefix and substring rules meet their texts by equi joins (on the
-    value, on every prefix, on a first-trigram anchor that is then verified); only regex rules need a nested loop. The
-    winner is kept by a map-side-combining min_by, so a rule that matches everything never builds one big group.
-    Invalid regex rules must be rejected when rules are stored.
+
+def best_rules(texts: DataFrame, rules: DataFrame, user_texts: DataFrame) -> DataFrame:
+    """Best matching rule per (rule_user, description); rule_user is '*' for global rules.
+
+    `texts` is (description, cleaned, merchant), `user_texts` the (user_id, description) pairs that occur. A user's rules
+    meet only that user's texts. Exact, prefix, substring and plainly starting regex rules meet them by equi joins (on the
+    value, on every prefix, on a three-character anchor that is then verified); only other regex rules are compared with
+    every text of their scope. Equal rules collapse to the best one first and the winner is kept by a map-side-combining
+    min_by, so a rule that matches everything never builds one big group. Invalid regex rules must be rejected when stored.
     """
+    order = F.struct((-F.col("priority")).alias("p"), first_match([(F.col("how") == h, n) for h, n in RULE_MATCH_ORDER.items()], 2).alias("h"), F.col("id"))
     r = rules.filter(F.coalesce("is_active", F.lit(True))).select(
-        "id", F.col("user_id").alias("rule_user"), F.coalesce("match_field", F.lit("merchant")).alias("field"),
+        "id", F.coalesce("user_id", F.lit(SHARED)).alias("rule_user"), F.when(F.coalesce("match_field", F.lit("merchant")) == "merchant", "merchant").otherwise("description").alias("field"),
         F.lower(F.coalesce("match_value", F.lit(""))).alias("value"), F.coalesce("match_type", F.lit("contains")).alias("how"),
-        F.coalesce("priority", F.lit(0)).alias("priority"), F.coalesce("transaction_type", F.lit("expense")).alias("rule_type"),
+        F.coalesce("priority", F.lit(0)).cast("long").alias("priority"), F.coalesce("transaction_type", F.lit("expense")).alias("rule_type"),
         F.coalesce("category", F.lit("Other")).alias("rule_category"),
         F.when(F.coalesce("confidence_override", F.lit(0.0)) >= 0.8, "high").otherwise("medium").alias("rule_confidence"),
-    ).filter("value <> ''").withColumn("field", F.when(F.col("field") == "merchant", "merchant").otherwise("description"))
+    ).filter("value <> ''")
+    pick = F.struct(F.col("id").alias("rule_id"), "rule_type", "rule_category", "rule_confidence")
+    r = r.groupBy("rule_user", "field", "how", "value").agg(F.min(F.struct(order.alias("o"), pick.alias("b"))).alias("best"))
+    owners = r.select("rule_user").distinct()
+    own = user_texts.select(F.col("user_id").alias("rule_user"), "description").join(owners, "rule_user", "left_semi").join(texts, "description")
+    scoped = own.select("rule_user", "description", "cleaned", "merchant").unionByName(texts.select(F.lit(SHARED).alias("rule_user"), "description", "cleaned", "merchant"))
     both = F.explode(F.array(
         F.struct(F.lit("merchant").alias("field"), F.col("merchant").alias("target")),
         F.struct(F.lit("description").alias("field"), F.col("cleaned").alias("target"))))
-    t = texts.select("description", both.alias("x")).select("description", "x.field", "x.target")
-    exact = t.join(r.filter("how = 'exact'"), (t.field == r.field) & (t.target == r.value)).drop(r.field)
-    prefixes = t.withColumn("prefix", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("target"), F.lit(1))), lambda i: F.substring("target", F.lit(1), i))))
-    rs = r.filter("how = 'starts_with'")
-    starts = prefixes.join(rs, (prefixes.field == rs.field) & (prefixes.prefix == rs.value)).drop(rs.field).drop("prefix")
-    rc = r.filter("how = 'contains'").withColumn("anchor", F.substring("value", 1, 3))
+    t = scoped.select("rule_user", "description", both.alias("x")).select("rule_user", "description", "x.field", "x.target")
+    keys = ["rule_user", "field"]
+    exact = t.withColumnRenamed("target", "value").join(r.filter("how = 'exact'"), [*keys, "value"])
+    prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.length("target"), F.lit(1))), lambda i: F.substring("target", F.lit(1), i))
+    starts = t.withColumn("value", F.explode(prefixes)).join(r.filter("how = 'starts_with'"), [*keys, "value"])
+    rx_anchor = F.when(~F.col("value").contains("|"), F.nullif(F.regexp_extract("value", PLAIN_START, 1), F.lit("")))
+    anchor = F.when(F.col("how") == "contains", F.substring("value", 1, 3)).when(F.col("how") == "regex", rx_anchor)
+    anchored = r.withColumn("gram", anchor)
     grams = t.withColumn("gram", F.explode(_ngrams(F.col("target"))))
-    inside = grams.join(rc, (grams.field == rc.field) & (grams.gram == rc.anchor) & grams.target.contains(rc.value)).drop(rc.field).drop("gram", "anchor")
-    rx = r.filter("how = 'regex'")
-    regex = t.join(rx, (t.field == rx.field) & F.rlike(t.target, F.concat(F.lit("(?i)"), rx.value))).drop(rx.field)
-    hits = exact.unionByName(starts).unionByName(inside).unionByName(regex)
-    order = F.struct(-F.col("priority"), first_match([(F.col("how") == h, n) for h, n in RULE_MATCH_ORDER.items()], 2), F.col("id"))
-    pick = F.struct(F.col("id").alias("rule_id"), "rule_type", "rule_category", "rule_confidence")
-    return hits.groupBy("rule_user", "description").agg(F.min_by(pick, order).alias("best"))
+    found = F.when(F.col("how") == "contains", F.col("target").contains(F.col("value"))).otherwise(F.rlike("target", F.concat(F.lit("(?i)"), "value")))
+    inside = grams.join(anchored.filter("gram is not null"), [*keys, "gram"]).filter(found)
+    loose = t.join(anchored.filter("gram is null and how = 'regex'"), keys).filter(F.rlike("target", F.concat(F.lit("(?i)"), "value")))
+    cols = ["rule_user", "description", "best"]
+    hits = exact.select(*cols).unionByName(starts.select(*cols)).unionByName(inside.select(*cols)).unionByName(loose.select(*cols))
+    return hits.groupBy("rule_user", "description").agg(F.min("best").alias("best")).select("rule_user", "description", F.col("best.b").alias("best"))
+
+
+def with_best_rule(rows: DataFrame, texts: DataFrame, rules: DataFrame, text: str) -> DataFrame:
+    """Adds `best` (the user's rule before a global one) and `rule_scope`."""
+    best = best_rules(texts, rules, rows.select("user_id", F.col(text).alias("description")).distinct())
+    own = best.filter(F.col("rule_user") != SHARED).select(F.col("rule_user").alias("user_id"), F.col("description").alias(text), F.col("best").alias("own"))
+    everyone = best.filter(F.col("rule_user") == SHARED).select(F.col("description").alias(text), F.col("best").alias("shared"))
+    rows = rows.join(own, ["user_id", text], "left").join(everyone, text, "left")
+    scope = F.when(F.col("own").isNotNull(), "user").when(F.col("shared").isNotNull(), "global").otherwise("classifier")
+    return rows.withColumn("best", F.coalesce("own", "shared")).withColumn("rule_scope", scope).drop("own", "shared")
 
 
 def classify(ledger: DataFrame, rules: DataFrame | None = None, text: str = "description") -> DataFrame:
@@ -324,11 +347,7 @@ def classify(ledger: DataFrame, rules: DataFrame | None = None, text: str = "des
     if rules is None:
         rows = rows.withColumn("best", empty)
     else:
-        best = best_rules(profile.select("description", "cleaned", "merchant"), rules)
-        own = best.filter("rule_user is not null").select(F.col("rule_user").alias("user_id"), F.col("description").alias(text), F.col("best").alias("own"))
-        everyone = best.filter("rule_user is null").select(F.col("description").alias(text), F.col("best").alias("shared"))
-        rows = rows.join(own, ["user_id", text], "left").join(everyone, text, "left")
-        rows = rows.withColumn("best", F.coalesce("own", "shared")).withColumn("rule_scope", F.when(F.col("own").isNotNull(), "user").when(F.col("shared").isNotNull(), "global").otherwise("classifier")).drop("own", "shared")
+        rows = with_best_rule(rows, profile.select("description", "cleaned", "merchant"), rules, text)
     return decide(rows.select("*", "best.*").drop("best"))
 
 

@@ -426,11 +426,8 @@ def merchant_rules(t):
 def d5(t):
     texts = C.distinct_texts(t.ledger, "memo").withColumn("cleaned", mt.clean_description("description"))
     texts = texts.withColumn("merchant", mt.merchant_alias("cleaned"))
-    best = cl.best_rules(texts, merchant_rules(t))
-    own = best.filter("rule_user is not null").select(F.col("rule_user").alias("user_id"), F.col("description").alias("memo"), F.col("best").alias("own"))
-    shared = best.filter("rule_user is null").select(F.col("description").alias("memo"), F.col("best").alias("shared"))
-    rows = t.ledger.join(own, ["user_id", "memo"], "left").join(shared, "memo", "left").withColumn("b", F.coalesce("own", "shared")).filter("b is not null")
-    return rows.select("transaction_id", "b.rule_id", F.when(F.col("own").isNotNull(), "user").otherwise("global").alias("scope"), F.col("b.rule_category").alias("category"), F.col("b.rule_confidence").alias("confidence"))
+    rows = cl.with_best_rule(t.ledger, texts, merchant_rules(t), "memo").filter("best is not null")
+    return rows.select("transaction_id", "best.rule_id", F.col("rule_scope").alias("scope"), F.col("best.rule_category").alias("category"), F.col("best.rule_confidence").alias("confidence"))
 
 
 @query(
