@@ -10,18 +10,9 @@ from pyspark.sql import functions as F
 from tallybook.columns import MONEY, col, contains_any, first_match, lookup, squash
 from tallybook.functions import fixed_values as v
 
-# Month names, date shapes and their group order, masks, typo domains.
+# Month names, month and day digits, masks, typo domains.
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
-MONTH_NUMBERS = {m: f"{i:02d}" for i, m in enumerate(MONTHS, 1)} | {m[:3]: f"{i:02d}" for i, m in enumerate(MONTHS, 1)}
-_NAMES = "|".join(MONTHS + [m[:3] for m in MONTHS if len(m) > 3])
 _MM, _DD = r"(1[0-2]|0[1-9]|[1-9])", r"(3[01]|[12]\d|0[1-9]|[1-9])"
-DATE_SHAPES = [
-    (rf"^{_MM}/{_DD}/(\d{{4}})$", "mdy"), (rf"^{_MM}/{_DD}/(\d{{2}})$", "mdy"), (rf"^(\d{{4}})-{_MM}-{_DD}$", "ymd"),
-    (rf"^{_MM}-{_DD}-(\d{{4}})$", "mdy"), (rf"^{_MM}-{_DD}-(\d{{2}})$", "mdy"),
-    (rf"(?i)^({_NAMES})\s+{_DD}\s+(\d{{4}})$", "mdy"), (rf"(?i)^{_DD}\s+({_NAMES})\s+(\d{{4}})$", "dmy"),
-    (rf"^(\d{{4}}){_MM}{_DD}$", "ymd"),
-]
-PARTIAL_SHAPES = [(r"^(\d{1,2})[/-](20\d{2})$", "my"), (r"^(20\d{2})[/-](\d{1,2})$", "ym"), (rf"^{_MM}/(\d{{4}})$", "my")]
 MASKED_ACCOUNT = r"\b[X\*x]{3,}[ -]?(\d{4})\b"
 LONG_ACCOUNT = r"\b\d{8,}(\d{4})\b"
 GROUPED_ACCOUNT = r"\b(?:\d{3,6}[ -]){2,5}\d{3,6}\b"

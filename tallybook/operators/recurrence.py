@@ -19,9 +19,17 @@ def _moments(prefix: str = "") -> list[Column]:
     return [F.count(F.lit(1)).alias(f"{prefix}n"), F.sum(c).alias(f"{prefix}total"), squares(c).alias(f"{prefix}squares")]
 
 
+def _merged() -> list[Column]:
+    """Moments of finer groups added up."""
+    return [F.sum(c).alias(c) for c in ("n", "total", "squares")]
+
+
+def expenses(ledger: DataFrame) -> DataFrame:
+    return ledger.filter(is_spend()).withColumns({"ym": month_key(), "spent": F.abs(cents())})
+
+
 def keyed_expenses(ledger: DataFrame) -> DataFrame:
-    rows = ledger.filter(is_spend())
-    return rows.withColumns({"key8": mt.key8("description"), "ym": month_key(), "spent": F.abs(cents())})
+    return expenses(ledger).withColumn("key8", mt.key8("description"))
 
 
 def _signal(label: str, conf: int) -> Column:
@@ -30,9 +38,11 @@ def _signal(label: str, conf: int) -> Column:
 
 def recurrence_signals(ledger: DataFrame) -> DataFrame:
     """Per user and merchant key: months present, all months, variation and the resulting label/confidence (hundredths)."""
-    rows = keyed_expenses(ledger)
-    months = rows.groupBy("user_id").agg(F.count_distinct("ym").alias("total_months"))
-    by_month = rows.filter("key8 <> ''").groupBy("user_id", "key8", "ym").agg(*_moments())
+    rows = expenses(ledger)
+    months = rows.select("user_id", "ym").distinct().groupBy("user_id").agg(F.count(F.lit(1)).alias("total_months"))
+    # Descriptions combine before the merchant key is worked out, so that text work is per description and month.
+    by_text = rows.groupBy("user_id", "description", "ym").agg(*_moments()).withColumn("key8", mt.key8("description"))
+    by_month = by_text.filter("key8 <> ''").groupBy("user_id", "key8", "ym").agg(*_merged())
     per_key = by_month.groupBy("user_id", "key8").agg(
         F.count(F.lit(1)).alias("present"), F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"),
         (F.max(month_index("ym")) - F.min(month_index("ym"))).alias("span"),
@@ -60,7 +70,7 @@ def recurrence_signals(ledger: DataFrame) -> DataFrame:
 
 def amount_profile(ledger: DataFrame) -> DataFrame:
     """Mean and sample deviation of each user's expense amounts, in cents."""
-    m = keyed_expenses(ledger).groupBy("user_id").agg(*_moments("a_"))
+    m = expenses(ledger).groupBy("user_id").agg(*_moments("a_"))
     sd = sample_stddev(F.col("a_n"), F.col("a_total"), F.col("a_squares"))
     return m.select("user_id", "a_n", (F.col("a_total") / F.col("a_n")).alias("a_mean"), sd.alias("a_sd"))
 
@@ -78,7 +88,7 @@ def amount_signal() -> Column:
 
 
 def with_amount_signal(ledger: DataFrame) -> DataFrame:
-    rows = keyed_expenses(ledger).join(amount_profile(ledger), "user_id")
+    rows = expenses(ledger).join(amount_profile(ledger), "user_id")
     return rows.withColumn("amt", amount_signal())
 
 
@@ -87,7 +97,7 @@ def fixed_or_variable(ledger: DataFrame, confirmed: DataFrame | None = None) ->
 
     `confirmed` is (user_id, key8, is_fixed): a user's own decision per merchant key overrides everything.
     """
-    rows = with_amount_signal(ledger)
+    rows = with_amount_signal(ledger).withColumn("key8", mt.key8("description"))
     rec = recurrence_signals(ledger).select("user_id", "key8", "rec_label", "rec_conf")
     rows = rows.join(rec, ["user_id", "key8"], "left")
     if confirmed is None:
@@ -127,16 +137,19 @@ def fixed_or_variable(ledger: DataFrame, confirmed: DataFrame | None = None) ->
     )
 
 
-def _shortest_name() -> Column:
-    """Shortest spelling of a group; the latest one among equals."""
-    return F.max_by("raw", F.struct(-F.length("raw"), F.col("seq")))
+def _by_dedup_key(rows: DataFrame) -> DataFrame:
+    """Moments per user and dedup key with the shortest spelling (the latest among equals); input carries raw, spent, seq.
+
+    Equal spellings combine first, so the key is worked out once per user and spelling.
+    """
+    by_raw = rows.groupBy("user_id", "raw").agg(*_moments(), F.max("seq").alias("seq")).withColumn("dk", mt.dedup_key("raw"))
+    return by_raw.groupBy("user_id", "dk").agg(*_merged(), F.max_by("raw", F.struct(-F.length("raw"), F.col("seq"))).alias("raw"))
 
 
 def fixed_groups(rows: DataFrame) -> DataFrame:
     """Fixed rows grouped by user and dedup key (cents)."""
     raw = F.trim(F.coalesce(F.nullif(F.col("description"), F.lit("")), F.nullif(F.col("category"), F.lit("")), F.lit("Other")))
-    keyed = rows.filter("is_fixed").withColumn("raw", raw).withColumns({"dk": mt.dedup_key("raw"), "spent": F.abs(cents())})
-    g = keyed.groupBy("user_id", "dk").agg(*_moments(), _shortest_name().alias("raw"))
+    g = _by_dedup_key(rows.filter("is_fixed").withColumns({"raw": raw, "spent": F.abs(cents())}))
     sd = sample_stddev(F.col("n"), F.col("total"), F.col("squares"))
     varies = (F.col("n") > 1) & (F.col("total") > 0) & (sd / (F.col("total") / F.col("n")) > 0.05)
     return g.select("user_id", "dk", mt.group_display_name("raw").alias("merchant"), "total", round_ratio("total", "n").alias("avg"), F.coalesce(varies, F.lit(False)).alias("varies"), F.col("n").alias("occurrences"))
@@ -154,8 +167,7 @@ def newly_recurring(ledger: DataFrame) -> DataFrame:
 
 def subscription_groups(rows: DataFrame) -> DataFrame:
     subs = rows.filter(sg.is_subscription("category", "description"))
-    keyed = subs.withColumn("raw", F.trim(F.coalesce("description", F.lit("")))).withColumns({"dk": mt.dedup_key("raw"), "spent": F.abs(cents())})
-    g = keyed.groupBy("user_id", "dk").agg(*_moments(), _shortest_name().alias("raw"))
+    g = _by_dedup_key(subs.withColumns({"raw": F.trim(F.coalesce("description", F.lit(""))), "spent": F.abs(cents())}))
     name = F.array_join(F.slice(tokens(title_case("raw")), 1, 2), " ")
     return g.select("user_id", "dk", name.alias("name"), round_ratio("total", "n").alias("avg"))
 

@@ -273,7 +273,7 @@ def g9b(t):
 # ---------------------------------------------------------------- projects: one per customer
 
 PROJECTS = """select c_custkey as id, 'u' || lpad('' || c_nationkey, 2, '0') as user_id, case c_custkey % 3 when 0 then 'savings' when 1 then 'debt' else 'custom' end as type,
- cast(abs(c_acctbal) / 4 as decimal(18,2)) as target_amount, case when c_custkey % 4 > 0 then date '2001-12-31' + cast(c_custkey % 90 as int) end as target_date,
+ cast(cast(floor(abs(c_acctbal) / 4) as bigint) as decimal(18,2)) as target_amount, case when c_custkey % 4 > 0 then date '2001-12-31' + cast(c_custkey % 90 as int) end as target_date,
  date '1998-01-01' + cast(c_custkey % 700 as int) as created_at, c_custkey % 10 = 0 as is_archived,
  case when c_custkey % 2 = 0 then c_mktsegment end as acct, case when c_custkey % 3 > 0 then 'Travel' end as cat,
  case when c_custkey % 5 > 0 then date '1996-01-01' + cast(c_custkey * 7 % 1500 as int) end as filter_start_date,

@@ -10,6 +10,18 @@ from tallybook.functions import parsing as ps
 from tallybook.operators import classify as cl
 from tallybook.workload.registry import title
 
+# Date shapes with their group order, as the reference SQL tries them.
+MONTHS, _MM, _DD = ps.MONTHS, ps._MM, ps._DD
+MONTH_NUMBERS = {m: f"{i:02d}" for i, m in enumerate(MONTHS, 1)} | {m[:3]: f"{i:02d}" for i, m in enumerate(MONTHS, 1)}
+_NAMES = "|".join(MONTHS + [m[:3] for m in MONTHS if len(m) > 3])
+DATE_SHAPES = [
+    (rf"^{_MM}/{_DD}/(\d{{4}})$", "mdy"), (rf"^{_MM}/{_DD}/(\d{{2}})$", "mdy"), (rf"^(\d{{4}})-{_MM}-{_DD}$", "ymd"),
+    (rf"^{_MM}-{_DD}-(\d{{4}})$", "mdy"), (rf"^{_MM}-{_DD}-(\d{{2}})$", "mdy"),
+    (rf"(?i)^({_NAMES})\s+{_DD}\s+(\d{{4}})$", "mdy"), (rf"(?i)^{_DD}\s+({_NAMES})\s+(\d{{4}})$", "dmy"),
+    (rf"^(\d{{4}}){_MM}{_DD}$", "ymd"),
+]
+PARTIAL_SHAPES = [(r"^(\d{1,2})[/-](20\d{2})$", "my"), (r"^(20\d{2})[/-](\d{1,2})$", "ym"), (rf"^{_MM}/(\d{{4}})$", "my")]
+
 
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
@@ -311,7 +323,7 @@ def decided(prefix: str = "") -> str:
 def parse_date(x: str) -> str:
     """Lateral-free SQL of the date parser over text `x`."""
     raw, flat = f"trim({x})", f"trim(replace({x}, ',', ''))"
-    months = "{" + ", ".join(f"{q(k)}: {q(n)}" for k, n in ps.MONTH_NUMBERS.items()) + "}"
+    months = "{" + ", ".join(f"{q(k)}: {q(n)}" for k, n in MONTH_NUMBERS.items()) + "}"
     months = "map " + months
 
     def one(src, shape, order):
@@ -322,7 +334,7 @@ def parse_date(x: str) -> str:
         day = f"lpad({g('d')}, 2, '0')" if "d" in order else "'01'"
         return f"case when {has(src, shape)} then try_cast({year} || '-' || {month} || '-' || {day} as date) end"
 
-    parts = [one(raw, s, o) for s, o in ps.PARTIAL_SHAPES[:2]] + [one(flat, s, o) for s, o in ps.DATE_SHAPES] + [one(flat, *ps.PARTIAL_SHAPES[2])]
+    parts = [one(raw, s, o) for s, o in PARTIAL_SHAPES[:2]] + [one(flat, s, o) for s, o in DATE_SHAPES] + [one(flat, *PARTIAL_SHAPES[2])]
     return f"coalesce({', '.join(parts)})"
 
 

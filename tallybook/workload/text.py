@@ -573,7 +573,7 @@ def d18(t):
 # ---------------------------------------------------------------- fixed and subscription summaries
 
 FIXEDSUM = f"""fk as (select description, {s.dedup_cols('description')} from (select distinct description from ledger)),
- fg as (select user_id, dk, count(*) as n, sum(-cents) as total, sum((cents * cents)::hugeint) as sq, arg_max(description, (-length(description), seq)) as raw
+ fg as (select user_id, dk, count(*) as n, sum(abs(cents)) as total, sum((cents * cents)::hugeint) as sq, arg_max(description, (-length(description), seq)) as raw
   from ledger join fk using (description) where {LIVE} and is_fixed group by 1, 2),
  fixsum as (select user_id, dk, merchant, {m('total')} as amount, {m(rr('total', 'n'))} as avg, total, n > 1 and total > 0 and coalesce({sd('n', 'total', 'sq')} / (total::double / n) > 0.05, false) as varies, n as occurrences
   from (select *, {s.group_name_cols('raw')} from fg))"""
