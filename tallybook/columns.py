@@ -169,3 +169,13 @@ def distinct_texts(rows: DataFrame, c: str, name: str = "description") -> DataFr
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.select(F.col(c).alias(name)).distinct().repartition(n, name)
+
+
+def staged(df: DataFrame, **cols: Column) -> DataFrame:
+    """Adds columns behind a one-row generator.
+
+    Filters on them are not pushed below the generator, so an expensive parse is evaluated once per row instead of once
+    per reference in every pushed-down predicate.
+    """
+    item = F.struct(*[c.alias(n) for n, c in cols.items()])
+    return df.select("*", F.explode_outer(F.array(item)).alias("_staged")).select("*", "_staged.*").drop("_staged")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.columns import contains_any, first_match
+from tallybook.columns import contains_any, first_match, staged
 from tallybook.functions import fixed_values as v
 from tallybook.functions import parsing as p
 
@@ -64,16 +64,16 @@ def parse_delimited(lines: DataFrame, issuers: DataFrame | None = None, source:
         top = lines.filter("line_no < 40").groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n").alias("head"))
         issuers = top.select("path", p.detect_issuer(name, "head", "head").alias("issuer"))
     rows = lines.join(h, "path").filter("line_no > header_no and trim(line) <> ''").join(issuers, "path")
-    rows = rows.withColumn("cells", cells("line"))
+    rows = staged(rows, cells=cells("line"))
     blank = lambda c: F.when(F.lower(F.trim(c)).isin("", "nan", "none"), None).otherwise(F.trim(c))
     split = F.exists("roles", lambda r: r.isin("debit", "credit"))
-    rows = rows.select(
-        "path", "line_no", "issuer", split.alias("split"), _cell("date").alias("raw_date"), blank(_cell("description")).alias("description"),
-        p.parse_amount_or_zero(_cell("debit")).alias("debit"), p.parse_amount_or_zero(_cell("credit")).alias("credit"), p.parse_amount_or_zero(_cell("amount")).alias("single"),
-        F.coalesce(blank(_cell("raw_category")), F.lit("")).alias("raw_category"), p.is_pending_status(_cell("status")).alias("is_pending"))
+    rows = staged(
+        rows.select("path", "line_no", "issuer", "roles", "cells"), split=split, raw_date=_cell("date"), description=blank(_cell("description")),
+        debit=p.parse_amount_or_zero(_cell("debit")), credit=p.parse_amount_or_zero(_cell("credit")), single=p.parse_amount_or_zero(_cell("amount")),
+        raw_category=F.coalesce(blank(_cell("raw_category")), F.lit("")), is_pending=p.is_pending_status(_cell("status")))
     both = first_match([(F.col("debit") != 0, -F.abs("debit")), (F.col("credit") != 0, F.abs("credit"))])
-    rows = rows.withColumn("amount", F.when(F.col("split"), both).otherwise(p.normalize_sign("single", "issuer")))
-    rows = rows.withColumn("transaction_date", p.parse_date("raw_date"))
+    amount = F.when(F.col("split"), both).otherwise(p.normalize_sign("single", "issuer"))
+    rows = staged(rows, amount=amount, transaction_date=p.parse_date("raw_date"))
     ok = F.col("transaction_date").isNotNull() & F.col("description").isNotNull() & ~p.is_non_transaction("description") & (F.coalesce("amount", F.lit(0)) != 0)
     return rows.filter(ok).select("path", "line_no", F.col("issuer").alias("bank_source"), "transaction_date", "raw_date", "description", "amount", "raw_category", "is_pending", F.lit(source).alias("source"))
 
