@@ -13,6 +13,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Text-heavy stages can generate methods the JVM refuses to compile (8000 bytecodes); such stages run faster split up.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
