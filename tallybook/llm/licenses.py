@@ -92,8 +92,8 @@ with sentences as (
 ), lines as (
   select doc_id, coalesce(string_agg(id, ' ' order by i), '') sentence_ids from mapped group by rowid_, doc_id
 ), matched as (
-  select doc_id, sentence_ids, list_filter([{names}], x -> x is not null) all_names from lines
+  select doc_id, sentence_ids, list_filter([{names}], lambda x: x is not null) all_names from lines
 ), named as (
-  select *, list_filter(all_names, (x, i) -> list_position(all_names, x) = i) names from matched
+  select *, list_filter(all_names, lambda x, i: list_position(all_names, x) = i) names from matched
 )
 select doc_id, sentence_ids, array_to_string(names, ',') licenses, names[1] license from named"""

@@ -75,10 +75,10 @@ QUERIES = {
 
 _TOP_K = """
 with v as (
-  select row_number() over () uid, vec_id, list_transform(embedding, x -> cast(floor(64 * x::double) as bigint)) e
-  from embeddings where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+  select row_number() over () uid, vec_id, list_transform(embedding, lambda x: cast(floor(64 * x::double) as bigint)) e
+  from embeddings where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), s as (
-  select q.vec_id query_id, q.uid quid, c.vec_id, cast(list_sum(list_transform(range(1, len(q.e) + 1), i -> q.e[i] * c.e[i])) as bigint) score
+  select q.vec_id query_id, q.uid quid, c.vec_id, cast(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) as bigint) score
   from v q join v c on q.uid <> c.uid and len(q.e) = len(c.e) where q.vec_id % 20 = 0
 )
 select query_id, cast(row_number() over (partition by quid order by score desc, vec_id nulls last) as integer) rank, vec_id, score from s
