@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
-from itertools import chain
+from itertools import islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Words that a worker remembers (about 100 MB); it starts anew beyond that.
-REMEMBERED = 400_000
+#: Words that a worker remembers (about 100 MB); beyond that it drops the latest quarter.
+REMEMBERED = 600_000
 #: Characters that one call of the tokenizer gets, a longer word excepted.
 CALL_CHARS = 200_000
 
@@ -51,22 +52,29 @@ class WordIds:
         self.flat = np.concatenate(flat)
         self.starts = np.r_[self.starts, self.starts[-1] + np.cumsum(np.concatenate(counts))]
 
+    def _keep_first(self):
+        """Drop what came last: common words come early."""
+        self.index = dict(islice(self.index.items(), REMEMBERED * 3 // 4))
+        self.starts = self.starts[: len(self.index) + 1]
+        self.flat = self.flat[: self.starts[-1]].copy()
+
     @staticmethod
     def _key(word: str) -> str:
         return word.lower() if word.isascii() and "<|" not in word else word
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the number of ids of each text. Null counts as empty."""
-        words = [(t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else []) for t in texts]
-        sizes = np.array([len(w) for w in words], np.int64)
+        rows = pa.array([t or "" for t in texts], pa.string())
+        for blank in "\n\t\r":
+            rows = pc.replace_substring(rows, blank, " ")
+        words = pc.split_pattern(rows, " ")
+        sizes = pc.list_value_length(words).to_numpy().astype(np.int64)
         if not sizes.sum():
-            return np.empty(0, np.uint32), np.zeros(len(words), np.int64)
-        codes, unique = pd.factorize(np.fromiter(chain.from_iterable(words), dtype=object, count=int(sizes.sum())))
+            return np.empty(0, np.uint32), np.zeros(len(rows), np.int64)
+        coded = words.flatten().dictionary_encode()
+        codes, unique = coded.indices.to_numpy(), coded.dictionary.to_pylist()
         keys = list(map(self._key, unique))
         new = [k for k in dict.fromkeys(keys) if k not in self.index]
-        if new and len(self.index) + len(new) > REMEMBERED:
-            self._forget()
-            new = list(dict.fromkeys(keys))
         if new:
             self._learn(new)
         word = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))[codes]
@@ -74,7 +82,10 @@ class WordIds:
         ends = np.cumsum(lengths)
         places = np.repeat(self.starts[word] - (ends - lengths), lengths) + np.arange(int(ends[-1]))
         bounds = np.r_[0, ends][np.r_[0, np.cumsum(sizes)]]
-        return self.flat[places], np.diff(bounds)
+        out = self.flat[places], np.diff(bounds)
+        if len(self.index) > REMEMBERED:
+            self._keep_first()
+        return out
 
 
 @lru_cache(maxsize=2)
