@@ -129,7 +129,7 @@ def month_short(ym: Column | str) -> Column:
 def title_case(c: Column | str) -> Column:
     """Capitalise every run of letters (also after punctuation), lower-case the rest."""
     runs = F.regexp_extract_all(F.lower(col(c)), F.lit("([a-z]+|[^a-z]+)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 10000))), "")
+    return F.array_join(F.transform(runs, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), "")
 
 
 def squash(c: Column | str) -> Column:

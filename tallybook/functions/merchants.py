@@ -219,7 +219,7 @@ def _display_word(w: Column, i: Column) -> Column:
             (F.upper(core).isin(v.ACRONYMS), F.upper(core)),
             ((i > 0) & F.lower(core).isin(v.SMALL_WORDS), F.lower(core)),
         ],
-        F.concat(F.upper(F.substring(core, 1, 1)), F.lower(F.substring(core, 2, 10000))),
+        F.concat(F.upper(F.substring(core, 1, 1)), F.lower(F.substring(core, F.lit(2), F.length(core)))),
     )
     return F.concat(cased, tail)
 

@@ -340,9 +340,13 @@ def with_best_rule(rows: DataFrame, texts: DataFrame, rules: DataFrame, text: st
 
 
 def classify(ledger: DataFrame, rules: DataFrame | None = None, text: str = "description") -> DataFrame:
-    """Full classification of ledger rows: the user's rule, a global rule, or the text profile with the amount's sign."""
-    profile = text_profile(ledger, text)
-    rows = ledger.join(profile.withColumnRenamed("description", text), text) if text != "description" else ledger.join(profile, "description")
+    """Full classification of ledger rows: the user's rule, a global rule, or the text profile with the amount's sign.
+
+    Every row stays; a missing text counts as an empty one.
+    """
+    profile = text_profile(ledger.withColumn(text, F.coalesce(text, F.lit(""))), text)
+    keyed = profile.withColumnRenamed("description", "_text")
+    rows = ledger.join(keyed, F.coalesce(ledger[text], F.lit("")) == keyed["_text"]).drop("_text")
     empty = F.lit(None).cast("struct<rule_id:bigint,rule_type:string,rule_category:string,rule_confidence:string>")
     if rules is None:
         rows = rows.withColumn("best", empty)

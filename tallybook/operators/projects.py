@@ -46,7 +46,9 @@ def assign(ledger: DataFrame, projects: DataFrame) -> DataFrame:
     combos = rows.select("user_id", "bank_source", "category", "transaction_date").distinct()
     hits = combos.withColumn("k", F.explode(F.array(*probe))).select("user_id", "bank_source", "category", "transaction_date", "k.*").join(first, ["user_id", "account", "cat", "when"])
     best = hits.groupBy("user_id", "bank_source", "category", "transaction_date").agg(F.min("p").alias("p"))
-    return rows.join(best, ["user_id", "bank_source", "category", "transaction_date"]).select("user_id", "transaction_id", F.col("p.project_id").alias("project_id"))
+    b = best.select(*[F.col(c).alias(f"_{c}") for c in best.columns])
+    same = [rows[c].eqNullSafe(b[f"_{c}"]) for c in ("user_id", "bank_source", "category", "transaction_date")]
+    return rows.join(b, same).select("user_id", "transaction_id", F.col("_p.project_id").alias("project_id"))
 
 
 def progress(projects: DataFrame, tagged: DataFrame, as_of: dt.date) -> DataFrame:

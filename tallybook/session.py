@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -35,6 +36,15 @@ def local_session(cores: int | str = 8, app: str = "tallybook", shuffle_partitio
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only where none is set (tests)."""
+    """The shared folder that the cluster names in spark.checkpoint.dir.
+
+    A local session without the setting gets a temporary folder, once; on a cluster each executor would write to its own
+    disk, so a missing setting is an error there.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured or tempfile.mkdtemp(prefix="tallybook-ckpt-")
+    if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="tallybook-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured

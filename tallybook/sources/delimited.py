@@ -19,7 +19,6 @@ ROLE_WORDS = [
     ("debit", ["debit", "withdrawal", "charge", "payment"]), ("credit", ["credit", "deposit"]), ("amount", ["amount", "amt"]),
     ("raw_category", ["category", "cat", "type"]), ("status", ["status", "pending"]),
 ]
-HEADER_LINES = 25
 CELL_BREAK = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 
@@ -40,11 +39,10 @@ def header_roles(line: Column) -> Column:
 
 
 def headers(lines: DataFrame) -> DataFrame:
-    """(path, header_no, roles): the first transaction header in the top lines, else line 0."""
-    top = lines.filter(F.col("line_no") < HEADER_LINES)
+    """(path, header_no, roles): the first transaction header of the file, else line 0."""
     found = F.min(F.when(is_header(F.col("line")), F.struct("line_no", "line")))
     first = F.min(F.struct("line_no", "line"))
-    h = top.groupBy("path").agg(F.coalesce(found, first).alias("h"))
+    h = lines.groupBy("path").agg(F.coalesce(found, first).alias("h"))
     return h.select("path", F.col("h.line_no").alias("header_no"), header_roles(F.col("h.line")).alias("roles"))
 
 
@@ -107,7 +105,7 @@ def parse_sheet(rows: DataFrame) -> DataFrame:
     head_words = ["date", "description", "amount", "debit"]
     joined = F.lower(F.array_join("cells", " "))
     top = rows.filter("row_no < 10")
-    h = top.groupBy("path").agg(
+    h = lines.groupBy("path").agg(
         F.min(F.when(contains_any(joined, head_words), F.struct("row_no", "cells"))).alias("h"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("row_no") < 8, F.struct("row_no", joined.alias("t"))))), lambda s: s["t"]), " ").alias("sniff"))
     h = h.filter("h is not null").select("path", F.col("h.row_no").alias("header_no"), sheet_roles(F.col("h.cells")).alias("role"), p.issuer_from_sheet("sniff").alias("issuer"))

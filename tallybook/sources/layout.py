@@ -33,6 +33,11 @@ DISCOVER_CUTS = [r"\s+[A-Z]{2}$", r"\s+\d{3}-\d{3}-\d{4}.*$", r"\s+\d{6,}.*$", r
 SHIFT = 29
 
 
+def _from_second(words):
+    """All words but the first, however many."""
+    return F.slice(words, 2, F.greatest(F.size(words), F.lit(1)))
+
+
 def decode_shifted(text: Column | str) -> Column:
     """Undo a font encoding that prints every character 29 code points too low."""
     src = "".join(chr(i) for i in range(1, 127))
@@ -171,7 +176,7 @@ def parse_discover(words: DataFrame) -> DataFrame:
     first = rows.filter(F.col("text").rlike(close)).groupBy("doc_id").agg(F.min(F.struct("page", "row", "text")).alias("f"))
     y = first.select("doc_id", F.regexp_extract("f.text", close, 1).cast("int").alias("stmt_month"), F.regexp_extract("f.text", close, 2).cast("int").alias("stmt_year"))
     rows = rows.withColumn("text", join_split_amounts("text")).filter(F.col("text").rlike(r"^\d{2}/\d{2}(\s|$)") & ~contains_any(F.lower("text"), DISCOVER_SKIP)).join(y, "doc_id")
-    parts = F.slice(F.split("text", r"\s+"), 2, 1000)
+    parts = _from_second(F.split("text", r"\s+"))
     money = r"^-?\$[\d,]+\.\d{2}$"
     amt = _amount(F.try_element_at(F.filter(parts, lambda x: x.rlike(money)), F.lit(-1)))
     desc = F.array_join(F.filter(parts, lambda x: ~x.rlike(money) & ~contains_any(F.lower(x), DISCOVER_LABELS)), " ")
@@ -220,7 +225,7 @@ def parse_wells_bank(words: DataFrame) -> DataFrame:
     years = statement_years(rows.withColumnRenamed("row", "line_no"))
     first = F.get("words", F.lit(0))["text"]
     rows = rows.filter(first.rlike(r"^\d{1,2}/\d{1,2}$") & ~contains_any(F.lower("text"), WELLS_BANK_SKIP)).join(years, "doc_id")
-    rest = F.slice("words", 2, 1000)
+    rest = _from_second(F.col("words"))
     is_money = lambda w: F.regexp_replace(w["text"], ",", "").rlike(r"^\d+\.\d{2}$")
     amounts, desc = F.filter(rest, is_money), F.array_join(F.transform(F.filter(rest, lambda w: ~is_money(w)), lambda w: w["text"]), " ")
     rows = rows.withColumns({"_amounts": amounts, "description": desc}).filter((F.size("_amounts") > 0) & (F.length("description") >= 3) & ~F.col("description").rlike(r"^\d{3,6}$"))

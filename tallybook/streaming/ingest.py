@@ -1,7 +1,8 @@
 """Incremental ingest and running totals as Structured Streaming queries.
 
-Exact repeats are dropped inside a three-day watermark, which bounds the state; similar rows are checked per batch
-against the stored ledger. Every sink write is keyed by its batch id, so a batch that runs again replaces itself.
+A statement may come at any time after its days, so nothing is dropped for its age: each micro-batch is checked against
+the stored ledger, of which only the months around the batch's days are read. Every sink write is keyed by its batch id, so
+a batch that runs again replaces itself.
 """
 
 from __future__ import annotations
@@ -11,33 +12,43 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallybook.columns import cents
-from tallybook.operators.dedup import new_by_similarity, with_fingerprint
-
-# Fixed value: mirrors the +-3 day duplicate rule.
-WATERMARK = "3 days"
+from tallybook.operators.dedup import DRIFT_DAYS, new_by_similarity, with_fingerprint
 
+#: Month folders, written so that no reader takes them for dates, and the folder of rows without a date.
+MONTH = "'m'yyyy-MM"
+UNDATED = "undated"
 
 def statement_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 16) -> DataFrame:
     """File-source stream of statement rows."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def distinct_rows(stream: DataFrame, event_time: str = "ts") -> DataFrame:
-    """Fingerprinted rows, one per user and fingerprint inside the watermark."""
-    return with_fingerprint(stream).withWatermark(event_time, WATERMARK).dropDuplicatesWithinWatermark(["user_id", "fingerprint"])
+def new_rows(batch: DataFrame, stored: list[DataFrame]) -> DataFrame:
+    """Rows of a batch that no stored ledger has by fingerprint or similarity, one per user and fingerprint."""
+    fresh = with_fingerprint(batch).dropDuplicates(["user_id", "fingerprint"])
+    for ledger in stored:
+        past = ledger if "fingerprint" in ledger.columns else with_fingerprint(ledger)
+        fresh = fresh.join(past.select("user_id", "fingerprint").distinct(), ["user_id", "fingerprint"], "left_anti")
+        fresh = new_by_similarity(fresh, past)
+    return fresh
 
 
-def start_ingest(stream: DataFrame, ledger_path: str, checkpoint: str, event_time: str = "ts") -> StreamingQuery:
-    """Append new rows to the ledger; rows similar to stored ones are dropped batch by batch."""
+def start_ingest(stream: DataFrame, ledger_path: str, checkpoint: str, history: DataFrame | None = None) -> StreamingQuery:
+    """Append new rows to the ledger, month by month; `history` is a ledger from before the stream, checked in every batch."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        target = f"{ledger_path}/batch={batch_id}"
-        fresh = new_by_similarity(batch, _stored(spark, ledger_path, batch_id)) if batch_id > 0 else batch
-        fresh.write.mode("overwrite").parquet(target)
+        earlier = [] if history is None else [history]
+        if batch_id > 0:
+            months = batch.select(F.explode(F.array(*[F.date_format(F.date_add("transaction_date", d), MONTH) for d in (-DRIFT_DAYS, DRIFT_DAYS)])).alias("ym")).distinct()
+            earlier.append(_stored(batch.sparkSession, ledger_path, batch_id).join(months.union(_undated(batch.sparkSession)), "ym", "left_semi").drop("ym"))
+        fresh = new_rows(batch, earlier).withColumn("ym", F.coalesce(F.date_format("transaction_date", MONTH), F.lit(UNDATED)))
+        fresh.write.mode("overwrite").partitionBy("ym").parquet(f"{ledger_path}/batch={batch_id}")
 
-    out = distinct_rows(stream, event_time).writeStream.foreachBatch(write)
-    return out.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _undated(spark: SparkSession) -> DataFrame:
+    return spark.range(1).select(F.lit(UNDATED).alias("ym"))
 
 
 def _stored(spark: SparkSession, path: str, before: int) -> DataFrame:

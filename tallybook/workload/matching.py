@@ -69,12 +69,12 @@ def e3(t):
 @query("e3_fuzzy_dedup_batch")
 def e3b(t):
     """Order-dependent inside the batch; compared with a brute-force loop in the tests."""
-    return dd.first_in_batch(dd.with_fingerprint(incoming(t))).groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.min("transaction_id").alias("first_id"))
+    return dd.first_in_batch(dd.with_fingerprint(incoming(t))).select("user_id", "variant", "transaction_id")
 
 
 @query("e3_dedupe_batch_against_history")
 def e3c(t):
-    return dd.dedupe(incoming(t), history(t)).groupBy("user_id", "variant").agg(F.count(F.lit(1)).alias("n"))
+    return dd.dedupe(incoming(t), history(t)).select("user_id", "variant", "transaction_id")
 
 
 @query(
