@@ -287,6 +287,20 @@ SHARED = "*"
 PLAIN_START = r"^\^?([a-z0-9 ]{3})(?:[a-z0-9 ]|(?![*?{|+]))"
 
 
+def refusal(how: Column | str, value: Column | str) -> Column:
+    """Why a rule can never match (an empty value, a pattern the regex engine refuses), else NULL."""
+    compiled = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.concat(F.lit("(?i)"), value))
+    how = F.col(how) if isinstance(how, str) else how
+    return F.when(F.col(value) == "", "empty value").when((how == "regex") & compiled.isNull(), "invalid pattern")
+
+
+def rejected_rules(rules: DataFrame) -> DataFrame:
+    """(id, reason) of the active rules that matching leaves out."""
+    r = rules.filter(F.coalesce("is_active", F.lit(True)))
+    r = r.select("id", F.coalesce("match_type", F.lit("contains")).alias("how"), F.lower(F.coalesce("match_value", F.lit(""))).alias("value"))
+    return r.select("id", refusal("how", "value").alias("reason")).filter("reason is not null")
+
+
 def best_rules(texts: DataFrame, rules: DataFrame, user_texts: DataFrame) -> DataFrame:
     """Best matching rule per (rule_user, description); rule_user is '*' for global rules.
 
@@ -294,7 +308,7 @@ def best_rules(texts: DataFrame, rules: DataFrame, user_texts: DataFrame) -> Dat
     meet only that user's texts. Exact, prefix, substring and plainly starting regex rules meet them by equi joins (on the
     value, on every prefix, on a three-character anchor that is then verified); only other regex rules are compared with
     every text of their scope. Equal rules collapse to the best one first and the winner is kept by a map-side-combining
-    min_by, so a rule that matches everything never builds one big group. Invalid regex rules must be rejected when stored.
+    min_by, so a rule that matches everything never builds one big group. Invalid patterns are left out (`rejected_rules`).
     """
     order = F.struct((-F.col("priority")).alias("p"), first_match([(F.col("how") == h, n) for h, n in RULE_MATCH_ORDER.items()], 2).alias("h"), F.col("id"))
     r = rules.filter(F.coalesce("is_active", F.lit(True))).select(
@@ -303,7 +317,7 @@ def best_rules(texts: DataFrame, rules: DataFrame, user_texts: DataFrame) -> Dat
         F.coalesce("priority", F.lit(0)).cast("long").alias("priority"), F.coalesce("transaction_type", F.lit("expense")).alias("rule_type"),
         F.coalesce("category", F.lit("Other")).alias("rule_category"),
         F.when(F.coalesce("confidence_override", F.lit(0.0)) >= 0.8, "high").otherwise("medium").alias("rule_confidence"),
-    ).filter("value <> ''")
+    ).filter(refusal("how", "value").isNull())
     pick = F.struct(F.col("id").alias("rule_id"), "rule_type", "rule_category", "rule_confidence")
     r = r.groupBy("rule_user", "field", "how", "value").agg(F.min(F.struct(order.alias("o"), pick.alias("b"))).alias("best"))
     owners = r.select("rule_user").distinct()

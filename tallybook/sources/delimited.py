@@ -19,12 +19,15 @@ ROLE_WORDS = [
     ("debit", ["debit", "withdrawal", "charge", "payment"]), ("credit", ["credit", "deposit"]), ("amount", ["amount", "amt"]),
     ("raw_category", ["category", "cat", "type"]), ("status", ["status", "pending"]),
 ]
-CELL_BREAK = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+# A quoted field up to the next comma, else everything before it; each cell is read once.
+CELL = r',(\s*"(?:[^"]++|"")*+"\s*(?=,|$)|[^,]*+)'
+# Issuer words stand above the header; a file whose header comes early is read at least this far.
+ISSUER_LINES, ISSUER_ROWS = 40, 8
 
 
 def cells(line: Column | str) -> Column:
     """Fields of one CSV line; quotes are removed, doubled quotes kept as one."""
-    parts = F.split(F.col(line) if isinstance(line, str) else line, CELL_BREAK, -1)
+    parts = F.regexp_extract_all(F.concat(F.lit(","), F.col(line) if isinstance(line, str) else line), F.lit(CELL), F.lit(1))
     return F.transform(parts, lambda c: F.replace(F.regexp_replace(F.trim(c), r'^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
 
 
@@ -54,12 +57,13 @@ def _cell(role: str) -> Column:
 def parse_delimited(lines: DataFrame, issuers: DataFrame | None = None, source: str = "csv") -> DataFrame:
     """Statement lines to raw rows; undated, blank, balance and zero rows are dropped.
 
-    `issuers` is (path, issuer); without it the file name and the first lines decide.
+    `issuers` is (path, issuer); without it the file name and the lines up to the header decide.
     """
     h = headers(lines)
     if issuers is None:
         name = F.element_at(F.split("path", "/"), -1)
-        top = lines.filter("line_no < 40").groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n").alias("head"))
+        above = lines.join(h.select("path", "header_no"), "path").filter(F.col("line_no") <= F.greatest("header_no", F.lit(ISSUER_LINES - 1)))
+        top = above.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n").alias("head"))
         issuers = top.select("path", p.detect_issuer(name, "head", "head").alias("issuer"))
     rows = lines.join(h, "path").filter("line_no > header_no and trim(line) <> ''").join(issuers, "path")
     rows = staged(rows, cells=cells("line"))
@@ -101,14 +105,14 @@ def _holds(low: Column, aliases: list[str]):
 
 
 def parse_sheet(rows: DataFrame) -> DataFrame:
-    """Sheet export rows (path, row_no, cells): header within the first ten rows, issuer from the first eight."""
+    """Sheet export rows (path, row_no, cells): the sheet's first header row, issuer from the rows up to it."""
     head_words = ["date", "description", "amount", "debit"]
     joined = F.lower(F.array_join("cells", " "))
-    top = rows.filter("row_no < 10")
-    h = lines.groupBy("path").agg(
-        F.min(F.when(contains_any(joined, head_words), F.struct("row_no", "cells"))).alias("h"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("row_no") < 8, F.struct("row_no", joined.alias("t"))))), lambda s: s["t"]), " ").alias("sniff"))
-    h = h.filter("h is not null").select("path", F.col("h.row_no").alias("header_no"), sheet_roles(F.col("h.cells")).alias("role"), p.issuer_from_sheet("sniff").alias("issuer"))
+    found = rows.groupBy("path").agg(F.min(F.when(contains_any(joined, head_words), F.struct("row_no", "cells"))).alias("h")).filter("h is not null")
+    h = found.select("path", F.col("h.row_no").alias("header_no"), sheet_roles(F.col("h.cells")).alias("role"))
+    above = rows.join(h.select("path", "header_no"), "path").filter(F.col("row_no") <= F.greatest("header_no", F.lit(ISSUER_ROWS - 1)))
+    sniffed = above.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", joined.alias("t")))), lambda s: s["t"]), " ").alias("sniff"))
+    h = h.join(sniffed.select("path", p.issuer_from_sheet("sniff").alias("issuer")), "path")
     r = rows.join(h, "path").filter("row_no > header_no")
     cell = lambda f: F.get("cells", F.try_element_at("role", F.lit(f)))
     has = lambda f: F.try_element_at("role", F.lit(f)).isNotNull()

@@ -30,9 +30,20 @@ def file_type(content: Column | str, name: Column | str) -> Column:
     return first_match(cases, "unknown")
 
 
+# Whole quoted fields, text between quotes, stray quotes.
+QUOTED = r'((?<![^,\n])"(?:[^"]++|"")*+"(?![^,\n])|[^"]++|")'
+
+
+def _unbroken(text: Column) -> Column:
+    """Line breaks inside quoted fields become spaces; a stray quote opens nothing."""
+    parts = F.regexp_extract_all(text, F.lit(QUOTED), F.lit(1))
+    flat = F.transform(parts, lambda x: F.when(x.startswith('"') & (F.length(x) > 1), F.regexp_replace(x, "\n", " ")).otherwise(x))
+    return F.when(text.contains('"'), F.array_join(flat, "")).otherwise(text)
+
+
 def text_lines(files: DataFrame) -> DataFrame:
-    """(path, line_no, line) of text files; undecodable bytes fall back to Latin-1."""
+    """(path, line_no, line) of text files; undecodable bytes fall back to Latin-1, quoted fields stay on one line."""
     utf8 = F.try_validate_utf8(F.col("content").cast("string")) if hasattr(F, "try_validate_utf8") else F.col("content").cast("string")
     text = F.coalesce(utf8, F.decode("content", "ISO-8859-1"))
     clean = F.regexp_replace(F.regexp_replace(text, "^﻿", ""), r"\r\n?", "\n")
-    return files.select("path", F.posexplode(F.split(clean, "\n")).alias("line_no", "line"))
+    return files.select("path", F.posexplode(F.split(_unbroken(clean), "\n")).alias("line_no", "line"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallybook.adapter import star_ledger
 from tallybook.operators import classify, dedup, projects
-from tallybook.sources import delimited
+from tallybook.sources import delimited, files
 from tallybook.streaming import ingest
 
 DAY = dt.date(2001, 3, 5)
@@ -70,3 +70,33 @@ def test_header_far_down_the_file(spark):
     df = spark.createDataFrame(lines, "path string, line_no int, line string")
     assert delimited.headers(df).first().header_no == 60
     assert delimited.parse_delimited(df).count() == 1
+
+
+def test_sheet_header_far_down(spark):
+    cells = [("s.xlsx", i, ["note", str(i)]) for i in range(20)] + [("s.xlsx", 20, ["Discover it"]), ("s.xlsx", 21, ["Date", "Description", "Amount"]), ("s.xlsx", 22, ["01/02/2001", "COFFEE", "3.50"])]
+    out = delimited.parse_sheet(spark.createDataFrame(cells, "path string, row_no int, cells array<string>")).collect()
+    assert [(r.bank_source, r.description, float(r.amount)) for r in out] == [("Discover", "COFFEE", -3.5)]
+
+
+def test_quoted_fields_across_lines(spark):
+    text = 'Date,Description,Amount\n2001-01-02,"COFFEE\nSHOP, ""A""",-3.50\n2001-01-03,5" PIPE,-4.00\n2001-01-04,6" PIPE,-5.00\n2001-01-05,"",-6.00\n'
+    raw = spark.createDataFrame([("f.csv", bytearray(text.encode()))], "path string, content binary")
+    lines = files.text_lines(raw)
+    assert lines.count() == 6
+    out = delimited.parse_delimited(lines).orderBy("transaction_date").collect()
+    assert [(r.description, float(r.amount)) for r in out] == [('COFFEE SHOP, "A"', -3.5), ('5" PIPE', -4.0), ('6" PIPE', -5.0)]
+
+
+def test_cells_of_a_line(spark):
+    lines = {"": [""], ",a": ["", "a"], 'x,"1,000.00",': ["x", "1,000.00", ""], '"a ""b"" c", d ,""': ['a "b" c', "d", ""], '"a" b,c': ['"a" b', "c"]}
+    got = spark.createDataFrame([(k,) for k in lines], "line string").select("line", delimited.cells("line").alias("c")).collect()
+    assert {r.line: r.c for r in got} == lines
+
+
+def test_invalid_patterns_are_left_out(spark, ledger):
+    schema = "id long, user_id string, match_field string, match_value string, match_type string, priority int, transaction_type string, category string, confidence_override double, is_active boolean"
+    rule = lambda i, value, how, priority: (i, None, "description", value, how, priority, "expense", f"Cat {i}", 0.9, True)
+    rules = spark.createDataFrame([rule(1, "[open", "regex", 9), rule(2, "a{", "regex", 8), rule(3, "", "contains", 7), rule(4, "^.", "regex", 1)], schema)
+    assert {(r.id, r.reason) for r in classify.rejected_rules(rules).collect()} == {(1, "invalid pattern"), (2, "invalid pattern"), (3, "empty value")}
+    out = classify.classify(ledger, rules)
+    assert out.count() == ledger.count() and {r.rule_id for r in out.select("rule_id").distinct().collect()} <= {4, None}
