@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.columns import top_per_group
+from tallybook.columns import month_from_index, month_index, top_per_group
 from tallybook.functions.fingerprints import fingerprint
 from tallybook.functions.merchants import key8, learned_core
 
@@ -103,6 +103,18 @@ def lapsed_keys(before: DataFrame, last: DataFrame, now: DataFrame) -> DataFrame
     return before.intersect(last).exceptAll(now.distinct().intersect(before.intersect(last)))
 
 
+def lapsed_by_month(seen: DataFrame, months: DataFrame) -> DataFrame:
+    """(user_id, ym, key): keys of both months before a user's month that are missing in it.
+
+    `seen` is (user_id, ym, key), `months` the (user_id, ym) to judge. Each sighting marks its own and the next two months,
+    so one aggregate decides every month.
+    """
+    at = seen.distinct().select("user_id", "key", month_index("ym").alias("at"), F.posexplode(F.array(F.lit(1), F.lit(2), F.lit(4))).alias("age", "mark"))
+    marks = at.groupBy("user_id", "key", (F.col("at") + F.col("age")).alias("idx")).agg(F.bit_or("mark").alias("marks")).filter("marks = 6")
+    judged = months.select("user_id", month_index("ym").alias("idx"))
+    return marks.join(judged, ["user_id", "idx"], "left_semi").select("user_id", month_from_index(F.col("idx")).alias("ym"), "key")
+
+
 def active_rules(rules: DataFrame) -> DataFrame:
     return rules.filter("is_active").orderBy(F.desc("priority"))
 

@@ -161,8 +161,10 @@ def fixed_summary(ledger: DataFrame) -> DataFrame:
     return g.select("user_id", "dk", "merchant", money("total").alias("amount"), money("avg").alias("avg"), "varies", "occurrences")
 
 
-def newly_recurring(ledger: DataFrame) -> DataFrame:
-    return fixed_summary(ledger).filter("occurrences = 2")
+def newly_recurring(ledger: DataFrame, period: str = "ym") -> DataFrame:
+    """Fixed charges that a user's period holds exactly twice, for every period of the ledger."""
+    scoped = fixed_summary(ledger.withColumn("user_id", F.struct("user_id", period))).filter("occurrences = 2")
+    return scoped.select("user_id.*", *[c for c in scoped.columns if c != "user_id"])
 
 
 def subscription_groups(rows: DataFrame) -> DataFrame:

@@ -577,24 +577,25 @@ def d18(t):
 
 # ---------------------------------------------------------------- fixed and subscription summaries
 
-FIXEDSUM = f"""fk as (select description, {s.dedup_cols('description')} from (select distinct description from ledger)),
- fg as (select user_id, dk, count(*) as n, sum(abs(cents)) as total, sum((cents * cents)::hugeint) as sq, arg_max(description, (-length(description), seq)) as raw
-  from ledger join fk using (description) where {LIVE} and is_fixed group by 1, 2),
- fixsum as (select user_id, dk, merchant, {m('total')} as amount, {m(rr('total', 'n'))} as avg, total, n > 1 and total > 0 and coalesce({sd('n', 'total', 'sq')} / (total::double / n) > 0.05, false) as varies, n as occurrences
+def fixedsum(by: str = "user_id") -> str:
+    return f"""fk as (select description, {s.dedup_cols('description')} from (select distinct description from ledger)),
+ fg as (select {by}, dk, count(*) as n, sum(abs(cents)) as total, sum((cents * cents)::hugeint) as sq, arg_max(description, (-length(description), seq)) as raw
+  from ledger join fk using (description) where {LIVE} and is_fixed group by {by}, dk),
+ fixsum as (select {by}, dk, merchant, {m('total')} as amount, {m(rr('total', 'n'))} as avg, total, n > 1 and total > 0 and coalesce({sd('n', 'total', 'sq')} / (total::double / n) > 0.05, false) as varies, n as occurrences
   from (select *, {s.group_name_cols('raw')} from fg))"""
 
 
+FIXEDSUM = fixedsum()
+
+
 @query("g7_fixed_summary", f"with {FIXEDSUM} select * exclude (total) from fixsum")
 def g7(t):
     return rec.fixed_summary(t.ledger)
 
 
-@query(
-    "f8_newly_recurring",
-    f"with {FIXEDSUM} select f.* exclude (total) from fixsum f where occurrences = 2".replace("from ledger join fk using (description) where", "from (select * from ledger where ym = '2001-06') join fk using (description) where"),
-)
+@query("f8_newly_recurring", f"with {fixedsum('user_id, ym')} select f.* exclude (total) from fixsum f where occurrences = 2")
 def f8(t):
-    return rec.newly_recurring(t.ledger.filter(F.col("ym") == "2001-06"))
+    return rec.newly_recurring(t.ledger)
 
 
 SUBSUM = f"""sk as (select description, {s.dedup_cols('description')} from (select distinct description from ledger)),

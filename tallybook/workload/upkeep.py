@@ -140,12 +140,14 @@ SK = f"sk as (select distinct user_id, ym, trim(lower(substr(description, 1, 10)
 
 @query(
     "k9_lapsed_keys",
-    f"""with {SK} select user_id, key from sk where ym = '1999-03' intersect select user_id, key from sk where ym = '1999-04' except select user_id, key from sk where ym = '1999-05'""",
+    f"""with {SK}, si as (select user_id, key, substr(ym, 1, 4)::int * 12 + substr(ym, 6, 2)::int as idx from sk), um as (select distinct user_id, ym, substr(ym, 1, 4)::int * 12 + substr(ym, 6, 2)::int as idx from ledger)
+select um.user_id, um.ym, b.key from um join si b on b.user_id = um.user_id and b.idx = um.idx - 2 join si l on l.user_id = um.user_id and l.key = b.key and l.idx = um.idx - 1
+ where not exists (select 1 from si n where n.user_id = um.user_id and n.key = b.key and n.idx = um.idx)""",
 )
 def k9(t):
     subs = t.ledger.filter(is_subscription("category", "description", v.INSIGHT_SUBSCRIPTION_KEYWORDS))
-    at = lambda ym: subs.filter(F.col("ym") == ym).select("user_id", prefix_key("description", 10).alias("key")).distinct()
-    return co.lapsed_keys(at("1999-03"), at("1999-04"), at("1999-05"))
+    seen = subs.select("user_id", "ym", prefix_key("description", 10).alias("key"))
+    return co.lapsed_by_month(seen, t.ledger.select("user_id", "ym").distinct())
 
 
 @query("k10_active_rules", f"select id, user_id, match_value, priority from ({RULES}) where is_active")
