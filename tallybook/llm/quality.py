@@ -22,6 +22,8 @@ from tallybook.llm.common import only, ready, saved
 TRAINING_ROWS = 6000
 WORDS, SHAPES, SIZE, HIDDEN, REACH = 8192, 256, 64, 32, 2
 EPOCHS, RATE, DECAY = 400, 0.01, 1e-3
+#: Tokens whose pairs of neighbours are counted at a time.
+_PAIRED = 50_000
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
 
@@ -52,16 +54,31 @@ def index_vectors() -> np.ndarray:
     return out
 
 
+def context_sums(texts) -> np.ndarray:
+    """Sums of the index vectors of all neighbours of every bucket, from counts of the distinct pairs of neighbours."""
+    index, sums, n = index_vectors(), np.zeros((WORDS + SHAPES, SIZE), np.float32), WORDS + SHAPES
+    *streams, sizes = token_buckets(texts)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    for stream in streams:
+        for at in range(0, len(stream), _PAIRED):
+            codes = []
+            for d in range(1, REACH + 1):
+                b = stream[at + d : at + d + _PAIRED]
+                a = stream[at : at + len(b)]
+                same = text[at : at + len(b)] == text[at + d : at + d + len(b)]
+                codes += [(a * n + b)[same], (b * n + a)[same]]
+            pairs, times = np.unique(np.concatenate(codes), return_counts=True)
+            if len(pairs):
+                bucket, other = np.divmod(pairs, n)
+                first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+                sums[bucket[first]] += np.add.reduceat(index[other] * times[:, None].astype(np.float32), first, axis=0)
+    return sums
+
+
 def _context_sums(batches):
-    index, sums = index_vectors(), np.zeros((WORDS + SHAPES, SIZE), np.float32)
+    sums = np.zeros((WORDS + SHAPES, SIZE), np.float32)
     for b in batches:
-        for text in b["text"]:
-            for stream in token_buckets([text])[:2]:
-                for at in range(0, len(stream), 50_000):
-                    part = stream[max(0, at - REACH) : at + 50_000 + REACH]
-                    for d in range(1, REACH + 1):
-                        np.add.at(sums, part[d:], index[part[:-d]])
-                        np.add.at(sums, part[:-d], index[part[d:]])
+        sums += context_sums(b["text"])
     yield pd.DataFrame({"sums": [sums.tobytes()]})
 
 

@@ -174,6 +174,18 @@ def test_crossover_keeps_every_piece():
     assert len(best.bins) <= min(len(a.bins), len(packing.Packing(lengths, 2048).best_fit(sorted(range(300), key=lambda i: -lengths[i])).bins))
 
 
+def test_context_sums_of_neighbours(table):
+    texts = [t for _, t in table[:60] + AWKWARD]
+    index, want = quality.index_vectors(), np.zeros((quality.WORDS + quality.SHAPES, quality.SIZE))
+    for t in texts:
+        for stream in quality.token_buckets([t])[:2]:
+            for i, a in enumerate(stream):
+                for b in stream[i + 1 : i + 1 + quality.REACH]:
+                    want[a] += index[b]
+                    want[b] += index[a]
+    assert np.array_equal(quality.context_sums(texts), want)
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
