@@ -48,21 +48,77 @@ RULES = [
     ("CC-BY-SA-4.0", "cc-by-sa-4-notice"),
     ("CC-BY-4.0", "cc-by-4-notice"),
 ]
-#: A sentence ends at a line end, or at . ! ? ; : before white space or the end; blank lines end nothing more.
-BREAK = r"[.!?;:]+(?:\s+|$)|\n+"
+# Sentences and rules that the SQL below does not have; * is a name, a rule goes before the first one of the given licence.
+GPL = "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"
+MORE_SENTENCES = {
+    f"{GPL} either version 2 of the license or at your option any later version": "gpl-2-later",
+    f"{GPL} either version 3 of the license or at your option any later version": "gpl-3-later",
+    f"this program is free software {GPL}": "gpl-terms",
+    GPL: "gpl-terms",
+    "either version 2 of the license or at your option any later version": "gpl-2-either",
+    "either version 3 of the license or at your option any later version": "gpl-3-either",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgement": "bsd-advertising",
+    "neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-name",
+    "the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission": "bsd-name",
+}
+MORE_RULES = {
+    "BSD-2-Clause": [("BSD-4-Clause", "bsd-source bsd-binary bsd-advertising bsd-name"), ("BSD-3-Clause", "bsd-source bsd-binary bsd-name")],
+    "GPL-3.0-or-later": [("GPL-3.0-or-later", "gpl-terms gpl-3-either")],
+    "GPL-2.0-or-later": [("GPL-2.0-or-later", "gpl-terms gpl-2-either")],
+}
+ALL_SENTENCES = SENTENCES | MORE_SENTENCES
+#: Where a longer rule of another licence covers a rule, that place does not count for the shorter one.
+ALL_RULES = [rule for known in RULES for rule in [*MORE_RULES.get(known[0], []), known]]
+#: Passes over "\n", the lower-cased text and "\n\n". Marks at line starts (comments, list dots) go; a sentence ends for sure at
+#: . ! ? ; : before white space and at blank lines (H), and may end or go on at a single line end (S). All else but letters,
+#: digits and inner dots and hyphens becomes a blank. Marks are written twice, so that neighbours have one each.
+PASSES = [
+    (r"\r\n?", "\n"),
+    (r"\n[^a-z0-9\n]+", "\n"),
+    (r"[.!?;:]+\s+|\n\n+", " H H "),
+    (r"\n", " S S "),
+    (r"[^a-z0-9.\-HS]+", " "),
+    (r" [.\-]+|[.\-]+ ", " "),
+    (r" +", " "),
+]
+#: Characters that a name (*) may have.
+NAME = ".{1,120}?"
+
+
+def _pattern() -> str:
+    """Known sentences between two marks, the longest first; between words may be the end of a line."""
+    known = sorted(ALL_SENTENCES, key=lambda k: (-len(k), k))
+    return "[HS] (" + "|".join(" (?:S S )?".join(NAME if w == "*" else w.replace(".", r"\.") for w in k.split()) for k in known) + ") [HS]"
+
+
+PATTERN = _pattern()
+#: What joins a found sentence to its key: line ends, then the name.
+JOINS = [(" S S ", " "), ("^neither the name of .+ nor the names of ", "neither the name of * nor the names of ")]
 
 
-def normalised(sentence: Column) -> Column:
-    """Lower-cased; everything but letters, digits and inner dots and hyphens becomes a blank; single blanks."""
-    words = F.regexp_replace(F.lower(sentence), r"[^a-z0-9.\-]+", " ")
-    return F.trim(F.regexp_replace(words, r"(^|\s)[.\-]+|[.\-]+(\s|$)", " "))
+def marked(text: Column) -> Column:
+    """Single-blank words of a text with the marks of sentence and line ends."""
+    out = F.concat(F.lit("\n"), F.lower(text), F.lit("\n\n"))
+    for pattern, by in PASSES:
+        out = F.regexp_replace(out, pattern, by)
+    return out
 
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    pairs = [F.lit(x) for pair in SENTENCES.items() for x in pair]
-    ids = F.transform(F.split(text, BREAK), lambda s: F.element_at(F.create_map(*pairs), normalised(s)))
-    return F.filter(ids, lambda i: i.isNotNull())
+    pairs = [F.lit(x) for pair in ALL_SENTENCES.items() for x in pair]
+
+    def key(found):
+        for pattern, by in JOINS:
+            found = F.regexp_replace(found, pattern, by)
+        return found
+
+    return F.transform(F.regexp_extract_all(marked(text), F.lit(PATTERN), F.lit(1)), lambda s: F.element_at(F.create_map(*pairs), key(s)))
+
+
+def covering(name: str, rule: str) -> list[str]:
+    """Rules of other licences that contain a rule."""
+    return [r for n, r in ALL_RULES if n != name and f" {rule} " in f" {r} "]
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -74,13 +130,20 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.select("doc_id", F.array_join(sentence_ids(text), " ").alias("sentence_ids"))
     line = F.concat(F.lit(" "), "sentence_ids", F.lit(" "))
-    names = F.array_compact(F.array(*[F.when(line.contains(f" {rule} "), F.lit(name)) for name, rule in RULES]))
+
+    def rest(name, rule):
+        out = line
+        for longer in covering(name, rule):
+            out = F.replace(out, F.lit(longer), F.lit(""))
+        return out
+
+    names = F.array_compact(F.array(*[F.when(rest(name, rule).contains(f" {rule} "), F.lit(name)) for name, rule in ALL_RULES]))
     found = found.withColumn("names", F.array_distinct(names))
     return found.select("doc_id", "sentence_ids", F.array_join("names", ",").alias("licenses"), F.when(F.size("names") > 0, F.element_at("names", 1)).alias("license"))
 
 
 def oracle() -> str:
-    """The same in DuckDB's SQL."""
+    """DuckDB's SQL of the given sentences, for texts without wrapped notices; it ends sentences at every single line end."""
     known = ", ".join(f"'{k}': '{v}'" for k, v in SENTENCES.items())
     names = ", ".join(f"case when contains(' ' || sentence_ids || ' ', ' {rule} ') then '{name}' end" for name, rule in RULES)
     return f"""

@@ -312,6 +312,73 @@ def test_licenses(spark):
     assert got == {(1, "mit-title mit-grant mit-condition", "", None), (2, "apache-2-notice", "Apache-2.0", "Apache-2.0"), (3, "", "", None), (4, "", "", None), (5, "gpl-3-notice cc-by-nc-4-notice", "GPL-3.0-only,CC-BY-NC-4.0", "GPL-3.0-only"), (5, "", "", None)}
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE."""
+GPL = """This program is free software%s you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation%s either version %d of the License, or
+(at your option) any later version."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+NAMES = """
+%s. Neither the name of %s nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+ADVERTISING = """
+3. All advertising materials mentioning features or use of this software
+   must display the following acknowledgement: made by somebody.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+
+
+def test_wrapped_licenses(spark):
+    bsd3 = BSD + NAMES % ("3", "the copyright holder")
+    texts = [
+        (MIT, "MIT"), (GPL % (";", ";", 2), "GPL-2.0-or-later"), (GPL % (":", ",", 3), "GPL-3.0-or-later"), (GPL % (";", ";", 3), "GPL-3.0-or-later"),
+        (BSD, "BSD-2-Clause"), (bsd3, "BSD-3-Clause"), (BSD + NAMES % ("3", "Google Inc."), "BSD-3-Clause"), (BSD + ADVERTISING + NAMES % ("4", "it"), "BSD-4-Clause"), (APACHE, "Apache-2.0"),
+        (bsd3 + BSD, "BSD-3-Clause,BSD-2-Clause"), ("no stop\nReleased under the MIT License\nno stop", "MIT"), ("Released under\n\nthe MIT License", ""), ("x Released under the\nMIT License.", ""),
+    ]
+    rows, expected = [], {}
+    for text, names in texts:
+        plain = re.sub(r"\n(?!\n)(?<!\n\n) *", " ", text)
+        marked = [re.sub("(?m)^", m, text) for m in ("// ", " * ", "# ", ";; ", "-- ")]
+        for form in [text, text.replace("\n", "\r\n"), *marked, "/*\n" + marked[1] + "\n */\ncode();", *([plain] if "stop" not in text and "Released" not in text else [])]:
+            rows.append((len(rows), form))
+            expected[len(expected)] = names
+    got = {r.doc_id: (r.licenses, r.license) for r in licenses.scan_licenses(frame(spark, rows)).collect()}
+    assert got == {k: (v, v.split(",")[0] or None) for k, v in expected.items()}
+
+
 @pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
