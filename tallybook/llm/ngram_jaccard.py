@@ -127,8 +127,12 @@ def needed(n: int, m, num: int, den: int):
     return -(-num * (n + m) // (num + den))
 
 
-def t_occurrence_links(sets: list[np.ndarray], num: int, den: int, chunk=None) -> list[tuple[int, int]]:
-    """Links (positions) that join all components of the sets; with `chunk`, only links between different chunks count."""
+def t_occurrence_links(sets: list[np.ndarray], num: int, den: int, chunk=None, copies=None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links (positions) that join all components of the sets; with `chunk`, only links between different chunks count.
+
+    With `copies` (a number for each set) every link is found, also inside a component that is joined already, and the second
+    result has for each set the sum of copies of the sets it links with; without, it is zero.
+    """
     size = np.array([len(s) for s in sets])
     order = np.argsort(size, kind="stable")
     size = size[order]
@@ -143,7 +147,8 @@ def t_occurrence_links(sets: list[np.ndarray], num: int, den: int, chunk=None) -
     ends = np.cumsum(size)
     label = np.arange(len(order))
     members = {i: [i] for i in range(len(order))}
-    links = []
+    links, linked = [], np.zeros(len(order), np.int64)
+    copies = None if copies is None else np.asarray(copies, np.int64)[order]
     for q in range(len(order)):
         n = int(size[q])
         if not n:
@@ -162,6 +167,14 @@ def t_occurrence_links(sets: list[np.ndarray], num: int, den: int, chunk=None) -
         runs = [lists[start[t] : start[t + 1]] for t in short]
         if not runs:
             continue
+        if copies is not None:
+            for found in _all_partners(q, low, n, n_long, runs, long, (size, token, ends, lists, start), num, den, chunk):
+                linked[q] += copies[found].sum()
+                linked[found] += copies[q]
+                _, one = np.unique(label[found], return_index=True)
+                for c in found[one]:
+                    _join(q, int(c), order, label, members, links)
+            continue
         if sum(map(len, runs)) <= 64:
             merged = np.fromiter(heapq.merge(*runs), np.int64)
         else:
@@ -186,14 +199,54 @@ def t_occurrence_links(sets: list[np.ndarray], num: int, den: int, chunk=None) -
             else:
                 overlap = int(times[i])
             if overlap >= needed(n, int(size[c]), num, den):
-                links.append((int(order[q]), int(order[c])))
-                a, b = int(label[q]), int(label[c])
-                if len(members[a]) < len(members[b]):
-                    a, b = b, a
-                moved = members.pop(b)
-                label[moved] = a
-                members[a] += moved
-    return links
+                _join(q, c, order, label, members, links)
+    out = np.zeros(len(order), np.int64)
+    out[order] = linked
+    return links, out
+
+
+def _join(q, c, order, label, members, links):
+    a, b = int(label[q]), int(label[c])
+    if a == b:
+        return
+    links.append((int(order[q]), int(order[c])))
+    if len(members[a]) < len(members[b]):
+        a, b = b, a
+    moved = members.pop(b)
+    label[moved] = a
+    members[a] += moved
+
+
+def _occurrences(runs, low, q):
+    """How often each of the sets low to q - 1 is in sorted lists."""
+    cut = [r[slice(*np.searchsorted(r, (low, q)))] for r in runs]
+    return np.bincount(np.concatenate(cut) - low, minlength=q - low)
+
+
+def _all_partners(q, low, n, n_long, runs, long, index, num, den, chunk):
+    """All sets from low to q - 1 that link with q, at most once as one array: long lists are probed or, for many candidates, counted."""
+    size, token, ends, lists, start = index
+    times = _occurrences(runs, low, q)
+    found = low + np.flatnonzero(times)
+    if chunk is not None:
+        found = found[chunk[found] != chunk[q]]
+    least = needed(n, size[found], num, den)
+    keep = times[found - low] + n_long >= least
+    found, least = found[keep], least[keep]
+    if not len(found):
+        return
+    overlap = times[found - low]
+    if n_long:
+        if len(found) * (5000 + 50 * n_long) < 2 * int((start[long + 1] - start[long]).sum()) + 1500 * n_long:  # nanoseconds, roughly
+            for i, c in enumerate(found):
+                theirs = token[ends[c] - size[c] : ends[c]]
+                at = np.minimum(np.searchsorted(theirs, long), len(theirs) - 1)
+                overlap[i] += (theirs[at] == long).sum()
+        else:
+            overlap = overlap + _occurrences([lists[start[t] : start[t + 1]] for t in long], low, q)[found - low]
+    found = found[overlap >= least]
+    if len(found):
+        yield found
 
 
 def _heads(width):
@@ -273,13 +326,17 @@ def _sets(width):
     return sets
 
 
-def _search(num, den):
+def _search(num, den, count):
     def search(pool):
         pool = pool.drop_duplicates("cid").sort_values("cid")
         ids = pool["cid"].to_numpy()
         chunk = pool["chunk"].to_numpy() if pool["cross"].iloc[0] else None
-        links = t_occurrence_links([np.asarray(g, np.int64).view(np.uint64) for g in pool["grams"]], num, den, chunk)
-        return pd.DataFrame({"a": [ids[i] for i, _ in links], "b": [ids[j] for _, j in links]}, dtype="int64")
+        copies = pool["n_copies"].to_numpy() if count else None
+        links, linked = t_occurrence_links([np.asarray(g, np.int64).view(np.uint64) for g in pool["grams"]], num, den, chunk, copies)
+        some = np.flatnonzero(linked)
+        a = np.r_[[ids[i] for i, _ in links], ids[some]].astype(np.int64)
+        b = np.r_[[ids[j] for _, j in links], ids[some]].astype(np.int64)
+        return pd.DataFrame({"a": a, "b": b, "linked": np.r_[np.zeros(len(links), np.int64), linked[some]]})
 
     return search
 
@@ -315,13 +372,28 @@ def _taken_apart(docs, inside, width, num, den, pool_shingles):
 def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, pool_shingles: int = POOL_SHINGLES) -> DataFrame:
     """Groups of documents joined by Jaccard >= num/den over sets of `width`-word shingles.
 
-    Returns doc_id, n_shingles, component_id (smallest doc_id of the group) and n_copies (documents with the same set), one
-    row per input row. A text with fewer words than `width` is one shingle; null, empty and blank texts have an empty set and
+    Returns doc_id, n_shingles, component_id (smallest doc_id of the group), n_copies (documents with the same set) and n_links
+    (other documents at Jaccard >= num/den, copies included), one row per input row. A text with fewer words than `width` is one shingle; null, empty and blank texts have an empty set and
     stay alone. Equal rows count as copies; rows that share a doc_id but not a text are judged each by its own text. A null
     doc_id takes part and its group is named by the other ids (null when there is none). Other columns are not read.
     """
-    spark = ready(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
+    heads, groups = _grouped(docs.select("doc_id", "text"), width, num, den, pool_shingles, True)
+    names = groups.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = saved(groups.join(names, "root").select("d1", "d2", "n_copies", "n_links", "component_id"), "named")
+    alone = F.col("n_shingles") == 0
+    out = heads.join(named, ["d1", "d2"], "left")
+    return out.select(
+        "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(alone, F.lit(1)).otherwise(F.col("n_copies")).cast("long").alias("n_copies"),
+        F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
+
+
+def _grouped(docs, width, num, den, pool_shingles, count):
+    """(doc_id, n_shingles, d1, d2) of every row, and the classes of equal sets (d1, d2, rep, n_copies, root, n_links).
+
+    Without `count` a component is not searched further once it is joined, and n_links has copies only.
+    """
+    ready(docs.sparkSession)
     heads = saved(docs.mapInArrow(_heads(width), "doc_id long, n_shingles long, d1 long, d2 long"), "heads")
     classes = heads.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.count("*").alias("n_copies"))
     classes = saved(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
@@ -329,7 +401,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 4, den: int =
     keys = docs.mapInPandas(_signatures(width, num, den), "key long, node long, edge boolean")
     stars = keys.repartition("key").sortWithinPartitions("key").mapInPandas(_candidate_edges, "a long, b long")
     blocks = components(stars).withColumnRenamed("node", "d1").withColumnRenamed("root", "block")
-    inside = saved(classes.join(blocks, "d1").select("cid", "d1", "d2", "rep", "n", "block"), "inside")
+    inside = saved(classes.join(blocks, "d1").select("cid", "d1", "d2", "rep", "n", "n_copies", "block"), "inside")
 
     inside, totals = _taken_apart(docs, inside, width, num, den, pool_shingles)
     everything = totals.agg(F.sum("total")).first()[0] or 0
@@ -342,22 +414,16 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 4, den: int =
     cells = inside.withColumn("other", other)
     cell = F.when(F.col("other") < 0, F.concat(F.lit("pool "), F.pmod(F.xxhash64("block"), F.lit(pools)))).otherwise(
         F.concat_ws(" ", "block", F.least("chunk", "other"), F.greatest("chunk", "other")))
-    cells = cells.select("cid", "d1", "d2", "chunk", (F.col("other") >= 0).alias("has_chunks"), F.coalesce(F.col("other") != F.col("chunk"), F.lit(False)).alias("differs"), cell.alias("cell"))
+    cells = cells.select("cid", "d1", "d2", "n_copies", "chunk", (F.col("other") >= 0).alias("has_chunks"), F.coalesce(F.col("other") != F.col("chunk"), F.lit(False)).alias("differs"), cell.alias("cell"))
     cells = cells.withColumn("cross", F.col("has_chunks") & F.col("differs")).drop("has_chunks", "differs")
 
     grams = _grams_of(docs, inside, width)
-    links = grams.join(cells, ["d1", "d2"]).groupBy("cell").applyInPandas(_search(num, den), "a long, b long")
-    joined = components(links)
-
-    groups = classes.join(joined, classes.cid == joined.node, "left").select("d1", "d2", "rep", "n_copies", F.coalesce("root", "cid").alias("root"))
-    groups = saved(groups, "groups")
-    names = groups.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = saved(groups.join(names, "root").select("d1", "d2", "n_copies", "component_id"), "named")
-    alone = F.col("n_shingles") == 0
-    out = heads.join(named, ["d1", "d2"], "left")
-    return out.select(
-        "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.when(alone, F.lit(1)).otherwise(F.col("n_copies")).cast("long").alias("n_copies"))
+    links = saved(grams.join(cells, ["d1", "d2"]).groupBy("cell").applyInPandas(_search(num, den, count), "a long, b long, linked long"), "links")
+    joined = components(links.select("a", "b"))
+    linked = links.where("linked > 0").groupBy(F.col("a").alias("cid")).agg(F.sum("linked").alias("linked"))
+    groups = classes.join(joined, classes.cid == joined.node, "left").join(linked, "cid", "left")
+    groups = groups.select("d1", "d2", "rep", "n_copies", F.coalesce("root", "cid").alias("root"), (F.coalesce("linked", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
+    return heads, saved(groups, "groups")
 
 
 def keep_one_per_group(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:

@@ -92,6 +92,29 @@ def test_ngram_join_of_a_large_group(spark):
     assert groups(frame(spark, rows), 5, 4, 5, 2000) == brute_groups(rows, 5, 4, 5)
 
 
+def brute_links(rows, width, num, den):
+    sets = word_sets(rows, width)
+    return Counter((d, sum(i != j and bool(s) and den * len(s & o) >= num * len(s | o) for j, o in enumerate(sets))) for i, ((d, _), s) in enumerate(zip(rows, sets)))
+
+
+@pytest.mark.parametrize("pool", [1_000_000, 2000])
+def test_ngram_join_counts_every_link(spark, pool):
+    """Groups of near copies that are not all linked with each other, exact copies among them, in one pool and in chunks."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    base, rows = [word() for _ in range(120)], []
+    for i in range(150):
+        w = list(base)
+        for p in rng.integers(0, len(w), rng.integers(0, 5)):
+            w[p] = word()
+        rows += [(len(rows), " ".join(w))] * (1 + i % 3)
+    rows += AWKWARD
+    for width, num, den in ((3, 9, 10), (5, 4, 5)):
+        got = ngram_jaccard.ngram_jaccard_join(frame(spark, rows), width, num, den, pool).collect()
+        assert Counter((r.doc_id, r.n_links) for r in got) == brute_links(rows, width, num, den)
+        assert max(r.n_links for r in got) > max(r.n_copies for r in got)
+
+
 def test_one_per_group_stays(spark):
     kept = ngram_jaccard.keep_one_per_group(frame(spark, AWKWARD))
     assert kept.columns == ["doc_id", "text", "bucket", "uid", "score"]
