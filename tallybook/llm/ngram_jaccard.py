@@ -255,7 +255,7 @@ def _heads(width):
             sets = shingle_sets(b["text"].to_pylist(), width)
             digests = [set_digest(s) for s in sets]
             rest = [[len(s) for s in sets], [d[0] for d in digests], [d[1] for d in digests]]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], *[pa.array(x, pa.int64()) for x in rest]], ["doc_id", "n_shingles", "d1", "d2"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["row"], *[pa.array(x, pa.int64()) for x in rest]], ["doc_id", "row", "n_shingles", "d1", "d2"])
 
     return heads
 
@@ -389,12 +389,14 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 4, den: int =
 
 
 def _grouped(docs, width, num, den, pool_shingles, count):
-    """(doc_id, n_shingles, d1, d2) of every row, and the classes of equal sets (d1, d2, rep, n_copies, root, n_links).
+    """(doc_id, row, n_shingles, d1, d2) of every row, row being `__row` where docs has it, and the classes of equal sets (d1, d2, rep, n_copies, root, n_links).
 
     Without `count` a component is not searched further once it is joined, and n_links has copies only.
     """
     ready(docs.sparkSession)
-    heads = saved(docs.mapInArrow(_heads(width), "doc_id long, n_shingles long, d1 long, d2 long"), "heads")
+    row = F.col("__row") if "__row" in docs.columns else F.lit(None).cast("long")
+    heads = saved(docs.select("doc_id", "text", row.alias("row")).mapInArrow(_heads(width), "doc_id long, row long, n_shingles long, d1 long, d2 long"), "heads")
+    docs = docs.select("doc_id", "text")
     classes = heads.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.count("*").alias("n_copies"))
     classes = saved(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
@@ -427,15 +429,18 @@ def _grouped(docs, width, num, den, pool_shingles, count):
 
 
 def keep_one_per_group(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The documents whose id names their group: one of each near-duplicate group stays, all columns kept.
+    """One row of each near-duplicate group: that with the smallest doc_id, nulls last, then the smallest row hash; all columns kept.
 
-    Rows that are equal in every column are kept once; rows with a null doc_id stay when their group has no id.
+    Null and shared ids are no exception: rows are judged each by its own text. Rows that are equal in every column are kept
+    once. Rows without words stay, as each is a group of its own.
     """
-    groups = ngram_jaccard_join(docs, width, num, den)
-    named = saved(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"), "stay")
-    stay = named.groupBy("doc_id").count()
-    repeated = not stay.where("count > 1").isEmpty()
-    kept = only(docs.where("doc_id is not null"), stay.where("doc_id is not null").select("doc_id"), "doc_id").select(*docs.columns)
-    if not stay.where("doc_id is null").isEmpty():
-        kept = kept.union(docs.where("doc_id is null"))
+    columns = docs.columns
+    rows = docs.withColumn("__row", F.xxhash64(*columns, *[F.col(c).isNull() for c in columns]))
+    heads, groups = _grouped(rows.select("doc_id", "text", "__row"), width, num, den, POOL_SHINGLES, False)
+    found = heads.where("n_shingles > 0").join(groups.select("d1", "d2", "root"), ["d1", "d2"])
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("row").alias("row"))
+    stay = found.groupBy("root").agg(F.min(order).alias("m")).select(F.col("m.row").alias("__row"))
+    stay = saved(stay.union(heads.where("n_shingles = 0").select("row")).distinct(), "stay")
+    repeated = not only(heads.withColumnRenamed("row", "__row").select("__row"), stay, "__row").groupBy("__row").count().where("count > 1").isEmpty()
+    kept = only(rows, stay, "__row").select(*columns)
     return kept.dropDuplicates() if repeated else kept

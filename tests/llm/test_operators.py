@@ -122,6 +122,19 @@ def test_one_per_group_stays(spark):
     assert ngram_jaccard.keep_one_per_group(frame(spark, [])).count() == 0
 
 
+def test_one_per_group_stays_without_or_with_shared_ids(spark):
+    words = [f"word{i}" for i in range(60)]
+    near = lambda k, i: " ".join([f"{w}-{k}" for w in words] + [f"end{i}"])
+    rows = [
+        (None, near("a", 1), "x"), (None, near("a", 2), "x"), (None, near("a", 3), "y"), (None, near("b", 1), "x"), (5, near("b", 2), "x"), (13, near("b", 3), "x"),
+        (13, near("c", 1), "x"), (20, near("d", 1), "x"), (20, near("d", 1), "y"), (21, near("e", 1), "x"), (21, near("e", 1), "x"), (30, None, "x"), (30, None, "y"), (None, "", "x"),
+    ]
+    kept = ngram_jaccard.keep_one_per_group(spark.createDataFrame(rows, "doc_id long, text string, bucket string")).collect()
+    assert all(tuple(r) in rows for r in kept)
+    group = lambda text: text.split("-")[1][0] if text else text
+    assert Counter((r.doc_id, group(r.text)) for r in kept) == Counter([(None, "a"), (5, "b"), (13, "c"), (20, "d"), (21, "e"), (30, None), (30, None), (None, "")])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, 7), (300, 200), (300, 250)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
