@@ -14,6 +14,8 @@ from tallybook.sources.sinks import scratch_path
 
 #: Largest number of rows a side may have to be broadcast (8 to 16 bytes a row); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: A key with more than this part of all rows is a hot one; there are fewer of those than this number.
+HOT_KEYS = 1000
 _SHIPPED: set[str] = set()
 
 
@@ -50,6 +52,19 @@ def only(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if small else ids, key, "left_semi")
 
 
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], uses: str) -> DataFrame:
+    """`rows` left-joined with `table`, which has one row per key and in `uses` how many of `rows` have it (`uses` goes).
+
+    A key may have any share of the rows: fewer than HOT_KEYS keys can have more than 1/HOT_KEYS of all uses, and these are
+    broadcast; the others meet in a shuffle. Both sides should be saved tables, as they are read twice.
+    """
+    total = table.agg(F.sum(uses)).first()[0] or 0
+    hot = F.col(uses) * HOT_KEYS > total
+    frequent = F.broadcast(table.where(hot).drop(uses))
+    rare = rows.join(frequent.select(*keys), keys, "left_anti").join(table.where(~hot).drop(uses), keys, "left")
+    return rare.unionByName(rows.join(frequent, keys))
+
+
 def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallybook.llm import byte_bpe, fingerprints, licenses, ngram_jaccard, packing, quality, secret_scan, token_files, topk, url_rules
+from tallybook.llm import byte_bpe, fingerprints, licenses, ngram_jaccard, packing, prefix_trie, quality, secret_scan, token_files, topk, url_rules
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
 
@@ -60,6 +60,13 @@ def url_query(spark, sf_dir):
     return url_rules.judge_urls(_table(spark, sf_dir, "pages"), rules)
 
 
+def prefix_trie_query(spark, sf_dir):
+    """Conversations share heads of up to five turns with the first conversation of their hundred."""
+    turns = prefix_trie.saved(prefix_trie.ordered_turns(_table(spark, sf_dir, "conversations")), "ordered")
+    head = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
+    return prefix_trie.prefix_trie(*prefix_trie.with_shared_heads(turns, 100, head, most=5))
+
+
 QUERIES = {
     "op1_ngram_jaccard": ngram_jaccard_query,
     "op2_fingerprints": fingerprint_query,
@@ -71,6 +78,7 @@ QUERIES = {
     "op8_secrets": secret_query,
     "op9_token_files": token_file_query,
     "op10_url_rules": url_query,
+    "op12_prefix_trie": prefix_trie_query,
 }
 
 _TOP_K = """
@@ -94,4 +102,34 @@ left join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and s
 qualify row_number() over (partition by r order by length(rule_host || rule_path) desc, length(rule_host) desc, rule_host || rule_path desc) = 1""".format(
     rules=", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in url_rules.RULES))
 
-ORACLES = {"op5_top_k": _TOP_K, "op6_licenses": licenses.oracle(), "op10_url_rules": _URLS}
+_TRIE = """
+with recursive t as (
+  select conv_id c, row_number() over (partition by conv_id order by turn nulls first) pos, coalesce(role, '') r, coalesce(text, '') t
+  from conversations where conv_id is not null
+), code(c, crc, left_over) as (
+  select c, 4294967295::bigint, cast(c as varchar) from (select distinct c from t)
+  union all
+  select c, list_reduce(list_prepend(xor(crc, ascii(left_over)::bigint), [0::bigint, 0, 0, 0, 0, 0, 0, 0]),
+    lambda v, z: xor(v >> 1, case when v % 2 = 1 then 3988292384 else 0 end)), substr(left_over, 2) from code where left_over <> ''
+), h as (select c, xor(crc, 4294967295) % 6 h, c - c % 100 b from code where left_over = ''
+), rows_ as (
+  select h.c, t.pos, r, t from h join t on t.c = h.b where t.pos <= h
+  union all select h.c, t.pos + 1000000, r, t from h join t on t.c = h.c where t.pos > h
+), seq as (select c, row_number() over (partition by c order by pos) d, md5(length(r) || ':' || r || t) k, length(t) n from rows_
+), pre as (
+  select c, d, n, md5(string_agg(k, '') over (partition by c order by d rows unbounded preceding)) k from seq
+  union all select c, 0, 0, '' from h
+), node as (select k, d, min(c) c, count(*) n_convs, (count(*) - 1) * max(n) saved from pre group by k, d
+), parent as (select node.*, up.k up from node left join pre up on up.c = node.c and up.d = node.d - 1
+), kids as (select up k, count(*) n from parent where up is not null group by up
+), own as (select parent.*, coalesce(kids.n, 0) n_children from parent left join kids using (k)
+), total as (
+  select pre.k, cast(sum((own.n_children = 0)::int) as bigint) n_leaves, cast(sum(own.saved) as bigint) saved_tokens
+  from own join pre on pre.c = own.c and pre.d <= own.d group by pre.k
+), ends as (
+  select pre.k, sha256(string_agg(cast(c as varchar), ',' order by c)) e from pre join (select c, max(d) d from pre group by c) using (c, d) group by pre.k
+)
+select own.c conv_id, own.d depth, p.c parent_conv_id, own.n_convs, own.n_children, n_leaves, saved_tokens, coalesce(e, sha256('')) ends_sha256
+from own join total using (k) left join ends using (k) left join node p on p.k = own.up"""
+
+ORACLES = {"op12_prefix_trie": _TRIE, "op5_top_k": _TOP_K, "op6_licenses": licenses.oracle(), "op10_url_rules": _URLS}
