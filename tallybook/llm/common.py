@@ -55,10 +55,13 @@ def only(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], uses: str) -> DataFrame:
     """`rows` left-joined with `table`, which has one row per key and in `uses` how many of `rows` have it (`uses` goes).
 
-    A key may have any share of the rows: fewer than HOT_KEYS keys can have more than 1/HOT_KEYS of all uses, and these are
-    broadcast; the others meet in a shuffle. Both sides should be saved tables, as they are read twice.
+    A table of up to BROADCAST_ROWS / 4 rows is broadcast. Beyond that a key may have any share of the rows: fewer than
+    HOT_KEYS keys can have more than 1/HOT_KEYS of all uses, and these are broadcast; the others meet in a shuffle. The
+    table should be a saved one, as it is read more than once.
     """
-    total = table.agg(F.sum(uses)).first()[0] or 0
+    n, total = table.agg(F.count("*"), F.sum(uses)).first()
+    if n <= BROADCAST_ROWS // 4:
+        return rows.join(F.broadcast(table.drop(uses)), keys, "left")
     hot = F.col(uses) * HOT_KEYS > total
     frequent = F.broadcast(table.where(hot).drop(uses))
     rare = rows.join(frequent.select(*keys), keys, "left_anti").join(table.where(~hot).drop(uses), keys, "left")

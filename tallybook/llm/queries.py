@@ -1,11 +1,11 @@
-"""Registered queries of this subpackage and their SQL, keyed op1 to op10."""
+"""Registered queries of this subpackage and their SQL, keyed op1 to op13."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallybook.llm import byte_bpe, fingerprints, licenses, ngram_jaccard, packing, prefix_trie, quality, secret_scan, token_files, topk, url_rules
+from tallybook.llm import byte_bpe, fingerprints, licenses, ngram_jaccard, packing, prefix_trie, quality, secret_scan, token_files, topk, url_rules, warc
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
 
@@ -60,6 +60,10 @@ def url_query(spark, sf_dir):
     return url_rules.judge_urls(_table(spark, sf_dir, "pages"), rules)
 
 
+def warc_query(spark, sf_dir):
+    return warc.archived_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def prefix_trie_query(spark, sf_dir):
     """Conversations share heads of up to five turns with the first conversation of their hundred."""
     turns = prefix_trie.saved(prefix_trie.ordered_turns(_table(spark, sf_dir, "conversations")), "ordered")
@@ -78,6 +82,7 @@ QUERIES = {
     "op8_secrets": secret_query,
     "op9_token_files": token_file_query,
     "op10_url_rules": url_query,
+    "op11_warc": warc_query,
     "op12_prefix_trie": prefix_trie_query,
 }
 
@@ -102,6 +107,13 @@ left join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and s
 qualify row_number() over (partition by r order by length(rule_host || rule_path) desc, length(rule_host) desc, rule_host || rule_path desc) = 1""".format(
     rules=", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in url_rules.RULES))
 
+_WARC = """
+with p as (select row_number() over () r, page_id, strlen(coalesce(html, '')) n, sha256(coalesce(html, '')) d from pages
+), f as (select d, min(page_id) first from p where n >= 100 group by d)
+select page_id, n payload_bytes, p.d payload_digest, case when first is distinct from page_id and first is not null then 'revisit' else 'response' end record_type,
+  case when first is distinct from page_id then first end refers_to
+from p left join f using (d)"""
+
 _TRIE = """
 with recursive t as (
   select conv_id c, row_number() over (partition by conv_id order by turn nulls first) pos, coalesce(role, '') r, coalesce(text, '') t
@@ -132,4 +144,4 @@ with recursive t as (
 select own.c conv_id, own.d depth, p.c parent_conv_id, own.n_convs, own.n_children, n_leaves, saved_tokens, coalesce(e, sha256('')) ends_sha256
 from own join total using (k) left join ends using (k) left join node p on p.k = own.up"""
 
-ORACLES = {"op12_prefix_trie": _TRIE, "op5_top_k": _TOP_K, "op6_licenses": licenses.oracle(), "op10_url_rules": _URLS}
+ORACLES = {"op11_warc": _WARC, "op12_prefix_trie": _TRIE, "op5_top_k": _TOP_K, "op6_licenses": licenses.oracle(), "op10_url_rules": _URLS}
