@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallybook.llm import byte_bpe, fingerprints, licenses, ngram_jaccard, packing, prefix_trie, quality, secret_scan, token_files, topk, url_rules, warc
+from tallybook.llm import byte_bpe, fingerprints, hard_negatives, licenses, ngram_jaccard, packing, prefix_trie, quality, secret_scan, token_files, topk, url_rules, warc
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
 
@@ -71,6 +71,11 @@ def prefix_trie_query(spark, sf_dir):
     return prefix_trie.prefix_trie(*prefix_trie.with_shared_heads(turns, 100, head, most=5))
 
 
+def hard_negative_query(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(_table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", label=label)
+
+
 QUERIES = {
     "op1_ngram_jaccard": ngram_jaccard_query,
     "op2_fingerprints": fingerprint_query,
@@ -84,6 +89,7 @@ QUERIES = {
     "op10_url_rules": url_query,
     "op11_warc": warc_query,
     "op12_prefix_trie": prefix_trie_query,
+    "op13_hard_negatives": hard_negative_query,
 }
 
 _TOP_K = """
@@ -144,4 +150,17 @@ with recursive t as (
 select own.c conv_id, own.d depth, p.c parent_conv_id, own.n_convs, own.n_children, n_leaves, saved_tokens, coalesce(e, sha256('')) ends_sha256
 from own join total using (k) left join ends using (k) left join node p on p.k = own.up"""
 
-ORACLES = {"op11_warc": _WARC, "op12_prefix_trie": _TRIE, "op5_top_k": _TOP_K, "op6_licenses": licenses.oracle(), "op10_url_rules": _URLS}
+_NEGATIVES = """
+with v as (
+  select row_number() over () uid, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end label,
+    list_transform(embedding, lambda x: cast(floor(256 * x::double) as bigint)) e
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select a.uid, a.vec_id anchor_id, c.uid cuid, c.vec_id, a.label = c.label same, cast(coalesce(list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * c.e[i])), 0) as bigint) score
+  from v a join v c on a.uid <> c.uid and len(a.e) = len(c.e) where a.vec_id % 100 = 0
+), p as (select * from s where same qualify row_number() over (partition by uid order by score desc, vec_id nulls last) <= 5)
+select p.anchor_id, p.vec_id positive_id, cast(row_number() over w as integer) rank, n.vec_id negative_id, p.score positive_score, n.score negative_score
+from p join s n on n.uid = p.uid and not n.same and 80 * p.score <= 100 * n.score and n.score <= p.score
+window w as (partition by p.uid, p.cuid order by n.score desc, n.vec_id nulls last) qualify row_number() over w <= 5"""
+
+ORACLES = {"op13_hard_negatives": _NEGATIVES, "op11_warc": _WARC, "op12_prefix_trie": _TRIE, "op5_top_k": _TOP_K, "op6_licenses": licenses.oracle(), "op10_url_rules": _URLS}
