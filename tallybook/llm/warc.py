@@ -37,6 +37,8 @@ TRAIN_BYTES, TRAIN_RECORDS, TRAIN_PART, DICTIONARY_BYTES = 1 << 20, 400, 16 << 1
 LEAST_SHARED = 100
 #: Bytes read and first decoded at a time, and the most a record's header and content may have.
 READ_BYTES, FEED_BYTES, MOST_BYTES = 1 << 20, 8 << 10, 1 << 31
+#: The most tasks that read archives.
+READERS = 20_000
 _NAMES = uuid.UUID("8f0e6d2a-8a43-5a0f-9a53-0c6a1f6f0b11")
 _FIELD = re.compile(rb"([!#$%&'*+.^_`|~0-9A-Za-z-]+):[ \t]*(.*)", re.S)
 _ARCHIVES = "archive string, n_records long, n_bytes long"
@@ -123,7 +125,7 @@ def _write(folder, date):
             for i in range(len(ids)):
                 if writer is None:
                     name = f"pages-{uuid.uuid4().hex}.warc.zst"
-                    writer = ArchiveWriter(fs.open_output_stream(f"{path}/{name}"))
+                    writer = ArchiveWriter(fs.open_output_stream(f"{path}/{name}", compression=None))
                 writer.add(record_bytes(ids[i], urls[i], b["payload"][i].as_py(), digests[i], firsts[i], date))
                 if writer.bytes >= ARCHIVE_BYTES:
                     yield archive()
@@ -320,7 +322,7 @@ def _read(folder, schema):
         for b in batches:
             for name in b["archive"].to_pylist():
                 rows = []
-                with fs.open_input_stream(f"{path}/{name}") as stream:
+                with fs.open_input_stream(f"{path}/{name}", compression=None) as stream:
                     for at, r, problem in read_records(stream):
                         h = r["headers"] if r else {}
                         if r and r["record_type"] not in ("response", "revisit"):
@@ -340,13 +342,13 @@ _SCHEMA = pa.schema([(c.split()[0], pa.int64() if c.endswith("long") else pa.str
 
 
 def read_archives(folder: str, manifest: DataFrame) -> DataFrame:
-    """A row for every response and revisit record of the manifest's archives, one task per archive at most.
+    """A row for every response and revisit record of the manifest's archives, which are dealt one by one to up to READERS tasks.
 
     For a revisit, payload_bytes and payload_digest are those of the payload it leaves out. A record that does not hold has a
     `problem` and no other field but its archive and position. Records of other types are passed over.
     """
     names = manifest.select("archive")
-    return names.repartition(F.col("archive")).mapInArrow(_read(folder, _SCHEMA), RECORD)
+    return names.repartition(max(1, min(READERS, names.count()))).mapInArrow(_read(folder, _SCHEMA), RECORD)
 
 
 def dangling_revisits(records: DataFrame) -> DataFrame:
