@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from functools import lru_cache
 
 import pyarrow as pa
@@ -13,6 +14,10 @@ from tallybook.llm.common import ready, text_or_empty
 
 #: Longer texts are cut at safe boundaries into parts of about so many characters.
 PART_CHARS = 50_000
+#: Longer runs of white space are taken out of the text: the regex engine recurses over a run and ends the process on a very long one.
+BLANK_RUN = 10_000
+# The characters that the pattern's \s matches (Unicode White_Space).
+_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % BLANK_RUN)
 
 
 @lru_cache(maxsize=2)
@@ -44,9 +49,17 @@ def safe_parts(text: str, chars: int = PART_CHARS):
 
 
 def encode(enc, text: str) -> list[int]:
-    if len(text) <= PART_CHARS:
+    """Ids of a text. Of a run of white space before other text all but the last character are one match of the pattern, at the
+    end of a text all; such a match of a very long run is encoded without the pattern."""
+    if len(text) <= min(PART_CHARS, BLANK_RUN):
         return enc.encode_ordinary(text)
-    return [i for part in safe_parts(text) for i in enc.encode_ordinary(part)]
+    out, at = [], 0
+    for run in _BLANKS.finditer(text):
+        begin, end = run.start(), run.end() if run.end() == len(text) else run.end() - 1
+        out += [i for part in safe_parts(text[at:begin]) for i in enc.encode_ordinary(part)]
+        out += enc._encode_single_piece(text[begin:end].encode())
+        at = end
+    return out + [i for part in safe_parts(text[at:]) for i in enc.encode_ordinary(part)]
 
 
 def _ids(rank_file, pattern):

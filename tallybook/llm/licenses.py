@@ -81,8 +81,8 @@ PASSES = [
     (r" [.\-]+|[.\-]+ ", " "),
     (r" +", " "),
 ]
-#: Characters that a name (*) may have.
-NAME = ".{1,120}?"
+#: A name (*) is any words of one sentence, in which up to three abbreviations may look like sentence ends ("X Inc. of Y Co.").
+NAME = "[^H]+?(?:H H(?: [^H]+?)?){0,3}?"
 
 
 def _pattern() -> str:

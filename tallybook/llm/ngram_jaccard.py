@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from tallybook.llm.common import mix, only, ready, saved, signed
 from tallybook.llm.components import components
+from tallybook.llm.word_ids import batch_rows
 
 #: Shingles of one pool: what one search task holds.
 POOL_SHINGLES = 1_000_000
@@ -36,6 +37,8 @@ POOL_SHINGLES = 1_000_000
 BAND = 1.2
 #: Keys that one map task collects before it links and writes them.
 FLUSH_KEYS = 1_000_000
+#: Characters whose words and shingles a task holds at a time (one text at least).
+SLICE_CHARS = 1_000_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -64,6 +67,11 @@ def shingle_sets(texts, width: int) -> list[np.ndarray]:
     return out
 
 
+def _sliced_sets(texts, width):
+    for part in batch_rows(texts, SLICE_CHARS):
+        yield from shingle_sets(texts[part], width)
+
+
 def set_digest(grams: np.ndarray) -> tuple[int, int]:
     """Two 64-bit sums that name a set."""
     n = np.uint64(len(grams))
@@ -252,9 +260,10 @@ def _all_partners(q, low, n, n_long, runs, long, index, num, den, chunk):
 def _heads(width):
     def heads(batches):
         for b in batches:
-            sets = shingle_sets(b["text"].to_pylist(), width)
-            digests = [set_digest(s) for s in sets]
-            rest = [[len(s) for s in sets], [d[0] for d in digests], [d[1] for d in digests]]
+            rest = [[], [], []]
+            for s in _sliced_sets(b["text"].to_pylist(), width):
+                for column, value in zip(rest, (len(s), *set_digest(s))):
+                    column.append(value)
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["row"], *[pa.array(x, pa.int64()) for x in rest]], ["doc_id", "row", "n_shingles", "d1", "d2"])
 
     return heads
@@ -281,7 +290,7 @@ def _signatures(width, num, den):
     def signatures(batches):
         keys, nodes, held = [], [], 0
         for b in batches:
-            for s in shingle_sets(b["text"], width):
+            for s in _sliced_sets(b["text"].tolist(), width):
                 k = signature_keys(s, num, den)
                 if len(k):
                     keys.append(k)
@@ -319,9 +328,11 @@ def _candidate_edges(batches):
 def _sets(width):
     def sets(batches):
         for b in batches:
-            found = shingle_sets(b["text"], width)
-            digests = [set_digest(s) for s in found]
-            yield pd.DataFrame({"d1": [d[0] for d in digests], "d2": [d[1] for d in digests], "grams": [signed(s) for s in found]})
+            texts = b["text"].tolist()
+            for part in batch_rows(texts, SLICE_CHARS):
+                found = shingle_sets(texts[part], width)
+                digests = [set_digest(s) for s in found]
+                yield pd.DataFrame({"d1": [d[0] for d in digests], "d2": [d[1] for d in digests], "grams": [signed(s) for s in found]})
 
     return sets
 
@@ -389,12 +400,12 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 4, den: int =
 
 
 def _grouped(docs, width, num, den, pool_shingles, count):
-    """(doc_id, row, n_shingles, d1, d2) of every row, row being `__row` where docs has it, and the classes of equal sets (d1, d2, rep, n_copies, root, n_links).
+    """(doc_id, row, n_shingles, d1, d2) of every row, row being docs' column of that name, if any, and the classes of equal sets (d1, d2, rep, n_copies, root, n_links).
 
     Without `count` a component is not searched further once it is joined, and n_links has copies only.
     """
     ready(docs.sparkSession)
-    row = F.col("__row") if "__row" in docs.columns else F.lit(None).cast("long")
+    row = F.col("row") if "row" in docs.columns else F.lit(None).cast("long")
     heads = saved(docs.select("doc_id", "text", row.alias("row")).mapInArrow(_heads(width), "doc_id long, row long, n_shingles long, d1 long, d2 long"), "heads")
     docs = docs.select("doc_id", "text")
     classes = heads.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.count("*").alias("n_copies"))
@@ -434,13 +445,17 @@ def keep_one_per_group(docs: DataFrame, width: int = 5, num: int = 4, den: int =
     Null and shared ids are no exception: rows are judged each by its own text. Rows that are equal in every column are kept
     once. Rows without words stay, as each is a group of its own.
     """
-    columns = docs.columns
-    rows = docs.withColumn("__row", F.xxhash64(*columns, *[F.col(c).isNull() for c in columns]))
-    heads, groups = _grouped(rows.select("doc_id", "text", "__row"), width, num, den, POOL_SHINGLES, False)
+    columns, name = docs.columns, "__row"
+    while name in columns:
+        name += "_"
+    maps = lambda kind: "map<" in kind
+    hashed = [F.to_json(F.struct(c)) if maps(kind) else F.col(c) for c, kind in docs.dtypes]
+    rows = docs.withColumn(name, F.xxhash64(*hashed, *[F.col(c).isNull() for c in columns]))
+    heads, groups = _grouped(rows.select("doc_id", "text", F.col(name).alias("row")), width, num, den, POOL_SHINGLES, False)
     found = heads.where("n_shingles > 0").join(groups.select("d1", "d2", "root"), ["d1", "d2"])
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("row").alias("row"))
-    stay = found.groupBy("root").agg(F.min(order).alias("m")).select(F.col("m.row").alias("__row"))
+    stay = found.groupBy("root").agg(F.min(order).alias("m")).select(F.col("m.row").alias(name))
     stay = saved(stay.union(heads.where("n_shingles = 0").select("row")).distinct(), "stay")
-    repeated = not only(heads.withColumnRenamed("row", "__row").select("__row"), stay, "__row").groupBy("__row").count().where("count > 1").isEmpty()
-    kept = only(rows, stay, "__row").select(*columns)
-    return kept.dropDuplicates() if repeated else kept
+    repeated = not only(heads.select(F.col("row").alias(name)), stay, name).groupBy(name).count().where("count > 1").isEmpty()
+    kept = only(rows, stay, name)
+    return (kept.dropDuplicates([name]) if repeated else kept).select(*columns)

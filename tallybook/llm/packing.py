@@ -42,6 +42,7 @@ def _pieces(path, end_id, capacity):
                 columns = list(zip(*rows))
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        encoder.keep_first()
 
     return pieces
 

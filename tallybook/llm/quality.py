@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.llm.common import only, ready, saved
+from tallybook.llm.word_ids import batch_rows
 
 #: Labelled rows that training reads at most (those with the smallest hash of doc_id).
 TRAINING_ROWS = 6000
@@ -24,6 +25,8 @@ WORDS, SHAPES, SIZE, HIDDEN, REACH = 8192, 256, 64, 32, 2
 EPOCHS, RATE, DECAY = 400, 0.01, 1e-3
 #: Tokens whose pairs of neighbours are counted at a time.
 _PAIRED = 50_000
+#: Characters whose tokens a task holds at a time (one text at least).
+SLICE_CHARS = 1_000_000
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
 
@@ -78,7 +81,9 @@ def context_sums(texts) -> np.ndarray:
 def _context_sums(batches):
     sums = np.zeros((WORDS + SHAPES, SIZE), np.float32)
     for b in batches:
-        sums += context_sums(b["text"])
+        texts = b["text"].tolist()
+        for part in batch_rows(texts, SLICE_CHARS):
+            sums += context_sums(texts[part])
     yield pd.DataFrame({"sums": [sums.tobytes()]})
 
 
@@ -184,7 +189,7 @@ def quality_score(model: Model, docs: DataFrame, c: str = "text") -> Column:
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         values = texts.tolist()
-        out = [shared.value.scores(values[at : at + 500]) for at in range(0, len(values), 500)]
+        out = [shared.value.scores(values[part]) for part in batch_rows(values, SLICE_CHARS)]
         return pd.Series(np.concatenate(out) if out else [], dtype=float)
 
     return score(F.coalesce(F.col(c), F.lit("")))

@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 
 #: Words that a worker remembers (about 100 MB); beyond that it drops the latest quarter.
 REMEMBERED = 600_000
+#: Of these it keeps so many when a task ends (a few tens of MB): the common ones, which come early.
+KEPT = 150_000
 #: Characters that one call of the tokenizer gets, a longer word excepted.
 CALL_CHARS = 200_000
 
@@ -52,9 +54,11 @@ class WordIds:
         self.flat = np.concatenate(flat)
         self.starts = np.r_[self.starts, self.starts[-1] + np.cumsum(np.concatenate(counts))]
 
-    def _keep_first(self):
+    def keep_first(self, n: int = KEPT):
         """Drop what came last: common words come early."""
-        self.index = dict(islice(self.index.items(), REMEMBERED * 3 // 4))
+        if len(self.index) <= n:
+            return
+        self.index = dict(islice(self.index.items(), n))
         self.starts = self.starts[: len(self.index) + 1]
         self.flat = self.flat[: self.starts[-1]].copy()
 
@@ -84,7 +88,7 @@ class WordIds:
         bounds = np.r_[0, ends][np.r_[0, np.cumsum(sizes)]]
         out = self.flat[places], np.diff(bounds)
         if len(self.index) > REMEMBERED:
-            self._keep_first()
+            self.keep_first(REMEMBERED * 3 // 4)
         return out
 
 

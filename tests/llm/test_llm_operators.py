@@ -320,7 +320,7 @@ def test_token_files(spark, table):
     ids, mask = file.sequence(70)
     assert ids.tolist() == flat[70 * 2048 : 71 * 2048] and mask.all()
     ids, mask = file.sequence((first.n_tokens - 1) // 2048)
-    assert mask.sum() == (first.n_tokens - 1) % 2048 + 1 and not ids[~mask].any()
+    assert mask.sum() == (first.n_tokens - 1) % 2048 + 1 and not ids[mask == 0].any()
     folder, manifest = token_files.write_token_files(frame(spark, []), WORDS)
     assert token_files.read_token_digests(folder, manifest).count() == 0
 
@@ -439,3 +439,50 @@ def test_pipeline(spark):
             assert sorted(r.doc_id for r in docs.collect()) == sorted({g for _, _, g in brute_groups(rows, 5, 4, 5)})
     packed = corpus_pipeline.run(spark, DIR).collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()}
+
+
+def test_sequences_and_masks_are_views_of_the_mapped_file(spark, table):
+    folder, manifest = token_files.write_token_files(frame(spark, table), WORDS)
+    name = manifest.first()["tokens_file"]
+    file = token_files.TokenFile(folder.removeprefix("file:"), name)
+    whole = np.memmap(f"{folder.removeprefix('file:')}/{name}", np.uint8, "r")
+    size, address = len(whole), {}
+    for line in open("/proc/self/maps"):
+        if line.rstrip().endswith(name):
+            address.setdefault(int(line.split("-")[0], 16), line)
+    inside = lambda x: any(a <= x.__array_interface__["data"][0] < a + size for a in address)
+    for i in (0, 1):
+        ids, mask = file.sequence(i)
+        assert ids.dtype == np.uint16 and mask.dtype == np.uint8 and inside(ids) and inside(mask) and not ids.flags.owndata and not mask.flags.owndata
+    assert inside(file.tokens(5, 100))
+
+
+@pytest.mark.parametrize("blank", [" ", "\t", "\n", "\u3000", " \n"])
+def test_byte_bpe_of_long_runs_of_white_space(blank):
+    enc = byte_bpe.encoding(BYTES, P.PATTERN)
+    for n in (9_999, 10_000, 10_001, 60_000):
+        run = (blank * n)[:n]
+        for text in (run, f"some words{run}", f"{run}some words", f"a{run}'s{run}!?{run} x", f"a {run}7", f"a{run}\x1c{run}"):
+            assert byte_bpe.encode(enc, text) == enc.encode_ordinary(text)
+    run = (blank * 2_000_000)[:2_000_000]
+    for text in (run, f"a{run}b"):
+        assert enc.decode(byte_bpe.encode(enc, text)) == text
+
+
+def test_a_long_holder_of_a_licence(spark):
+    bsd = """Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+    holder = "the very long name of a holder " * 40
+    rows = [(1, bsd.format(holder)), (2, bsd.format(holder.replace(" a holder", "\n * a holder"))), (3, bsd.format("a. b. c. d. e. f")), (4, bsd.format("X Inc. of Y Co."))]
+    found = {r["doc_id"]: r["license"] for r in licenses.scan_licenses(frame(spark, rows)).collect()}
+    assert found == {1: "BSD-3-Clause", 2: "BSD-3-Clause", 3: "BSD-2-Clause", 4: "BSD-3-Clause"}
+    assert licenses.scan_licenses(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_one_per_group_keeps_columns_of_any_name_and_kind(spark):
+    rows = [(i, LONG if i < 2 else f"text {i}", i + 70, {"k": i}, i) for i in range(5)] + [(4, "text 4", 74, {"k": 4}, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __row int, extra map<string,int>, row int")
+    found = sorted((r["doc_id"], r["__row"], r["extra"]["k"], r["row"]) for r in ngram_jaccard.keep_one_per_group(docs).collect())
+    assert found == [(0, 70, 0, 0), (2, 72, 2, 2), (3, 73, 3, 3), (4, 74, 4, 4)]
+    assert ngram_jaccard.ngram_jaccard_join(docs.limit(0)).count() == 0
