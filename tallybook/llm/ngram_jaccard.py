@@ -24,7 +24,7 @@ from math import ceil, exp, sqrt
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.llm.common import mix, only, ready, saved, signed
@@ -366,12 +366,12 @@ def _taken_apart(docs, inside, width, num, den, pool_shingles):
         return inside, totals
     huge = totals.where(F.col("total") > pool_shingles).select("block")
     large = saved(inside.join(huge, "block"), "large")
-    grams = saved(_grams_of(docs, large, width).join(large.select("d1", "d2", "cid", "block"), ["d1", "d2"]).dropDuplicates(["cid"]).select("cid", "block", F.explode("grams").alias("gram")), "grams")
-    counts = saved(grams.groupBy("block", "gram").agg(F.count("*").alias("n_sets")).where("n_sets > 1"), "counts")
-    ranked = grams.join(counts, ["block", "gram"], "left").groupBy("cid", "block").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n_sets", F.lit(1)).alias("n_sets"), "gram"))).alias("g"))
-    size = F.size("g")
-    prefix = F.slice("g", 1, (size - F.ceil(size * num / F.lit(den)) + 1).cast("int"))
-    keys = ranked.select("cid", "block", F.explode(F.filter(prefix, lambda x: x["n_sets"] > 1)).alias("x"))
+    grams = _grams_of(docs, large, width).join(large.select("d1", "d2", "cid", "block", "n"), ["d1", "d2"]).select("cid", "block", "n", F.explode("grams").alias("gram"))
+    # Grams of one set only are the rarest: they need not be moved to their set again, only their number counts.
+    shared = grams.withColumn("n_sets", F.count("*").over(Window.partitionBy("block", "gram"))).where("n_sets > 1")
+    ranked = shared.groupBy("cid", "block", "n").agg(F.sort_array(F.collect_set(F.struct("n_sets", "gram"))).alias("g"))
+    prefix = F.col("n") - F.ceil(F.col("n") * num / F.lit(den)) + 1 - (F.col("n") - F.size("g"))
+    keys = ranked.select("cid", "block", F.explode(F.slice("g", 1, F.greatest(prefix, F.lit(0)).cast("int"))).alias("x"))
     keys = keys.select(F.xxhash64("block", "x.gram").alias("key"), F.col("cid").alias("node"), F.lit(False).alias("edge"))
     stars = keys.repartition("key").sortWithinPartitions("key", "node").mapInPandas(_candidate_edges, "a long, b long")
     parts = components(stars).select(F.col("node").alias("cid"), F.xxhash64(F.lit("part"), "root").alias("part"))
