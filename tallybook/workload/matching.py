@@ -66,17 +66,54 @@ def e3(t):
     return dd.new_by_similarity(incoming(t), history(t)).select("user_id", "transaction_id")
 
 
-@query("e3_fuzzy_dedup_batch")
+#: The batch rule as a fold over the rows of one account, amount and stem in their order; the SQL keeps lists of kept rows.
+FOLD = """list_reduce(list_transform(list({'seq': seq, 'day': transaction_date, 'text': lower(trim(description)), 'fp': fp, 'variant': variant, 'id': transaction_id} order by seq), lambda r: [r]),
+ lambda kept, x: case when len(list_filter(kept, lambda k: k.fp = x[1].fp or (k.text = x[1].text and abs(k.day - x[1].day) <= 3))) > 0 then kept else list_concat(kept, x) end)"""
+
+
+def _fold_sql(rows):
+    return f"""firsts as (select * from {rows} where coalesce(ext_id, '') = '' union all select * from {rows} where coalesce(ext_id, '') <> '' qualify row_number() over (partition by user_id, fp order by seq) = 1),
+folded as (select user_id, unnest({FOLD}) k from firsts group by user_id, account_name, cents, stem) select user_id, k.variant as variant, k.id as transaction_id from folded"""
+
+
+@query("e3_fuzzy_dedup_batch", f"with {INC}, fi as (select i.*, stem, {FPX} as fp from inc i join st on description = text), {_fold_sql('fi')}")
 def e3b(t):
-    """Order-dependent inside the batch; compared with a brute-force loop in the tests."""
+    """Order-dependent inside the batch; also compared with a brute-force loop in the tests."""
     return dd.first_in_batch(dd.with_fingerprint(incoming(t))).select("user_id", "variant", "transaction_id")
 
 
-@query("e3_dedupe_batch_against_history")
+@query(
+    "e3_dedupe_batch_against_history",
+    f"""with {INC}, fi as (select i.*, stem, {FPX} as fp from inc i join st on description = text), fh as (select user_id, account_name, cents, transaction_date as d, lower(trim(description)) as text, trim(ext_id) as id, {FPX} as fp from hist join st on description = text),
+fresh as (select * from fi where not is_pending and not exists (select 1 from fh where fh.user_id = fi.user_id and fh.id = trim(fi.ext_id) and length(fh.id) > 5) and not exists (select 1 from fh where fh.user_id = fi.user_id and fh.fp = fi.fp)
+ and not exists (select 1 from fh where fh.user_id = fi.user_id and fh.account_name = fi.account_name and fh.cents = fi.cents and fh.text = lower(trim(fi.description)) and abs(fh.d - fi.transaction_date) <= 3)), {_fold_sql('fresh')}""",
+)
 def e3c(t):
     return dd.dedupe(incoming(t), history(t)).select("user_id", "variant", "transaction_id")
 
 
+REPEATED = " union all ".join(
+    f"select user_id, transaction_id || '#{i}' as transaction_id, transaction_date, amount, cents, description, bank_source, account_name, case when cents % 5 = 0 then ext_id end as ext_id, seq || '/{i}' as seq from ledger where cents % 3 >= {i}"
+    for i in range(3))
+
+
+@query(
+    "e2_repeated_purchases",
+    f"""with inc as ({REPEATED}), old as (select user_id, transaction_date, amount, description, bank_source, account_name, case when cents % 5 = 0 then ext_id end as ext_id from ledger where cents % 2 = 0
+ union all select user_id, transaction_date, amount, description, bank_source, account_name, null from ledger where cents % 4 = 0), {ST},
+fi as (select i.*, {FPX} as fp from inc i join st on description = text), fh as (select user_id, {FPX} as fp, count(*) as n from old join st on description = text group by 1, 2)
+select user_id, transaction_id from (select fi.user_id, transaction_id, coalesce(ext_id, '') <> '' as has_id, coalesce(n, 0) as known, row_number() over (partition by fi.user_id, fi.fp order by seq) as copy
+ from fi left join fh on fh.user_id = fi.user_id and fh.fp = fi.fp) where case when has_id then known = 0 and copy = 1 else copy > known end""",
+)
+def e2_repeats(t):
+    """Every row comes in one to three times; the history has it not at all, once or twice."""
+    t.ledger.createOrReplaceTempView("ledger")
+    own = F.when(F.col("cents") % 5 == 0, F.col("ext_id"))
+    once = t.ledger.filter("cents % 2 = 0").withColumn("ext_id", own)
+    old = once.unionByName(t.ledger.filter("cents % 4 = 0").withColumn("ext_id", F.lit(None).cast("string")))
+    return dd.new_by_occurrence(dd.with_fingerprint(t.spark.sql(REPEATED)), dd.with_fingerprint(old)).select("user_id", "transaction_id")
+
+
 @query(
     "e4_pending_superseded",
     """select user_id, transaction_id from ledger p where not is_pending or not exists (select 1 from ledger o where not o.is_pending and o.user_id = p.user_id

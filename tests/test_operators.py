@@ -61,6 +61,54 @@ def test_batch_dedup_equals_brute_force(spark):
     assert kept(dd.first_in_batch(df)) == brute_force_batch([r.asDict() for r in df.collect()])
 
 
+def test_batch_dedup_of_incomparable_rows_and_many_days(spark):
+    rows = [row(i, 0, None, "no amount") for i in range(3)] + [row(10 + i, i % 2, 0, "nothing") for i in range(4)] + [row(20, 0, -5, ""), row(21, 0, -5, ""), row(22, 1, -5, "")]
+    rows += [row(100 + i, (i * 7) % 400 - 200, -9, "daily pass") for i in range(400)]
+    found = kept(dd.first_in_batch(dd.with_fingerprint(frame(spark, rows))))
+    days = {int(t[1:]) - 100: ((int(t[1:]) - 100) * 7) % 400 for t in found if int(t[1:]) >= 100}
+    assert [t for t in found if int(t[1:]) < 100] == ["t0", "t10", "t11", "t20", "t22"]
+    assert all(abs(a - b) > 3 for i, a in days.items() for j, b in days.items() if i != j) and len(days) >= 58
+
+
+def brute_force_occurrences(old, rows):
+    """Nth copy against Nth copy; the same text on another day within three days is still a duplicate."""
+    seen = {}
+    for r in old:
+        seen[r["user_id"], r["fingerprint"]] = seen.get((r["user_id"], r["fingerprint"]), 0) + 1
+    near = lambda a, b: 0 < abs((a["transaction_date"] - b["transaction_date"]).days) <= 3 and all(a[c] == b[c] for c in ("user_id", "account_name", "amount")) and a["description"].lower() == b["description"].lower()
+    copies, fresh, out = {}, [], []
+    for r in sorted(rows, key=lambda r: r["seq"]):
+        mark = (r["user_id"], r["fingerprint"])
+        copies[mark] = copies.get(mark, 0) + 1
+        if copies[mark] > seen.get(mark, 0):
+            fresh.append(r)
+    for r in fresh:
+        if not any(near(r, o) for o in old) and not any(near(r, o) for o in out):
+            out.append(r)
+    return sorted(r["transaction_id"] for r in out)
+
+
+def test_occurrences_against_brute_force(spark):
+    rnd = random.Random(3)
+    some = lambda n, k: [row(k + i, rnd.randrange(30), rnd.choice([-5, -6]), rnd.choice(["Red Cup", "red cup", "Blue Bowl"]), rnd.choice("ab")) for i in range(n)]
+    old, new = frame(spark, some(40, 0)), frame(spark, some(200, 1000))
+    data = [[r.asDict() for r in dd.with_fingerprint(x).collect()] for x in (old, new)]
+    assert kept(dd.dedupe(new, old, dd.OCCURRENCE)) == brute_force_occurrences(*data)
+
+
+def test_repeat_purchases_of_one_day(spark):
+    two = [row(i, 5, -20, "Trader Joe's") for i in range(2)]
+    three = [row(10 + i, 5, -20, "Trader Joe's") for i in range(3)]
+    none = frame(spark, [])
+    assert kept(dd.dedupe(frame(spark, two), none, dd.OCCURRENCE)) == ["t0", "t1"] and kept(dd.dedupe(frame(spark, two), none)) == ["t0"]
+    assert kept(dd.dedupe(frame(spark, two), frame(spark, two), dd.OCCURRENCE)) == []
+    assert kept(dd.dedupe(frame(spark, three), frame(spark, two), dd.OCCURRENCE)) == ["t12"]
+    # A day later the same text is a drifted copy, and an external id names one transaction however often it comes.
+    assert kept(dd.dedupe(frame(spark, [row(20, 6, -20, "trader joe's")]), frame(spark, two), dd.OCCURRENCE)) == []
+    ids = [row(30 + i, 5, -20, "Trader Joe's", ext="EXT-7777") for i in range(2)]
+    assert kept(dd.dedupe(frame(spark, ids), none, dd.OCCURRENCE)) == ["t30"]
+
+
 def test_history_dedup_window_and_account(spark):
     hist = frame(spark, [row(0, 10, -5, "Red Cup")])
     inc = frame(spark, [row(1, 13, -5, "red cup "), row(2, 14, -5, "red cup"), row(3, 10, -5, "red cup", account="Chase 2"), row(4, 10, -5, "red cup", user="b")])
