@@ -10,6 +10,8 @@ from tallybook.operators import dedup as dd
 from tallybook.operators import projects as pj
 from tallybook.operators import recurrence as rec
 from tallybook.schema import category_dimension
+from tallybook.sources.sinks import scratch_path
+from tallybook.sources.versions import commit_run, read_runs
 from tallybook.workload import derived as d
 from tallybook.workload import sqltext as s
 from tallybook.workload.registry import AS_OF, LIVE, SPEND, query, rr
@@ -219,6 +221,20 @@ def e7(t):
     return cr.match_credits(credit_ledger(t))
 
 
+@query(
+    "e7_superseded_runs",
+    f"""with {MATCH}
+select run, run = 2 as is_active, user_id, statement_period, credit_id, expense_id, applied_amount, match_method from off, (select unnest([1::bigint, 2::bigint]) as run) where run = 2 or statement_period < '1998-01'""",
+)
+def e7_runs(t):
+    """A first run over the credits until 1997, then one over all; only the second counts."""
+    path = scratch_path(t.spark, "credit-runs")
+    led = credit_ledger(t)
+    for run, rows in ((1, led.filter("transaction_date < date'1998-01-01'")), (2, led)):
+        commit_run(cr.match_credits(rows), path, run)
+    return read_runs(t.spark, path).select("run", "is_active", "user_id", "statement_period", "credit_id", "expense_id", "applied_amount", "match_method")
+
+
 @query(
     "e10_credit_offset_listing",
     f"with {MATCH} select off.* exclude (applied), description, amount::double as ledger_amount from off join (select transaction_id as credit_id, description, amount from cl) using (credit_id)",
