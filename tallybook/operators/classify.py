@@ -13,7 +13,9 @@ from tallybook.columns import col, contains_any, distinct_texts, first_match
 from tallybook.functions import fixed_values as v
 from tallybook.functions import parsing as p
 from tallybook.functions.merchants import clean_description, merchant_alias
+from tallybook.functions.patterns import substring_reader
 from tallybook.functions.signals import is_recurring_hint
+from tallybook.sources.sinks import stored
 
 # Fixed values of the type rules and their non-expense categories.
 PERSON_TO_PERSON = r"\b(zelle|venmo|cash.?app|apple.?cash)\b"
@@ -283,8 +285,6 @@ def _ngrams(text: Column, longest: int = 3) -> Column:
 
 
 SHARED = "*"
-# A pattern without alternation that starts with plain characters contains them in every match.
-PLAIN_START = r"^\^?([a-z0-9 ]{3})(?:[a-z0-9 ]|(?![*?{|+]))"
 
 
 def refusal(how: Column | str, value: Column | str) -> Column:
@@ -305,9 +305,10 @@ def best_rules(texts: DataFrame, rules: DataFrame, user_texts: DataFrame) -> Dat
     """Best matching rule per (rule_user, description); rule_user is '*' for global rules.
 
     `texts` is (description, cleaned, merchant), `user_texts` the (user_id, description) pairs that occur. A user's rules
-    meet only that user's texts. Exact, prefix, substring and plainly starting regex rules meet them by equi joins (on the
-    value, on every prefix, on a three-character anchor that is then verified); only other regex rules are compared with
-    every text of their scope. Equal rules collapse to the best one first and the winner is kept by a map-side-combining
+    meet only that user's texts. Exact, prefix, substring and regex rules meet them by equi joins (on the
+    value, on every prefix, on three-character anchors that are then verified: those of the plain substrings that a pattern's
+    structure requires, one for each alternative); only patterns that require no plain character at all, such as \\d+, are
+    compared with every text of their scope. Equal rules collapse to the best one first and the winner is kept by a map-side-combining
     min_by, so a rule that matches everything never builds one big group. Invalid patterns are left out (`rejected_rules`).
     """
     order = F.struct((-F.col("priority")).alias("p"), first_match([(F.col("how") == h, n) for h, n in RULE_MATCH_ORDER.items()], 2).alias("h"), F.col("id"))
@@ -331,13 +332,14 @@ def best_rules(texts: DataFrame, rules: DataFrame, user_texts: DataFrame) -> Dat
     exact = t.withColumnRenamed("target", "value").join(r.filter("how = 'exact'"), [*keys, "value"])
     prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.length("target"), F.lit(1))), lambda i: F.substring("target", F.lit(1), i))
     starts = t.withColumn("value", F.explode(prefixes)).join(r.filter("how = 'starts_with'"), [*keys, "value"])
-    rx_anchor = F.when(~F.col("value").contains("|"), F.nullif(F.regexp_extract("value", PLAIN_START, 1), F.lit("")))
-    anchor = F.when(F.col("how") == "contains", F.substring("value", 1, 3)).when(F.col("how") == "regex", rx_anchor)
-    anchored = r.withColumn("gram", anchor)
-    grams = t.withColumn("gram", F.explode(_ngrams(F.col("target"))))
+    required = F.udf(substring_reader(), "array<string>")
+    anchors = F.when(F.col("how") == "contains", F.array("value")).when(F.col("how") == "regex", required("value"))
+    anchors = F.array_distinct(F.transform(anchors, lambda x: F.substring(x, 1, 3)))
+    anchored = r.filter("how in ('contains', 'regex')").withColumn("gram", F.explode_outer(anchors))
+    grams = t.withColumn("gram", F.explode(_ngrams(F.lower("target"))))
     found = F.when(F.col("how") == "contains", F.col("target").contains(F.col("value"))).otherwise(F.rlike("target", F.concat(F.lit("(?i)"), "value")))
     inside = grams.join(anchored.filter("gram is not null"), [*keys, "gram"]).filter(found)
-    loose = t.join(anchored.filter("gram is null and how = 'regex'"), keys).filter(F.rlike("target", F.concat(F.lit("(?i)"), "value")))
+    loose = t.join(anchored.filter("gram is null"), keys).filter(F.rlike("target", F.concat(F.lit("(?i)"), "value")))
     cols = ["rule_user", "description", "best"]
     hits = exact.select(*cols).unionByName(starts.select(*cols)).unionByName(inside.select(*cols)).unionByName(loose.select(*cols))
     return hits.groupBy("rule_user", "description").agg(F.min("best").alias("best")).select("rule_user", "description", F.col("best.b").alias("best"))
@@ -345,7 +347,8 @@ def best_rules(texts: DataFrame, rules: DataFrame, user_texts: DataFrame) -> Dat
 
 def with_best_rule(rows: DataFrame, texts: DataFrame, rules: DataFrame, text: str) -> DataFrame:
     """Adds `best` (the user's rule before a global one) and `rule_scope`."""
-    best = best_rules(texts, rules, rows.select("user_id", F.col(text).alias("description")).distinct())
+    pairs = stored(rows.select("user_id", F.col(text).alias("description")).distinct(), "pairs")
+    best = stored(best_rules(stored(texts, "texts"), rules, pairs), "best")
     own = best.filter(F.col("rule_user") != SHARED).select(F.col("rule_user").alias("user_id"), F.col("description").alias(text), F.col("best").alias("own"))
     everyone = best.filter(F.col("rule_user") == SHARED).select(F.col("description").alias(text), F.col("best").alias("shared"))
     rows = rows.join(own, ["user_id", text], "left").join(everyone, text, "left")
@@ -359,6 +362,8 @@ def classify(ledger: DataFrame, rules: DataFrame | None = None, text: str = "des
     Every row stays; a missing text counts as an empty one.
     """
     profile = text_profile(ledger.withColumn(text, F.coalesce(text, F.lit(""))), text)
+    if rules is not None and not ledger.isStreaming:
+        profile = stored(profile, "profile")  # read four times below
     keyed = profile.withColumnRenamed("description", "_text")
     rows = ledger.join(keyed, F.coalesce(ledger[text], F.lit("")) == keyed["_text"]).drop("_text")
     empty = F.lit(None).cast("struct<rule_id:bigint,rule_type:string,rule_category:string,rule_confidence:string>")

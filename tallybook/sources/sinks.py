@@ -17,6 +17,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written below the shared checkpoint folder and read back, for what several parts of a plan read."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def append_ledger(rows: DataFrame, path: str, files_per_month: int = 8) -> None:
     """Append partitioned by month. Rows are spread by month and a hash of the id, so a big month becomes several files."""
     out = rows.withColumn("ym", month_key())

@@ -401,19 +401,20 @@ def d4(t):
 # One rule per part and match type; every fifth belongs to everyone.
 RULES = """select p_partkey as id, case when p_partkey % 5 = 0 then null else 'u' || lpad('' || (p_partkey % 25), 2, '0') end as user_id,
  case when p_partkey % 7 = 0 then 'description' else 'merchant' end as match_field,
- case p_partkey % 4 when 0 then p_name when 1 then substr(p_name, 1, 6) when 2 then substr(p_name, 3, 5) else '^' || substr(p_name, 1, 4) || '.*t' end as match_value,
+ case p_partkey % 4 when 0 then p_name when 1 then substr(p_name, 1, 6) when 2 then substr(p_name, 3, 5) else case when p_partkey % 8 = 3 then '^' || substr(p_name, 1, 4) || '.*t' else '(' || substr(p_name, 2, 4) || '|' || substr(p_name, 4, 5) || ').*t' end end as match_value,
  case p_partkey % 4 when 0 then 'exact' when 1 then 'starts_with' when 2 then 'contains' else 'regex' end as match_type,
  'expense' as transaction_type, 'Cat ' || p_brand as category, cast(p_size as bigint) as priority, p_size / 50.0e0 as confidence_override, p_partkey % 11 <> 0 as is_active from part"""
-# Equal pieces of rule and text first: the whole value, a start, any substring; the plain start of a pattern, then the pattern.
-MATCHED = f"""rules as materialized (select *, case match_type when 'regex' then lower(substr(match_value, 2, 4)) else lower(match_value) end as piece from ({RULES}) where is_active),
+# Equal pieces of rule and text first: the whole value, a start, any substring; the plain start or alternatives of a pattern, then the pattern.
+MATCHED = f"""rules as materialized (select *, match_type as how, case match_type when 'regex' then lower(substr(match_value, 2, 4)) else lower(match_value) end as piece from ({RULES}) where is_active and match_value not like '(%'
+  union all select *, 'contains' as how, lower(unnest(string_split(substr(match_value, 2, position(')' in match_value) - 2), '|'))) as piece from ({RULES}) where is_active and match_value like '(%'),
  tg as materialized (select description, 'merchant' as f, merchant as target from prof union all select description, 'description', cleaned from prof),
- sizes as (select distinct match_type, length(piece) as n from rules),
+ sizes as (select distinct how as match_type, length(piece) as n from rules),
  keyed as (select description, f, target, 'exact' as match_type, target as piece from tg
   union all select description, f, target, match_type, substr(target, 1, n) from tg cross join sizes where match_type in ('starts_with', 'regex')
   union all select distinct description, f, target, match_type, substr(target, i, n) from (select *, unnest(range(1, length(target) - n + 2)) as i from tg cross join sizes where match_type = 'contains')),
  hit as (select r.id, r.user_id as rule_user, r.category as rule_category, case when confidence_override >= 0.8 then 'high' else 'medium' end as rule_confidence, k.description,
   row_number() over (partition by r.user_id, k.description order by priority desc, case r.match_type when 'exact' then 0 when 'starts_with' then 1 when 'contains' then 2 else 3 end, id) as rn
-  from rules r join keyed k on k.f = r.match_field and k.match_type = r.match_type and k.piece = r.piece where r.match_type <> 'regex' or regexp_matches(k.target, '(?i)' || lower(match_value))),
+  from rules r join keyed k on k.f = r.match_field and k.match_type = r.how and k.piece = r.piece where r.match_type <> 'regex' or regexp_matches(k.target, '(?i)' || lower(match_value))),
  best as (select * from hit where rn = 1)"""
 
 

@@ -1,12 +1,15 @@
 """Rows with missing fields, late rows and repeated batches: nothing disappears without a reason."""
 
 import datetime as dt
+import random
+import re
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallybook.adapter import star_ledger
+from tallybook.functions.patterns import substring_reader
 from tallybook.operators import classify, dedup, projects
 from tallybook.sources import delimited, files
 from tallybook.streaming import ingest
@@ -100,3 +103,38 @@ def test_invalid_patterns_are_left_out(spark, ledger):
     assert {(r.id, r.reason) for r in classify.rejected_rules(rules).collect()} == {(1, "invalid pattern"), (2, "invalid pattern"), (3, "empty value")}
     out = classify.classify(ledger, rules)
     assert out.count() == ledger.count() and {r.rule_id for r in out.select("rule_id").distinct().collect()} <= {4, None}
+
+
+def test_required_substrings_of_patterns():
+    read = substring_reader()
+    known = {
+        "(uber|lyft).*eats": ["eats"], "^amzn.*t": ["amzn"], "(foo|bar)": ["bar", "foo"], "ab{2}c": ["ab"], "a\\.b": ["a.b"], "(?:abc)?defg": ["defg"], "(?!no)yes": ["yes"], "(?<n>shop) now": ["shop"],
+        "x*": [], "foo|": [], "(?i)abc": [], "(abc": [], "a)b": [], "\\p{L}abc": [], "[)(|]xyz": ["xyz"], "(?=a[)]b)cde": ["cde"], "SHOP": ["shop"],
+    }
+    assert {p: read(p) for p in known} == known
+    rnd = random.Random(1)
+
+    def pattern(depth=0):
+        k = rnd.randrange(8 if depth < 3 else 4)
+        if k < 4:
+            return rnd.choice("abc")
+        inner = pattern(depth + 1)
+        return f"({inner}|{pattern(depth + 1)})" if k == 4 else f"(?:{inner})" + rnd.choice(["*", "+", "?", "{2}", "{0,1}"]) if k == 5 else rnd.choice("abc") + rnd.choice(["*", "+", "?", "{2}", "{2,3}"]) if k == 6 else inner + pattern(depth + 1)
+
+    for _ in range(4000):
+        p = pattern() + rnd.choice(["", ".", "[ab]", "\\w"]) + pattern()
+        text = "".join(rnd.choice("abc") for _ in range(rnd.randrange(9)))
+        found, needed = re.search(p, text), read(p)
+        assert not (found and needed) or any(q in found.group() for q in needed), (p, text)
+
+
+def test_rules_with_any_pattern_against_brute_force(spark):
+    patterns = ["(uber|lyft).*eats", "shop|store", "c[ao]ffee( bar)?$", "\\d{3}", "(red|blue) (cup|bowl)s?", "^sq.*bar", "x?y?z", "(?i)tea", "ea(?=ts)", ".", "market (north|south)"]
+    texts = ["uber trip eats", "lyft eats", "uber", "corner shop", "app store 7", "caffee bar", "coffee", "shop 123 red bowl", "blue cups", "sq red bar", "xz", "green tea", "market south", "Market North", "none"]
+    schema = "id long, user_id string, match_field string, match_value string, match_type string, priority int, transaction_type string, category string, confidence_override double, is_active boolean"
+    rules = spark.createDataFrame([(i, None, "description", p, "regex", i, "expense", f"Cat {i}", 0.9, True) for i, p in enumerate(patterns)], schema)
+    given = spark.createDataFrame([(t, t, t) for t in texts], "description string, cleaned string, merchant string")
+    best = classify.best_rules(given, rules, spark.createDataFrame([], "user_id string, description string"))
+    found = {r.description: r.best.rule_id for r in best.collect()}
+    # A higher priority goes first, whatever the id.
+    assert found == {t: max(i for i, p in enumerate(patterns) if re.search(p, t, 0 if "(?i)" in p else re.I)) for t in texts if any(re.search(p, t, re.I) for p in patterns)}
