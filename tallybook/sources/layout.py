@@ -7,9 +7,11 @@ carried page by page: the window inside a page plus one row per page, so a very
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import wraps
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from tallybook.columns import contains_any, first_match, squash
 from tallybook.functions import parsing as p
@@ -105,7 +107,12 @@ def rolled_date(month: Column, day: Column, stmt_month: Column, stmt_year: Colum
     """Date of a month/day line: an early statement month puts October-December in the year before, December puts January-February after."""
     m = month.cast("int")
     year = first_match([((stmt_month <= 3) & (m >= 10), stmt_year - 1), ((stmt_month == 12) & (m <= 2), stmt_year + 1)], stmt_year)
-    return F.concat_ws("-", year.cast("string"), F.lpad(month, 2, "0"), F.lpad(day, 2, "0")).try_cast("date")
+    return _date(year, month, day)
+
+
+def _date(year: Column, month: Column, day: Column) -> Column:
+    """NULL where a part is missing."""
+    return F.concat(year.cast("string"), F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0")).try_cast("date")
 
 
 def _amount(text: Column) -> Column:
@@ -113,17 +120,54 @@ def _amount(text: Column) -> Column:
 
 
 def _out(df: DataFrame, source: str) -> DataFrame:
-    ok = df.filter("transaction_date is not null and amount is not null and trim(description) <> ''")
-    return ok.select("doc_id", "transaction_date", "description", "amount", "parser_type", F.lit(source).alias("source"))
+    """Transaction lines, and in `reason` why a line cannot become a row (a statement without a year gives no date)."""
+    reason = first_match([
+        (F.col("transaction_date").isNull(), "no date"), (F.col("amount").isNull(), "no amount"), (F.trim(F.coalesce("description", F.lit(""))) == "", "no description")])
+    return df.select("doc_id", "page", "text", "transaction_date", "description", "amount", "parser_type", F.lit(source).alias("source"), reason.alias("reason"))
+
+
+def template(judged):
+    """A parser that returns the rows of `judged`; its lines that are none are in `parse.rejects`, both in `parse.judged`."""
+
+    @wraps(judged)
+    def parse(lines: DataFrame) -> DataFrame:
+        return judged(lines).filter("reason is null").drop("reason", "page", "text")
+
+    parse.judged = judged
+    parse.rejects = lambda lines: judged(lines).filter("reason is not null").select("doc_id", "page", "text", "source", "reason")
+    return parse
+
+
+def write_judged(judged: DataFrame, path: str) -> dict[str, int]:
+    """Write rows and rejected lines in one pass, below rejected=false and rejected=true; the counts come from that pass.
+
+    Read both with `judged_rows` and `quarantine`. Returns the numbers of rows, rejected lines and of each reason.
+    """
+    seen = Observation()
+    reasons = ["no date", "no amount", "no description"]
+    counts = [F.count_if(F.col("reason").isNull()).alias("rows"), F.count_if(F.col("reason").isNotNull()).alias("rejected"), *[F.count_if(F.col("reason") == r).alias(r) for r in reasons]]
+    judged.observe(seen, *counts).withColumn("rejected", F.col("reason").isNotNull()).write.mode("overwrite").partitionBy("rejected").parquet(path)
+    return dict(seen.get)
+
+
+def judged_rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    rows = spark.read.schema(StructType([*schema.fields, StructField("rejected", BooleanType())])).parquet(path)
+    return rows.filter("not rejected").drop("rejected", "reason", "page", "text")
+
+
+def quarantine(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    rows = spark.read.schema(StructType([*schema.fields, StructField("rejected", BooleanType())])).parquet(path)
+    return rows.filter("rejected").select("doc_id", "page", "text", "source", "reason")
 
 
+@template
 def parse_chase(lines: DataFrame) -> DataFrame:
     low = F.lower(F.trim("text"))
     marker = first_match([
         (low.contains("payments and other credits"), "payments"), (low.contains("purchase") & (F.length(F.trim("text")) < 30), "purchases"),
         (contains_any(low, ["interest charges", "year-to-date"]), "none")])
     rows = carry_forward(lines.withColumn("_m", marker), ["doc_id"], "page", ["line_no"], "_m", "section")
-    rows = rows.filter(F.col("_m").isNull() & F.col("section").isin("payments", "purchases")).join(statement_years(lines), "doc_id")
+    rows = rows.filter(F.col("_m").isNull() & F.col("section").isin("payments", "purchases")).join(statement_years(lines), "doc_id", "left")
     t = F.trim("text")
     g = lambda i: F.regexp_extract(t, CHASE_LINE, i)
     # A trailing state takes its city along (unless that starts with a digit), then a trailing phone number goes.
@@ -138,19 +182,21 @@ def parse_chase(lines: DataFrame) -> DataFrame:
     return _out(rows, "chase_xy")
 
 
+@template
 def parse_wells_credit(lines: DataFrame) -> DataFrame:
     t = F.trim("text")
     due = r"Payment Due Date\s+(\d{2})/(\d{2})/(\d{4})"
     first = lines.filter(F.col("text").rlike(due)).groupBy("doc_id").agg(F.min(F.struct("page", "line_no", "text")).alias("f"))
     stated = first.select("doc_id", F.regexp_extract("f.text", due, 1).cast("int").alias("due_m"), F.regexp_extract("f.text", due, 3).cast("int").alias("due_y"))
     y = statement_years(lines).join(stated, "doc_id", "left")
-    rows = lines.filter(t.rlike(WELLS_CREDIT_LINE) & ~contains_any(F.lower("text"), WELLS_CREDIT_SKIP)).join(y, "doc_id")
+    rows = lines.filter(t.rlike(WELLS_CREDIT_LINE) & ~contains_any(F.lower("text"), WELLS_CREDIT_SKIP)).join(y, "doc_id", "left")
     g = lambda i: F.regexp_extract(t, WELLS_CREDIT_LINE, i)
     amt = _amount(g(4))
     return _out(rows.withColumns({"description": F.trim(g(3)), "amount": -amt, "parser_type": F.when(amt < 0, "card_credit").otherwise("expense"),
                                   "transaction_date": rolled_date(g(1), g(2), F.col("due_m"), F.coalesce("due_y", "stmt_year"))}), "wf_credit_xy")
 
 
+@template
 def parse_macys(lines: DataFrame) -> DataFrame:
     t = F.trim("text")
     due = r"Payment Due Date\s+(\w+)\s+\d+,\s+(\d{4})"
@@ -168,6 +214,7 @@ def parse_macys(lines: DataFrame) -> DataFrame:
         "transaction_date": rolled_date(number(g(1)).cast("string"), g(2), F.col("due_m"), F.col("due_y"))}), "macys_citi_xy")
 
 
+@template
 def parse_discover(words: DataFrame) -> DataFrame:
     """Font-shifted words; the description drops amounts, category labels and trailing noise."""
     w = words.withColumn("text", decode_shifted("text"))
@@ -175,7 +222,7 @@ def parse_discover(words: DataFrame) -> DataFrame:
     close = r"OPEN TO CLOSE DATE\s*\d{2}/\d{2}/\d{4}\s*-\s*(\d{2})/\d{2}/(\d{4})"
     first = rows.filter(F.col("text").rlike(close)).groupBy("doc_id").agg(F.min(F.struct("page", "row", "text")).alias("f"))
     y = first.select("doc_id", F.regexp_extract("f.text", close, 1).cast("int").alias("stmt_month"), F.regexp_extract("f.text", close, 2).cast("int").alias("stmt_year"))
-    rows = rows.withColumn("text", join_split_amounts("text")).filter(F.col("text").rlike(r"^\d{2}/\d{2}(\s|$)") & ~contains_any(F.lower("text"), DISCOVER_SKIP)).join(y, "doc_id")
+    rows = rows.withColumn("text", join_split_amounts("text")).filter(F.col("text").rlike(r"^\d{2}/\d{2}(\s|$)") & ~contains_any(F.lower("text"), DISCOVER_SKIP)).join(y, "doc_id", "left")
     parts = _from_second(F.split("text", r"\s+"))
     money = r"^-?\$[\d,]+\.\d{2}$"
     amt = _amount(F.try_element_at(F.filter(parts, lambda x: x.rlike(money)), F.lit(-1)))
@@ -187,6 +234,7 @@ def parse_discover(words: DataFrame) -> DataFrame:
         "transaction_date": rolled_date(F.substring("text", 1, 2), F.substring("text", 4, 2), F.col("stmt_month"), F.col("stmt_year"))}).filter(F.length("description") >= 2), "discover_xy")
 
 
+@template
 def parse_amex(words: DataFrame) -> DataFrame:
     rows = in_columns(rows_by_anchor(words), AMEX_COLUMNS)
     low = F.lower("text")
@@ -206,6 +254,7 @@ def parse_amex(words: DataFrame) -> DataFrame:
     return _out(rows.filter("parser_type is not null"), "amex_xy")
 
 
+@template
 def parse_bofa(words: DataFrame) -> DataFrame:
     rows = in_columns(rows_by_anchor(words), BOFA_COLUMNS)
     low = F.lower("text")
@@ -219,12 +268,13 @@ def parse_bofa(words: DataFrame) -> DataFrame:
     return _out(rows.withColumns({"description": F.col("c_description"), "amount": F.when(deposit, amt).otherwise(-amt), "parser_type": F.when(deposit, "income").otherwise("expense"), "transaction_date": p.parse_date("c_date")}), "bofa_xy")
 
 
+@template
 def parse_wells_bank(words: DataFrame) -> DataFrame:
     """Checking pages: the rightmost amount is the balance, the one before it the movement; its position tells the side."""
     rows = rows_by_bucket(words, 4)
     years = statement_years(rows.withColumnRenamed("row", "line_no"))
     first = F.get("words", F.lit(0))["text"]
-    rows = rows.filter(first.rlike(r"^\d{1,2}/\d{1,2}$") & ~contains_any(F.lower("text"), WELLS_BANK_SKIP)).join(years, "doc_id")
+    rows = rows.filter(first.rlike(r"^\d{1,2}/\d{1,2}$") & ~contains_any(F.lower("text"), WELLS_BANK_SKIP)).join(years, "doc_id", "left")
     rest = _from_second(F.col("words"))
     is_money = lambda w: F.regexp_replace(w["text"], ",", "").rlike(r"^\d+\.\d{2}$")
     amounts, desc = F.filter(rest, is_money), F.array_join(F.transform(F.filter(rest, lambda w: ~is_money(w)), lambda w: w["text"]), " ")
@@ -236,7 +286,7 @@ def parse_wells_bank(words: DataFrame) -> DataFrame:
         (contains_any(low, ["zelle to", "transfer to", "withdrawal", "withdrwl"]), "transfer"), (contains_any(low, ["payroll", "direct dep", "zelle from", "deposit"]), "income"),
         (contains_any(low, ["american express", "chase credit", "citi payment", "discover"]), "credit_card_payment"), (debit, "expense")], "income")
     rows = rows.withColumns({"parser_type": kind, "_a": _amount(move["text"])}).withColumn("amount", F.when(F.col("parser_type") == "income", F.col("_a")).otherwise(-F.col("_a")))
-    date = F.concat_ws("-", F.col("stmt_year").cast("string"), F.lpad(F.regexp_extract(first, r"^(\d+)/", 1), 2, "0"), F.lpad(F.regexp_extract(first, r"/(\d+)$", 1), 2, "0")).try_cast("date")
+    date = _date(F.col("stmt_year"), F.regexp_extract(first, r"^(\d+)/", 1), F.regexp_extract(first, r"/(\d+)$", 1))
     return _out(rows.withColumn("transaction_date", date), "wf_banking_xy")
 
 

@@ -9,6 +9,7 @@ from tallybook.operators import credits as cr
 from tallybook.operators import dedup as dd
 from tallybook.operators import projects as pj
 from tallybook.operators import recurrence as rec
+from tallybook.operators import statements as st
 from tallybook.schema import category_dimension
 from tallybook.sources.sinks import scratch_path
 from tallybook.sources.versions import commit_run, read_runs
@@ -94,6 +95,23 @@ def e3c(t):
     return dd.dedupe(incoming(t), history(t)).select("user_id", "variant", "transaction_id")
 
 
+@query(
+    "a17_manifest_of_an_upload",
+    f"""with {INC}, fi as (select i.*, stem, {FPX} as fp from inc i join st on description = text), fh as (select user_id, account_name, cents, transaction_date as d, lower(trim(description)) as text, trim(ext_id) as id, {FPX} as fp from hist join st on description = text),
+fresh as (select * from fi where not is_pending and not exists (select 1 from fh where fh.user_id = fi.user_id and fh.id = trim(fi.ext_id) and length(fh.id) > 5) and not exists (select 1 from fh where fh.user_id = fi.user_id and fh.fp = fi.fp)
+ and not exists (select 1 from fh where fh.user_id = fi.user_id and fh.account_name = fi.account_name and fh.cents = fi.cents and fh.text = lower(trim(fi.description)) and abs(fh.d - fi.transaction_date) <= 3)),
+kept as ({_fold_sql('fresh').replace('firsts as', 'with firsts as', 1)}),
+o as (select inc.user_id, account_name || '|' || inc.variant as file, case when is_pending then 'pending' when k.transaction_id is not null then 'saved' else 'duplicate' end as outcome, cents % 7 = 0 as needs_review, bank_source as bank
+ from inc left join kept k on k.user_id = inc.user_id and k.transaction_id = inc.transaction_id)
+select user_id, file, count(*) filter (outcome = 'saved') as transactions_extracted, count(*) filter (outcome = 'duplicate') as duplicates_skipped, count(*) filter (outcome = 'pending') as pending_skipped,
+ count(*) filter (outcome = 'saved' and needs_review) as needs_review, max(bank) as bank, case when max(bank) <> 'Unknown Bank' then 0.9::double else 0.6::double end as parse_confidence, 'complete' as upload_status from o group by 1, 2""",
+)
+def a17_upload(t):
+    """Counts of what the duplicate checks made of every row of an upload."""
+    rows = incoming(t).withColumns({"file": F.concat_ws("|", "account_name", "variant"), "needs_review": F.col("cents") % 7 == 0, "bank": F.col("bank_source")})
+    return st.upload_manifest(st.outcomes(rows, history(t)))
+
+
 REPEATED = " union all ".join(
     f"select user_id, transaction_id || '#{i}' as transaction_id, transaction_date, amount, cents, description, bank_source, account_name, case when cents % 5 = 0 then ext_id end as ext_id, seq || '/{i}' as seq from ledger where cents % 3 >= {i}"
     for i in range(3))

@@ -10,6 +10,7 @@ from tallybook.sources import delimited as dl
 from tallybook.sources import files as fl
 from tallybook.sources import layout as lo
 from tallybook.sources.ofx import parse_ofx
+from tallybook.sources.sinks import scratch_path
 from tallybook.workload import sqltext as s
 from tallybook.workload.registry import query
 
@@ -254,6 +255,29 @@ def a10_chase(t):
     return lo.parse_chase(as_lines(rows, F.when(up, 5).otherwise(20), text, heads)).select(*OUT)
 
 
+UNDATED = f"month({SHIFTED_SQL}) % 3 = 0"
+
+
+@query(
+    "a10_rejected_lines",
+    f"""select {DOC} as doc_id, day({SHIFTED_SQL}) as page, strftime({SHIFTED_SQL}, '%-m/%-d') || ' ' || description || ' ' || format('{{:,.2f}}', abs(cents) / 100.0) || ' 1,000.00' as text, 'no date' as reason from ledger where {UNDATED}
+ union all select {DOC}, day({SHIFTED_SQL}), '' || {SHIFTED_SQL}, null from ledger where not ({UNDATED})""",
+)
+def a10_rejects(t):
+    """Every third month's statements print no year: their lines go to quarantine, all others become rows; one pass writes both."""
+    rows = printed(t)
+    x = F.when(F.col("cents") > 0, 360).otherwise(430)
+    w = words_of(rows, "M/d", 30, F.col("a"), x, F.struct(F.lit(520.0).alias("x0"), F.lit("1,000.00").alias("text")))
+    dated = rows.filter(F.month("d") % 3 != 0)
+    judged = lo.parse_wells_bank.judged(w.unionByName(heading(dated, 0, F.date_format(F.add_months("close", -1), "MMMM yyyy"))))
+    path = scratch_path(t.spark, "judged")
+    lo.write_judged(judged, path)
+    kept = lo.judged_rows(t.spark, path, judged.schema)
+    day = F.dayofmonth("transaction_date")
+    return lo.quarantine(t.spark, path, judged.schema).select("doc_id", "page", "text", "reason").unionByName(
+        kept.select("doc_id", day.alias("page"), F.col("transaction_date").cast("string").alias("text"), F.lit(None).cast("string").alias("reason")))
+
+
 @query("a10_wells_credit_statement", expected("card_credit"))
 def a10_wells_credit(t):
     rows = printed(t)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallybook.adapter import star_ledger
 from tallybook.functions.patterns import substring_reader
 from tallybook.operators import classify, dedup, projects
-from tallybook.sources import delimited, files
+from tallybook.sources import delimited, files, layout
 from tallybook.streaming import ingest
 
 DAY = dt.date(2001, 3, 5)
@@ -138,3 +138,15 @@ def test_rules_with_any_pattern_against_brute_force(spark):
     found = {r.description: r.best.rule_id for r in best.collect()}
     # A higher priority goes first, whatever the id.
     assert found == {t: max(i for i, p in enumerate(patterns) if re.search(p, t, 0 if "(?i)" in p else re.I)) for t in texts if any(re.search(p, t, re.I) for p in patterns)}
+
+
+def test_lines_without_a_year_or_day_are_rejected_with_a_reason(spark, tmp_path):
+    line = lambda doc, n, text: (doc, 1, n, text)
+    lines = [line(d, 1, "PURCHASE") for d in "abc"] + [line("a", 0, "Statement March 2012"), line("c", 0, "Statement March 2012")]
+    lines += [line("a", 2, "03/05 CORNER SHOP 12.50"), line("b", 2, "03/05 CORNER SHOP 12.50"), line("c", 2, "13/05 CORNER SHOP 12.50"), line("c", 3, "03/06 CORNER SHOP 1.00"), line("c", 4, "not a line")]
+    df = spark.createDataFrame(lines, "doc_id string, page int, line_no int, text string")
+    assert sorted((r.doc_id, str(r.transaction_date)) for r in layout.parse_chase(df).collect()) == [("a", "2012-03-05"), ("c", "2012-03-06")]
+    assert sorted((r.doc_id, r.text, r.reason) for r in layout.parse_chase.rejects(df).collect()) == [("b", "03/05 CORNER SHOP 12.50", "no date"), ("c", "13/05 CORNER SHOP 12.50", "no date")]
+    judged, path = layout.parse_chase.judged(df), str(tmp_path / "judged")
+    assert layout.write_judged(judged, path) == {"rows": 2, "rejected": 2, "no date": 2, "no amount": 0, "no description": 0}
+    assert layout.judged_rows(spark, path, judged.schema).count() == 2 == layout.quarantine(spark, path, judged.schema).count()
