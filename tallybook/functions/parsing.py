@@ -77,16 +77,25 @@ def parse_layout_amount(text: Column | str) -> Column:
     return F.regexp_replace(col(text), r"[⧫$,\s]", "").try_cast(MONEY)
 
 
-def issuer_from_text(text: Column | str) -> Column:
-    """First known issuer keyword (table order) in the first 3000 characters."""
-    head = F.array(F.lower(F.substring(col(text), 1, 3000)))
+# How many characters of a text and of a delimited file's head tell its issuer by default; None takes all.
+ISSUER_TEXT_CHARS = 3000
+ISSUER_HEAD_CHARS = 1500
+
+
+def _start(text: Column, chars: int | None) -> Column:
+    return text if chars is None else F.substring(text, 1, chars)
+
+
+def issuer_from_text(text: Column | str, chars: int | None = ISSUER_TEXT_CHARS) -> Column:
+    """First known issuer keyword (table order) in the first `chars` characters, with None in the whole text."""
+    head = F.array(F.lower(_start(col(text), chars)))
     return F.transform(head, lambda h: first_match([(h.contains(k), n) for k, n in v.ISSUER_KEYWORDS.items()], F.lit(None).cast("string")))[0]
 
 
-def issuer_from_header(text: Column | str) -> Column:
-    """Account-level signals at the top of a delimited file."""
+def issuer_from_header(text: Column | str, chars: int | None = ISSUER_HEAD_CHARS) -> Column:
+    """Account-level signals in the first `chars` characters of a delimited file, with None in all that is given."""
     low = F.lower(col(text))
-    head = F.substring(low, 1, 1500)
+    head = _start(low, chars)
     cases = [
         (low.contains("extended details") & low.contains("appears on your statement as"), "American Express"),
         (head.contains("beginning balance") & head.contains("ending balance"), "Bank of America"),
@@ -105,9 +114,10 @@ def issuer_from_sheet(text: Column | str) -> Column:
     return first_match([(contains_any(low, words), name) for name, words in v.SHEET_MARKERS.items()], F.lit(None).cast("string"))
 
 
-def detect_issuer(file_name: Column | str, header: Column | str, text: Column | str) -> Column:
-    """File name first, then the header, then the text, else 'Unknown Bank'."""
-    return F.coalesce(issuer_from_file_name(file_name), issuer_from_header(header), issuer_from_text(text), F.lit("Unknown Bank"))
+def detect_issuer(file_name: Column | str, header: Column | str, text: Column | str, whole: bool = False) -> Column:
+    """File name first, then the header, then the text, else 'Unknown Bank'; with `whole` beyond the usual characters too."""
+    head, body = (None, None) if whole else (ISSUER_HEAD_CHARS, ISSUER_TEXT_CHARS)
+    return F.coalesce(issuer_from_file_name(file_name), issuer_from_header(header, head), issuer_from_text(text, body), F.lit("Unknown Bank"))
 
 
 def canonical_issuer(name: Column | str) -> Column:

@@ -64,7 +64,7 @@ def parse_delimited(lines: DataFrame, issuers: DataFrame | None = None, source:
         name = F.element_at(F.split("path", "/"), -1)
         above = lines.join(h.select("path", "header_no"), "path").filter(F.col("line_no") <= F.greatest("header_no", F.lit(ISSUER_LINES - 1)))
         top = above.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n").alias("head"))
-        issuers = top.select("path", p.detect_issuer(name, "head", "head").alias("issuer"))
+        issuers = top.select("path", p.detect_issuer(name, "head", "head", whole=True).alias("issuer"))
     rows = lines.join(h, "path").filter("line_no > header_no and trim(line) <> ''").join(issuers, "path")
     rows = staged(rows, cells=cells("line"))
     blank = lambda c: F.when(F.lower(F.trim(c)).isin("", "nan", "none"), None).otherwise(F.trim(c))

@@ -17,14 +17,23 @@ def statement_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def file_type(content: Column | str, name: Column | str) -> Column:
-    """pdf, xlsx, xls, csv or ofx by leading bytes; else the extension; else 'unknown'."""
+# The leading bytes that by default tell a delimited or OFX file.
+FIRST_BYTES, MORE_BYTES = 200, 500
+
+
+def file_type(content: Column | str, name: Column | str, whole: bool = False) -> Column:
+    """pdf, xlsx, xls, csv or ofx by leading bytes; else the extension; else 'unknown'.
+
+    With `whole` a separator or OFX mark counts wherever it is, also beyond the leading bytes.
+    """
     body = col(content)
     head = F.hex(F.substring(body, 1, 8))
-    text = lambda n: F.decode(F.substring(body, 1, n), "ISO-8859-1")
-    comma = (head.startswith("EFBBBF") | text(200).contains(",")) & (text(500).contains(",") | text(500).contains(";"))
+    text = lambda n: F.decode(body if whole else F.substring(body, 1, n), "ISO-8859-1")
+    first, more = text(FIRST_BYTES), text(MORE_BYTES)
+    ofx = first.contains("OFXHEADER") | more.contains("<OFX>")
+    comma = (head.startswith("EFBBBF") | first.contains(",")) & (more.contains(",") | more.contains(";"))
     cases = [(head.startswith(sig), kind) for sig, kind in SIGNATURES.items()]
-    cases += [(comma, "csv"), (text(200).contains("OFXHEADER") | text(500).contains("<OFX>"), "ofx")]
+    cases += [(ofx, "ofx"), (comma, "csv")] if whole else [(comma, "csv"), (ofx, "ofx")]
     low = F.lower(col(name))
     cases += [(low.endswith("." + e), e) for e in EXTENSIONS]
     return first_match(cases, "unknown")

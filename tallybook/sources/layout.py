@@ -93,6 +93,28 @@ def in_columns(rows: DataFrame, columns: dict[str, tuple[int, int]]) -> DataFram
     return rows.withColumns({f"c_{f}": words_between("words", *r) for f, r in columns.items()})
 
 
+#: Width of the x bins that words and column ranges meet in.
+X_BIN = 50
+
+
+def in_layout(rows: DataFrame, banks: DataFrame, layouts: DataFrame) -> DataFrame:
+    """Text of every column of every row, for any number of banks at once: rows with `fields`, a map from field to text.
+
+    `rows` is what `rows_by_anchor` gives, `banks` (doc_id, bank) and `layouts` (bank, field, lo, hi): a word belongs to the
+    fields of its document's bank whose range [lo, hi) holds its left edge. Words and ranges meet by equal bank and bin of x,
+    so that a word meets the few ranges of its bin. Words without a field and rows without such words give nothing.
+    """
+    keys = ["doc_id", "page", "row"]
+    bins = F.sequence(F.floor(F.col("lo") / X_BIN), F.floor((F.col("hi") - 1e-9) / X_BIN))
+    ranges = layouts.filter("lo < hi").select("bank", "field", "lo", "hi", F.explode(bins).alias("bin"))
+    words = rows.select(*keys, F.posexplode("words").alias("place", "w")).join(banks, "doc_id")
+    words = words.withColumns({"bin": F.floor(F.col("w.x0") / X_BIN), "x0": F.col("w.x0")})
+    found = words.join(ranges, ["bank", "bin"]).filter("x0 >= lo and x0 < hi")
+    texts = found.groupBy(*keys, "bank", "field").agg(F.array_sort(F.collect_list(F.struct("place", F.col("w.text").alias("text")))).alias("ws"))
+    texts = texts.withColumn("text", F.array_join(F.transform("ws", lambda w: w["text"]), " "))
+    return texts.groupBy(*keys, "bank").agg(F.map_from_entries(F.collect_list(F.struct("field", "text"))).alias("fields"))
+
+
 def statement_years(lines: DataFrame) -> DataFrame:
     """(doc_id, stmt_month, stmt_year): the first 'Month 20xx', else the most common year token."""
     named = F.col("text").rlike(MONTH_YEAR)

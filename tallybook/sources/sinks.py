@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallybook.columns import month_key
 from tallybook.functions.merchants import display_merchant
 from tallybook.session import checkpoint_root
+from tallybook.sources.versions import remove
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -31,6 +32,28 @@ def append_ledger(rows: DataFrame, path: str, files_per_month: int = 8) -> None:
     out.repartition("ym", "_slot").drop("_slot").write.mode("append").partitionBy("ym").parquet(path)
 
 
+def delete_from_ledger(path: str, rows: DataFrame) -> list[str]:
+    """Take the given rows (user_id, transaction_id) out of a ledger that `append_ledger` wrote; returns the months rewritten.
+
+    Only months that hold such a row are read whole and replaced, from a copy in the shared folder, so that a task or job that
+    runs again finds its input; the files of all other months stay as they are. A month without a row left loses its folder.
+    """
+    spark = rows.sparkSession
+    gone = stored(rows.select("user_id", "transaction_id").distinct(), "deleted")
+    ledger = spark.read.parquet(path)
+    keys = ["user_id", "transaction_id"]
+    months = sorted(r[0] for r in ledger.join(gone, keys, "left_semi").select(F.col("ym").cast("string")).distinct().collect())
+    if not months:
+        return []
+    left = stored(ledger.filter(F.col("ym").cast("string").isin(months)).join(gone, keys, "left_anti"), "left")
+    left.repartition("ym", F.pmod(F.xxhash64("transaction_id"), F.lit(8))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ym").parquet(path)
+    remaining = {r[0] for r in left.select(F.col("ym").cast("string")).distinct().collect()}
+    for month in months:
+        if month not in remaining:
+            remove(spark, f"{path}/ym={month}")
+    return months
+
+
 def output_record(rows: DataFrame) -> DataFrame:
     """The record a client reads, with a display merchant and defaulted fields."""
     shown = F.coalesce(F.nullif(display_merchant("description"), F.lit("")), F.col("description"), F.lit(""))

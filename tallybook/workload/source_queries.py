@@ -197,6 +197,22 @@ def a9(t):
     return lo.in_columns(lo.rows_by_anchor(w), lo.AMEX_COLUMNS).select("doc_id", "c_date", "c_description", "c_amount")
 
 
+@query(
+    "a9_words_in_layouts",
+    f"""select {DOC} as doc_id, bank, strftime({SHIFTED_SQL}, '%m/%d/%Y') as c_date, description as c_description, format('{{:,.2f}}', abs(cents) / 100.0) as c_amount
+ from (select *, case when abs(hash_) % 2 = 0 then 'wide' else 'narrow' end as bank from (select *, length({DOC}) + month({SHIFTED_SQL}) as hash_ from ledger))""",
+)
+def a9_layouts(t):
+    """Two banks whose amounts stand at different places, read by one plan from a table of layouts."""
+    rows = printed(t)
+    w = words_of(rows, "MM/dd/yyyy", 50, F.col("a"), F.when((F.length("doc_id") + F.month("d")) % 2 == 0, 700).otherwise(500))
+    bank = F.when((F.length("doc_id") + F.month("d")) % 2 == 0, "wide").otherwise("narrow")
+    layouts = [("narrow", f, *map(float, r)) for f, r in lo.AMEX_COLUMNS.items()] + [("wide", "date", 45.0, 95.0), ("wide", "description", 95.0, 650.0), ("wide", "amount", 650.0, 750.5)]
+    table = t.spark.createDataFrame(layouts, "bank string, field string, lo double, hi double")
+    got = lo.in_layout(lo.rows_by_anchor(w), rows.select("doc_id", bank.alias("bank")).distinct(), table)
+    return got.select("doc_id", "bank", *[F.col("fields")[f].alias(f"c_{f}") for f in ("date", "description", "amount")])
+
+
 def expected(kind_in: str, amount: str = "amount", desc: str = "description", kind_out: str = "expense") -> str:
     return f"select {DOC} as doc_id, '' || {SHIFTED_SQL} as transaction_date, {desc} as description, ({amount})::double as amount, case when cents > 0 then '{kind_in}' else '{kind_out}' end as parser_type from ledger"
 

@@ -119,6 +119,17 @@ def k6(t):
     return out.select("user_id", "transaction_id", "project_id")
 
 
+@query("k6_deleted_from_the_stored_ledger", "select ym, transaction_id from ledger where not (ym like '%-03' or (ym = '1996-07' and cents % 2 = 0))")
+def k6_stored(t):
+    """Deletions from the stored ledger: whole months and part of one; other months keep their files."""
+    from tallybook.sources.sinks import append_ledger, delete_from_ledger, scratch_path
+
+    path = scratch_path(t.spark, "ledger")
+    append_ledger(t.ledger.select(*[c for c in LEDGER_COLUMNS if c not in ("ym", "cents")]), path)
+    delete_from_ledger(path, t.ledger.filter("ym like '%-03' or (ym = '1996-07' and cents % 2 = 0)"))
+    return t.spark.read.parquet(path).select("ym", "transaction_id")
+
+
 TAGS = "select user_id, transaction_id, cents % 3 as project_id, 1 as updated_at from ledger where cents % 2 = 0 union all select user_id, transaction_id, null, 2 from ledger where cents % 4 = 0"
 
 

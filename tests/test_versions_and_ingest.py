@@ -7,6 +7,7 @@ import random
 from test_operators import frame, kept, row
 
 from tallybook.operators import dedup as dd
+from tallybook.sources import sinks
 from tallybook.sources import versions as vs
 from tallybook.streaming import ingest as ing
 
@@ -74,3 +75,22 @@ def test_ingest_of_similar_rows_and_returning_ids(spark, tmp_path):
     first = ingested(spark, tmp_path, rows[:3], 3, history=frame(spark, [row(99, 2, -5, "red cup")]))
     assert first == ["t2"]
     assert dt.date(2024, 1, 1) < out.agg({"transaction_date": "max"}).first()[0]
+
+
+def test_deletions_rewrite_only_their_months(spark, tmp_path):
+    rows = [row(i, i * 4, -10 - i, f"shop {i}", user="ab"[i % 2]) for i in range(40)]
+    path = str(tmp_path / "ledger")
+    sinks.append_ledger(frame(spark, rows), path)
+    files = lambda: {str(p.relative_to(path)): p.stat().st_mtime_ns for p in tmp_path.glob("ledger/ym=*/*.parquet")}
+    before = files()
+    gone = spark.createDataFrame([("a", f"t{i}") for i in range(0, 12, 2)] + [("b", "t5"), ("a", "t21"), ("b", "none")], "user_id string, transaction_id string")
+    first = {r.transaction_id: r.user_id for r in gone.collect()}
+    assert sinks.delete_from_ledger(path, gone) == ["2024-01", "2024-02"]
+    left = {r[1] for r in rows} - {t for t, u in first.items() if any(r[0] == u and r[1] == t for r in rows)}
+    assert kept(spark.read.parquet(path)) == sorted(left) and "t21" in left
+    changed = {k[0].split("/")[0] for k in set(before.items()) ^ set(files().items())}
+    assert changed == {"ym=2024-01", "ym=2024-02"}
+    # A month that is emptied loses its folder, and a deletion of nothing changes nothing.
+    march = [(r[0], r[1]) for r in rows if r[3].month == 3]
+    assert sinks.delete_from_ledger(path, spark.createDataFrame(march, "user_id string, transaction_id string")) == ["2024-03"]
+    assert not (tmp_path / "ledger" / "ym=2024-03").exists() and sinks.delete_from_ledger(path, gone) == []
