@@ -45,7 +45,7 @@ class _Writer:
         self.fs.create_dir(self.path, recursive=True)
         self.bucket, self.length, self.kind, self.mark = bucket, length, kind, uuid.uuid4().hex
         self.names = [f"tokens-{bucket:05d}.arrow", f"docs-{bucket:05d}.arrow"]
-        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.bool_(), length))])
         self.streams = [self.fs.open_output_stream(f"{self.path}/.{n}.{self.mark}") for n in self.names]
         self.files = [pa.ipc.new_file(s, schema) for s, schema in zip(self.streams, (self.schema, _DOCS))]
         self.held, self.n_held, self.total, self.docs = [], 0, 0, 0
@@ -63,7 +63,7 @@ class _Writer:
     def _sequences(self, count):
         ids = np.concatenate(self.held) if self.held else np.empty(0, self.kind)
         out, rest = ids[: count * self.length], ids[count * self.length :]
-        mask = (np.arange(count * self.length) < len(out)).astype(np.uint8)
+        mask = np.arange(count * self.length) < len(out)
         out = np.pad(out, (0, count * self.length - len(out)))
         for at in range(0, count, BATCH):
             part = slice(at * self.length, min(at + BATCH, count) * self.length)
@@ -112,8 +112,10 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
     """Write all documents in ascending doc_id order; returns the folder and the manifest, one row per pair of files.
 
     A null or empty text is the end id alone; a null doc_id comes first; equal ids follow by text. An empty table writes no
-    file. The last sequence of a file is filled up with id 0 and a mask of 0. Other columns are not read.
+    file. The last sequence of a file is filled up with id 0 and a false mask; a length is a multiple of 8. Other columns are not read.
     """
+    if length % 8:
+        raise ValueError("length must be a multiple of 8")
     spark = ready(docs.sparkSession)
     folder = folder or scratch_path(spark, "tokens")
     rows = in_id_order(docs.select("doc_id", text_or_empty().alias("text")))
@@ -137,9 +139,13 @@ class TokenFile:
         return self.batch.column(column).flatten()
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask (1 and 0) of sequence i."""
+        """Ids and mask of sequence i, both views; the mask is packed, eight places a byte from the lowest bit on
+        (`np.unpackbits(mask, count=length, bitorder="little")`)."""
         part = slice(i % BATCH * self.length, (i % BATCH + 1) * self.length)
-        return tuple(self._values(i // BATCH, c).to_numpy()[part] for c in ("ids", "mask"))
+        bits = self._values(i // BATCH, "mask")
+        packed = np.frombuffer(bits.buffers()[1], np.uint8)
+        begin = bits.offset + part.start
+        return self._values(i // BATCH, "ids").to_numpy()[part], packed[begin // 8 : (begin + self.length + 7) // 8]
 
     def tokens(self, start: int, n: int) -> np.ndarray:
         """n ids from place `start` of the file on."""
