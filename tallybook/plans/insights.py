@@ -1,8 +1,8 @@
 """Ranked spending insights for every user and data month in one job.
 
-Everything a rule needs is aggregated to one wide row per user and month (from month, category, merchant and
-subscription aggregates); the rules are then plain columns of that row, so no rule rescans the ledger and nothing is
-gathered beyond the at most eighteen insights of a month.
+The ledger is read once, into mergeable sums per user, month, category, text and flags. Everything a rule needs is merged
+from those sums to one wide row per user and month (from month, category, merchant and subscription aggregates); the rules
+are then plain columns of that row, and nothing is gathered beyond the at most eighteen insights of a month.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from tallybook.functions import signals as sg
 from tallybook.functions.merchants import prefix_key
 from tallybook.operators.aggregates import budget_for_month
 from tallybook.operators.periods import is_flexible, is_spend, with_period
+from tallybook.sources.sinks import stored
 
 # Row types the insights read and word lists of single rules.
 READ_TYPES = ["expense", "income", "transfer", "credit_card_payment"]
@@ -37,29 +38,47 @@ def insight_rows(ledger: DataFrame, include_excluded: bool = True) -> DataFrame:
     if not include_excluded:
         rows = rows.filter("exclusion_reason is null")
     text = F.coalesce("description", F.lit(""))
-    return with_period(rows).select(
-        "user_id", "ym", "seq", "spent", "transaction_date", text.alias("text"), F.coalesce("category", F.lit("Other")).alias("category"),
+    weekend, zero = F.weekday("transaction_date") >= 5, F.lit(0).cast("long")
+    rows = with_period(rows).select(
+        "user_id", "ym", "seq", "spent", text.alias("text"), F.coalesce("category", F.lit("Other")).alias("category"),
         F.coalesce(F.col("is_fixed"), F.lit(False)).alias("is_fixed"), is_flexible().alias("is_flex"),
-        sg.is_subscription("category", "description", v.INSIGHT_SUBSCRIPTION_KEYWORDS).alias("is_sub"))
+        sg.is_subscription("category", "description", v.INSIGHT_SUBSCRIPTION_KEYWORDS).alias("is_sub"),
+        F.lit(1).cast("long").alias("n"), F.col("spent").alias("first_spent"), weekend.cast("long").alias("wknd_n"), F.when(weekend, F.col("spent")).otherwise(zero).alias("wknd"),
+        F.when(F.dayofmonth("transaction_date") >= 24, F.col("spent")).otherwise(zero).alias("late"))
+    # Only charges above 200 can be outliers.
+    big = (F.col("spent") > 20000) & F.col("is_flex") & ~contains_any(F.lower("text"), LOAN_WORDS)
+    return rows.withColumn("big_seq", F.when(big, F.col("seq")))
 
 
-def _sum(cond: Column) -> Column:
-    return F.coalesce(F.sum(F.when(cond, F.col("spent"))), F.lit(0).cast("long"))
+def merged_rows(rows: DataFrame) -> DataFrame:
+    """`insight_rows` with equal rows merged into sums; a possible outlier stays a row of its own.
+
+    `seq` and `first_spent` are those of the first row, for rules that name a single charge. The columns stay the same, so the sums merge on and every aggregate below reads either form.
+    """
+    keys = ["user_id", "ym", "text", "category", "is_fixed", "is_flex", "is_sub", "big_seq"]
+    return rows.groupBy(*keys).agg(F.min("seq").alias("seq"), F.min_by("first_spent", "seq").alias("first_spent"), *[F.sum(x).alias(x) for x in ("spent", "n", "wknd_n", "wknd", "late")])
+
+
+def _sum(cond: Column, what: str = "spent") -> Column:
+    return F.coalesce(F.sum(F.when(cond, F.col(what))), F.lit(0).cast("long"))
+
+
+def _count(cond: Column) -> Column:
+    return _sum(cond, "n")
 
 
 def _months(rows: DataFrame) -> DataFrame:
     """One row per user and data month with lags, position and the user's month count."""
     low = F.lower("text")
-    weekend = F.weekday("transaction_date") >= 5
     dining, sub = F.col("category") == DINING, F.col("is_sub")
     loan_free = F.col("is_flex") & ~contains_any(low, LOAN_WORDS)
     keywords = list(dict.fromkeys(k for ks, _, _ in v.SUBSCRIPTION_BUNDLES for k in ks))
     aggs = [
-        F.count(F.lit(1)).alias("n"), F.sum("spent").alias("total"), _sum(F.col("is_flex")).alias("flex"),
-        F.count_if(dining).alias("dining_n"), _sum(dining).alias("dining"), F.count_if(weekend).alias("wknd_n"), _sum(weekend).alias("wknd"), _sum(~weekend).alias("wkdy"),
-        _sum(F.dayofmonth("transaction_date") >= 24).alias("late"), _sum(sub).alias("sub_total"),
+        F.sum("n").alias("n"), F.sum("spent").alias("total"), _sum(F.col("is_flex")).alias("flex"),
+        _count(dining).alias("dining_n"), _sum(dining).alias("dining"), F.sum("wknd_n").alias("wknd_n"), F.sum("wknd").alias("wknd"), (F.sum("spent") - F.sum("wknd")).alias("wkdy"),
+        F.sum("late").alias("late"), _sum(sub).alias("sub_total"),
         F.count_distinct(F.when(sub, F.trim(F.substring("text", 1, 15)))).alias("sub_n"),
-        F.count_if(loan_free).alias("free_n"), _sum(loan_free).alias("free"),
+        _count(loan_free).alias("free_n"), _sum(loan_free).alias("free"),
     ]
     aggs += [F.bool_or(sub & low.contains(k)).alias(f"kw_{i}") for i, k in enumerate(keywords)]
     aggs += [_sum(sub & contains_any(low, ks)).alias(f"bundle_{i}") for i, (ks, _, _) in enumerate(v.SUBSCRIPTION_BUNDLES)]
@@ -95,14 +114,18 @@ def _category_picks(rows: DataFrame, pos: DataFrame) -> DataFrame:
         pick(F.col("s0").isNotNull() & (F.col("r_n") >= 2), "s0", "c0", "r_sum", "r_n").alias("a2"))
 
 
-def _merchant_picks(rows: DataFrame, pos: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Per month: top flexible merchant, changed fixed merchant; new-merchant candidates; and first merchant with history."""
+def _merchant_months(rows: DataFrame) -> DataFrame:
+    """Sums and first rows of each merchant key per user and month."""
     k = rows.withColumn("key", prefix_key("text", 12)).filter("key <> ''")
     flex, fixed = F.col("is_flex"), F.col("is_fixed")
     first = lambda cond: F.min(F.when(cond, F.struct("seq", "text")))
-    k = k.groupBy("user_id", "ym", "key").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("seq", "text")).alias("f"), _sum(flex).alias("flex"), F.count_if(flex).alias("flex_n"), first(flex).alias("ff"),
-        F.bool_or(flex & F.col("category").isin(NEW_MERCHANT_SKIP_CATEGORIES)).alias("skip_cat"), _sum(fixed).alias("fixed"), F.count_if(fixed).alias("fixed_n"), first(fixed).alias("fx"))
+    return k.groupBy("user_id", "ym", "key").agg(
+        F.sum("n").alias("n"), F.min(F.struct("seq", "text")).alias("f"), _sum(flex).alias("flex"), _count(flex).alias("flex_n"), first(flex).alias("ff"),
+        F.bool_or(flex & F.col("category").isin(NEW_MERCHANT_SKIP_CATEGORIES)).alias("skip_cat"), _sum(fixed).alias("fixed"), _count(fixed).alias("fixed_n"), first(fixed).alias("fx"))
+
+
+def _merchant_picks(k: DataFrame, pos: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Per month: top flexible merchant, changed fixed merchant; new-merchant candidates; and first merchant with history."""
     at = lambda back, x: F.max(F.when(F.col("back") == back, F.col(x)))
     g = _shifted(k, pos, 1).groupBy("user_id", "pos", "key").agg(
         *[at(0, x).alias(x) for x in ("flex", "flex_n", "ff", "fixed", "fixed_n", "fx", "skip_cat")], at(1, "fixed").alias("p_fixed"), at(1, "fixed_n").alias("p_fixed_n"))
@@ -130,7 +153,7 @@ def _merchant_picks(rows: DataFrame, pos: DataFrame) -> tuple[DataFrame, DataFra
 def _cancelled(rows: DataFrame, pos: DataFrame) -> DataFrame:
     """First charge of last month for a subscription key seen in both earlier months and not in this one."""
     k = rows.filter("is_sub").withColumn("key", F.lower(F.substring("text", 1, 10)))
-    k = k.groupBy("user_id", "ym", "key").agg(F.min(F.struct("seq", "text", "spent")).alias("f"))
+    k = k.groupBy("user_id", "ym", "key").agg(F.min(F.struct("seq", "text", F.col("first_spent").alias("spent"))).alias("f"))
     seen = lambda back: F.bool_or(F.col("back") == back)
     g = _shifted(k, pos, 2).groupBy("user_id", "pos", "key").agg(seen(0).alias("now"), seen(1).alias("last"), seen(2).alias("before"), F.min(F.when(F.col("back") == 1, F.col("f"))).alias("f"))
     return g.filter("last and before and not now").groupBy("user_id", "pos").agg(F.min("f").alias("w3"))
@@ -150,13 +173,18 @@ PART_SCHEMAS = {
 
 
 def wide_months(ledger: DataFrame, history: DataFrame, profile: DataFrame, include_excluded: bool = True, only: list[str] | None = None) -> DataFrame:
-    """The wide month row; with `only` (rule ids) the aggregates no rule asks for are left out of the plan."""
+    """The wide month row; with `only` (rule ids) the aggregates no rule asks for are left out of the plan.
+
+    For all rules the merged sums, the months and the merchant months are written once, as several aggregates read each.
+    """
     need = ALL_PARTS if only is None else {RULE_PARTS[r] for r in only if r in RULE_PARTS}
+    once = stored if only is None else lambda df, name: df
     rows = insight_rows(ledger, include_excluded)
-    base = budget_for_month(_months(rows), history, profile)
+    rows = once(merged_rows(rows) if only is None else rows, "insight-sums")
+    base = once(budget_for_month(_months(rows), history, profile), "insight-months")
     pos = base.select("user_id", "ym", "pos", "n_months")
     slim, by_pos, by_month = pos.select("user_id", "ym", "pos"), ["user_id", "pos"], ["user_id", "ym"]
-    picks, new, hist = _merchant_picks(rows, slim) if need & {"merchant", "new", "history"} else (None, None, None)
+    picks, new, hist = _merchant_picks(once(_merchant_months(rows), "insight-merchants"), slim) if need & {"merchant", "new", "history"} else (None, None, None)
     m = base
     if "category" in need:
         m = m.join(_category_picks(rows, pos), by_pos, "left")
@@ -170,8 +198,7 @@ def wide_months(ledger: DataFrame, history: DataFrame, profile: DataFrame, inclu
         big_new = new.join(base.select("user_id", "pos", "budget"), by_pos).filter("budget > 0 and flex * 10 > budget")
         m = m.join(big_new.groupBy("user_id", "pos").agg(F.min(F.struct(F.col("ff.seq").alias("s"), F.col("ff.text").alias("text"), "flex")).alias("t3")), by_pos, "left")
     if "outlier" in need:
-        # Only charges above 200 can be outliers, so the row-level join sees few rows.
-        big = rows.filter((F.col("spent") > 20000) & F.col("is_flex") & ~contains_any(F.lower("text"), LOAN_WORDS)).select("user_id", "ym", "seq", "text", "spent")
+        big = rows.filter("big_seq is not null").select("user_id", "ym", "seq", "text", "spent")
         big = big.join(base.select("user_id", "ym", "free", "free_n"), by_month).filter("free_n >= 3 and spent * free_n * 10 > free * 25")
         m = m.join(big.groupBy("user_id", "ym").agg(F.min(F.struct("seq", "text", "spent")).alias("a1")), by_month, "left")
     absent = {c: F.lit(None).cast(t) for part, cols in PART_SCHEMAS.items() if part not in need for c, t in cols.items()}

@@ -44,8 +44,9 @@ BASE = f"""bh as ({d.BUDGET_HISTORY_SQL}), pf as ({d.PROFILE_SQL}),
   from (select *, trim(lower(text[1:12])) as key from r) where key <> '' group by 1, 2, 3)"""
 
 
-def rule(name: str, kind: str, score: str, head: str, body: str, action: str = "null", filt: str = "null", src: str = "m", where: str = "true", ctes: str = "") -> str:
-    return f"with {BASE}{ctes} select m.user_id, m.ym, {q(name)} as id, {q(kind)} as type, ({score})::bigint as score, {head} as title, {body} as body, {action}::varchar as action, {filt}::varchar as action_filter from {src} where {where}"
+def rule(name: str, kind: str, score: str, head: str, body: str, action: str = "null", filt: str = "null", src: str = "m", where: str = "true", ctes: str = "") -> tuple[str, str]:
+    """(CTEs beyond BASE, select) of a rule."""
+    return ctes, f"select m.user_id, m.ym, {q(name)} as id, {q(kind)} as type, ({score})::bigint as score, {head} as title, {body} as body, {action}::varchar as action, {filt}::varchar as action_filter from {src} where {where}"
 
 
 TH = max(4, round(6 * AS_OF.day / 30))
@@ -127,10 +128,26 @@ def _register(key: str, sql: str) -> None:
 
 
 for _key, _sql in RULES.items():
-    _register(_key, _sql)
-
-
-@query("i19_ranked_insights")
+    _register(_key, f"with {BASE}{_sql[0]} {_sql[1]}")
+
+ENTRY = "{'id': id, 'type': type, 'score': score, 'title': title, 'body': body, 'action': action, 'action_filter': action_filter}"
+RANKED = f"""with recursive {BASE}{''.join(dict.fromkeys(ctes for ctes, _ in RULES.values()))},
+ cand as ({' union all '.join(f"select {at} as ord, * from ({sql})" for at, (_, sql) in enumerate(RULES.values()))}),
+ o as (select user_id, ym, type, action_filter, {ENTRY} as e, row_number() over (partition by user_id, ym, type = 'win' order by score desc, ord) as rn from cand),
+ w as (select user_id, ym, coalesce(list(e order by rn) filter (type = 'win'), []) as wins from o group by 1, 2),
+ f as (select user_id, ym, 0::bigint as step, wins[1:1] as acc from w
+  union all select f.user_id, f.ym, step + 1, case when len(acc) >= 6 or (len(acc) > 2 and len(list_filter(acc, lambda a: a.type = o.type)) > 0)
+   or (o.action_filter is not null and len(list_filter(acc, lambda a: a.action_filter = o.action_filter)) > 0) then acc else list_append(acc, o.e) end
+  from f join o on o.user_id = f.user_id and o.ym = f.ym and o.type <> 'win' and o.rn = f.step + 1),
+ picked as (select user_id, ym, list_concat(arg_max(acc, step), any_value(wins[2:]))[1:6] as six from f join w using (user_id, ym) group by 1, 2),
+ shown as (select user_id, ym, generate_subscripts(six, 1) as ord, unnest(six) as e from picked)
+select user_id, ym, row_number() over (partition by user_id, ym order by e.type <> 'win', e.score desc, ord) - 1 as rank, e.id as id, e.type as type, e.score as score, e.title as title, e.body as body, e.action as action,
+ e.action_filter as action_filter from shown
+union all select user_id, ym, 0, 'PARTIAL', 'info', 10, 'Only ' || n || ' transactions found for this month', 'Upload your complete statement for accurate insights and spending comparisons.', 'Upload complete statement', null
+ from m1 where n < 10 or coalesce(p_n > 0 and n * 10 < p_n * 4, false)"""
+
+
+@query("i19_ranked_insights", RANKED)
 def i19(t):
-    """Order-dependent fold over a month's insights; compared with a brute-force loop in the tests."""
+    """Order-dependent fold over a month's insights; the SQL folds with a recursion over the candidates by rank."""
     return ins.ranked_insights(wide(t), AS_OF)

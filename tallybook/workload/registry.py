@@ -64,8 +64,9 @@ def with_ledger(sql: str) -> str:
     sql = sql.strip().rstrip(";")
     if "ledger" not in sql:
         return sql
-    head = f"with ledger as ({ledger_sql()})"
-    return f"{head}, {sql[4:].lstrip()}" if sql[:4].lower() == "with" else f"{head}\n{sql}"
+    recursive = "recursive " if sql.lower().startswith("with recursive ") else ""
+    head = f"with {recursive}ledger as ({ledger_sql()})"
+    return f"{head}, {sql[4:].lstrip().removeprefix(recursive)}" if sql[:4].lower() == "with" else f"{head}\n{sql}"
 
 
 def rr(num: str, den: str, scale: int = 1) -> str:

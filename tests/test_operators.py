@@ -195,3 +195,18 @@ def test_new_merchant_and_frequency_insights_fire(spark):
     wide = ins.wide_months(frame(spark, rows), empty, profile)
     found = {(r["ym"], r["id"]) for r in ins.candidates(wide, dt.date(2025, 1, 1)).collect()}
     assert ("2024-03", "T3") in found and ("2024-03", "A3") in found
+
+
+def test_insights_from_merged_sums_equal_those_from_single_rows(spark):
+    """Repeated texts merge; the charge that W3 and A1 name stays the first one's, not the sum."""
+    rows = [row(i, (i % 4) * 31 + i % 20, -10 - i % 3, "Corner Shop") for i in range(80)]
+    rows += [row(100 + i, 31 * (i % 2) + 3 + i // 2, -15, "NETFLIX.COM", category="Subscriptions") for i in range(6)]
+    rows += [row(200 + i, 70 + i, -900, "Brand New Place") for i in range(2)]
+    empty = spark.createDataFrame([], "user_id string, ym string, budget long")
+    profile = spark.createDataFrame([("a", 100000)], "user_id string, budget long")
+    day = dt.date(2025, 1, 1)
+    every = [name for name, _, _ in ins.rules(day)]
+    listing = lambda only: sorted(map(str, ins.candidates(ins.wide_months(frame(spark, rows), empty, profile, only=only), day).collect()))
+    merged = listing(None)
+    assert merged == listing(every)
+    assert any("Saving $15/mo" in r for r in merged)
