@@ -116,7 +116,7 @@ def months_with_data(ledger: DataFrame, min_rows: int = 3) -> DataFrame:
     """Months with at least `min_rows` rows of any type."""
     dated = ledger.filter(F.col("transaction_date").isNotNull())
     counts = dated.groupBy("user_id", month_key().alias("ym")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.filter(F.col("n") >= min_rows).orderBy("user_id", F.desc("ym"))
+    return counts.filter(F.col("n") >= min_rows)
 
 
 # Types outside the cash flow.

@@ -109,9 +109,9 @@ def offset_totals(offsets: DataFrame) -> DataFrame:
 
 
 def offset_listing(offsets: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Offsets with their credit row, largest applied amount first."""
+    """Offsets with their credit row; order the page that is shown (`periods.page`), not the listing."""
     rows = ledger.select(F.col("transaction_id").alias("credit_id"), "user_id", "description", F.col("amount").alias("ledger_amount"))
-    return offsets.join(rows, ["user_id", "credit_id"]).orderBy("user_id", "statement_period", F.desc("applied_amount"))
+    return offsets.join(rows, ["user_id", "credit_id"])
 
 
 def net_category_spend(ledger: DataFrame, offsets: DataFrame) -> DataFrame:
@@ -181,18 +181,31 @@ def exclude_covered(ledger: DataFrame) -> DataFrame:
         "exclusion_reason": F.when(hit, "credit_covered").otherwise(F.col("exclusion_reason"))}).drop("_covered")
 
 
-def fixed_with_cover(ledger: DataFrame, manual: DataFrame) -> DataFrame:
-    """Fixed items net of merchant credits, with credit-covered rows and the user's manual items appended."""
+def fixed_with_cover(ledger: DataFrame, manual: DataFrame, by_month: bool = False, credits_of: str = "all") -> DataFrame:
+    """Fixed items net of merchant credits, with credit-covered rows and the user's manual items appended.
+
+    With `by_month` every dated month of a user is a period of its own, each with the manual items. `credits_of` says which
+    credits pay an item: "all" of the user, whatever the period, or only those of the same "month".
+    """
     from tallybook.operators.recurrence import fixed_groups
 
-    rows = spend(ledger).unionByName(ledger.filter("exclusion_reason = 'credit_covered' and is_fixed"))
-    items = fixed_groups(rows).withColumn("merchant_key", F.lower(F.substring("merchant", 1, 10)))
-    cover = cover_by_text(items.select("user_id", "merchant_key").distinct(), credit_map(ledger))
-    items = items.join(cover, ["user_id", "merchant_key"], "left").withColumn("covered", F.least(F.coalesce("credit", F.lit(0).cast("long")), F.col("total")))
+    if credits_of not in ("all", "month") or (credits_of == "month" and not by_month):
+        raise ValueError("credits_of is 'all', or 'month' together with by_month")
+    scoped, owner = ledger, F.col("user_id")
+    if by_month:
+        dated = ledger.filter("transaction_date is not null")
+        scoped = dated.withColumn("user_id", F.struct("user_id", month_key().alias("ym")))
+        manual = manual.join(dated.select("user_id", month_key().alias("ym")).distinct(), "user_id").withColumn("user_id", F.struct("user_id", "ym"))
+        owner = owner if credits_of == "month" else F.col("user_id.user_id")
+    rows = spend(scoped).unionByName(scoped.filter("exclusion_reason = 'credit_covered' and is_fixed"))
+    items = fixed_groups(rows).withColumns({"merchant_key": F.lower(F.substring("merchant", 1, 10)), "owner": owner})
+    cover = cover_by_text(items.select(F.col("owner").alias("user_id"), "merchant_key").distinct(), credit_map(scoped if credits_of == "month" else ledger))
+    cover = cover.withColumnRenamed("user_id", "owner")
+    items = items.join(cover, ["owner", "merchant_key"], "left").withColumn("covered", F.least(F.coalesce("credit", F.lit(0).cast("long")), F.col("total")))
     auto = items.select("user_id", "merchant", "total", "varies", "occurrences", F.lit(False).alias("manual"), "covered")
     own = manual.select("user_id", F.col("name").alias("merchant"), F.col("amount_cents").alias("total"), F.lit(False).alias("varies"), F.lit(1).cast("long").alias("occurrences"), F.lit(True).alias("manual"), F.lit(0).cast("long").alias("covered"))
-    both = auto.unionByName(own)
-    return both.select("user_id", "merchant", money("total").alias("amount"), "varies", "occurrences", "manual", money("covered").alias("credit_covered"), money(F.col("total") - F.col("covered")).alias("net_amount"))
+    out = auto.unionByName(own).select("user_id", "merchant", money("total").alias("amount"), "varies", "occurrences", "manual", money("covered").alias("credit_covered"), money(F.col("total") - F.col("covered")).alias("net_amount"))
+    return out.select("user_id.*", *[c for c in out.columns if c != "user_id"]) if by_month else out
 
 
 def fixed_totals(items: DataFrame) -> DataFrame:

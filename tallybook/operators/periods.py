@@ -96,12 +96,12 @@ def search(
 
 
 def posted(ledger: DataFrame) -> DataFrame:
-    """Non-pending rows, newest first."""
-    return ledger.filter(~F.col("is_pending")).orderBy(F.desc("transaction_date"))
+    """Non-pending rows; `page` orders what is shown, newest first."""
+    return ledger.filter(~F.col("is_pending"))
 
 
 def review_queue(ledger: DataFrame) -> DataFrame:
-    return ledger.filter(F.col("needs_review") & ~F.col("is_pending")).orderBy(F.desc("transaction_date"))
+    return ledger.filter(F.col("needs_review") & ~F.col("is_pending"))
 
 
 def active_categories(categories: DataFrame) -> DataFrame:

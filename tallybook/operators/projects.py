@@ -68,9 +68,9 @@ def progress(projects: DataFrame, tagged: DataFrame, as_of: dt.date) -> DataFram
 
 
 def listing(projects: DataFrame, tagged: DataFrame, as_of: dt.date, include_archived: bool = False) -> DataFrame:
-    """Projects with their progress, newest first."""
+    """Projects with their progress and when they were made, by which a shown page is ordered."""
     p = projects if include_archived else projects.filter(~F.col("is_archived"))
-    return progress(p, tagged, as_of).join(p.select("id", "created_at"), "id").orderBy(F.desc("created_at"))
+    return progress(p, tagged, as_of).join(p.select("id", "created_at"), "id")
 
 
 def spend_cards(tagged: DataFrame) -> DataFrame:

@@ -136,12 +136,12 @@ def first_gap_note(ledger: DataFrame) -> DataFrame:
 
 
 def category_listing(ledger: DataFrame, category: str) -> DataFrame:
-    """Money-out rows of one category, largest first, with the user's category total."""
+    """Money-out rows of one category with the user's category total; `periods.page` orders what is shown, largest first."""
     rows = with_period(ledger.filter((F.col("category") == category) & is_spend()))
     totals = rows.groupBy("user_id").agg(F.sum("spent").alias("sum"), F.count(F.lit(1)).alias("n"))
     return rows.join(totals, "user_id").select(
         "user_id", "transaction_id", "transaction_date", "description", "bank_source", money("spent").alias("amount"),
-        money("sum").alias("category_total"), F.col("n").alias("category_count")).orderBy("user_id", F.desc("amount"))
+        money("sum").alias("category_total"), F.col("n").alias("category_count"))
 
 
 def flexible_change(ledger: DataFrame, as_of: dt.date) -> DataFrame:

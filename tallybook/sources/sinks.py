@@ -25,11 +25,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def append_ledger(rows: DataFrame, path: str, files_per_month: int = 8) -> None:
-    """Append partitioned by month. Rows are spread by month and a hash of the id, so a big month becomes several files."""
-    out = rows.withColumn("ym", month_key())
-    out = out.withColumn("_slot", F.pmod(F.xxhash64("transaction_id"), F.lit(files_per_month)))
-    out.repartition("ym", "_slot").drop("_slot").write.mode("append").partitionBy("ym").parquet(path)
+def append_ledger(rows: DataFrame, path: str) -> None:
+    """Append partitioned by month.
+
+    Rows are rebalanced by month: the number of files follows the size of a month (`spark.sql.adaptive.advisoryPartitionSizeInBytes`),
+    so a month of any size is spread over tasks and small months share one.
+    """
+    rows.withColumn("ym", month_key()).hint("rebalance", F.col("ym")).write.mode("append").partitionBy("ym").parquet(path)
 
 
 def delete_from_ledger(path: str, rows: DataFrame) -> list[str]:
@@ -46,7 +48,7 @@ def delete_from_ledger(path: str, rows: DataFrame) -> list[str]:
     if not months:
         return []
     left = stored(ledger.filter(F.col("ym").cast("string").isin(months)).join(gone, keys, "left_anti"), "left")
-    left.repartition("ym", F.pmod(F.xxhash64("transaction_id"), F.lit(8))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ym").parquet(path)
+    left.hint("rebalance", F.col("ym")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ym").parquet(path)
     remaining = {r[0] for r in left.select(F.col("ym").cast("string")).distinct().collect()}
     for month in months:
         if month not in remaining:

@@ -17,7 +17,7 @@ from tallybook.workload import derived as d
 from tallybook.workload import sqltext as s
 from tallybook.workload.registry import AS_OF, LIVE, SPEND, query, rr
 from tallybook.workload.summaries import CATEGORY_SQL, js, m
-from tallybook.workload.text import AMOUNT_TEXT, FIXEDSUM
+from tallybook.workload.text import AMOUNT_TEXT, FIXEDSUM, fixedsum
 
 q = s.q
 
@@ -341,6 +341,31 @@ def g9b(t):
     return cr.fixed_totals(cr.fixed_with_cover(t.ledger, d.manual_items(t)))
 
 
+MONTHLY = fixedsum("user_id, ym").replace(f"where {LIVE} and is_fixed", f"where is_fixed and (({LIVE}) or exclusion_reason = 'credit_covered')")
+
+
+def monthly_sql(credit_scope: str) -> str:
+    """Items of every user and month; credits of the same month, or of any."""
+    same = "and c.ym = xk.ym" if credit_scope == "ym" else ""
+    cmap = CMAP if credit_scope == "user" else CMAP.replace("select user_id, lower", "select user_id, ym, lower").replace("group by 1, 2", "group by 1, 2, 3")
+    return f"""with {MONTHLY}, {cmap}, xk as (select distinct user_id, ym, lower(merchant[1:10]) as mk from fixsum),
+ hit as (select xk.user_id, xk.ym, mk, credit, row_number() over (partition by xk.user_id, xk.ym, mk order by fs) as rn from xk join cmap c on c.user_id = xk.user_id {same} and (contains(mk, ck[1:6]) or contains(ck, mk[1:6]))),
+ alli as (select f.user_id, f.ym, merchant, total, varies, occurrences, false as manual, least(coalesce(credit, 0), total) as covered from fixsum f left join hit on rn = 1 and hit.user_id = f.user_id and hit.ym = f.ym and mk = lower(merchant[1:10])
+  union all select user_id, ym, name, amount_cents, false, 1, true, 0 from ({d.MANUAL_SQL}) join (select distinct user_id, ym from ledger) using (user_id))
+select user_id, ym, merchant, {m('total')} as amount, varies, occurrences::bigint as occurrences, manual, {m('covered')} as credit_covered, {m('total - covered')} as net_amount from alli"""
+
+
+@query("g9_fixed_by_month", monthly_sql("ym"))
+def g9c(t):
+    """Each month's items against the credits of that month."""
+    return cr.fixed_with_cover(t.ledger, d.manual_items(t), by_month=True, credits_of="month")
+
+
+@query("g9_fixed_by_month_all_credits", monthly_sql("user"))
+def g9d(t):
+    return cr.fixed_with_cover(t.ledger, d.manual_items(t), by_month=True)
+
+
 # ---------------------------------------------------------------- projects: one per customer
 
 PROJECTS = """select c_custkey as id, 'u' || lpad('' || c_nationkey, 2, '0') as user_id, case c_custkey % 3 when 0 then 'savings' when 1 then 'debt' else 'custom' end as type,

@@ -9,6 +9,7 @@ from tallybook.functions import fixed_values as v
 from tallybook.sources import delimited as dl
 from tallybook.sources import files as fl
 from tallybook.sources import layout as lo
+from tallybook.sources import ranges as rg
 from tallybook.sources.ofx import parse_ofx
 from tallybook.sources.sinks import scratch_path
 from tallybook.workload import sqltext as s
@@ -86,6 +87,22 @@ def a4(t):
     return dl.parse_delimited(csv_lines(t)).select("path", "bank_source", "transaction_date", "description", "amount", "raw_category", "is_pending")
 
 
+# One quoted text with a line break, stray quotes inside an unquoted one.
+BROKEN = """transaction_id || ',"' || description || '\n""' || category || '"", INC",5" ' || abs(cents) || ' "x'"""
+
+
+@query(
+    "a4_lines_by_range",
+    """select transaction_id, description || ' "' || category || '", INC' as text, '5" ' || abs(cents) || ' "x' as rest, 3::bigint as n_cells from ledger where category is not null""",
+)
+def a4_lines(t):
+    """Text files written from the ledger and read back in byte ranges."""
+    path = scratch_path(t.spark, "delimited")
+    t.ledger.filter("category is not null").select(F.expr(BROKEN).alias("value")).write.text(path)
+    cells = dl.cells("line")
+    return rg.text_lines(t.spark, path).select(cells[0].alias("transaction_id"), cells[1].alias("text"), cells[2].alias("rest"), F.size(cells).alias("n_cells"))
+
+
 FIDS = ["10898", "3101", "815", "", "1176"]
 OFX_BANKS = ["Chase", "American Express", "Discover", "Wells Fargo", "Bank of America"]
 TYPES = list(v.OFX_TYPES)
