@@ -13,6 +13,7 @@ from tallybook.operators import periods as per
 from tallybook.plans import insights as ins
 from tallybook.sources import delimited as dl
 from tallybook.sources import files as fl
+from tallybook.sources.ofx import parse_ofx
 
 SCHEMA = (
     "user_id string, transaction_id string, seq string, transaction_date date, amount decimal(18,2), description string, bank_source string, account_name string,"
@@ -210,3 +211,20 @@ def test_insights_from_merged_sums_equal_those_from_single_rows(spark):
     merged = listing(None)
     assert merged == listing(every)
     assert any("Saving $15/mo" in r for r in merged)
+
+
+def test_ofx_takes_the_first_tag_of_a_name_in_any_case(spark):
+    block = "<STMTTRN><trntype>debit\n<DTPOSTED>20240105120000\n<TRNAMT>-4.50\n<FITID>f1\n<NAME>First Shop\n<NAME>Second Shop\n</STMTTRN>"
+    empty = "<STMTTRN><DTPOSTED>20240106\n<TRNAMT>-1.00\n<NAME>\n<MEMO>From memo\n</STMTTRN><STMTTRN><TRNAMT>-1.00\n<NAME>No day\n</STMTTRN>"
+    files = spark.createDataFrame([("p", "<OFX><ORG>Wells Fargo NA\n" + block + empty), ("none", "<OFX></OFX>"), ("null", None)], "path string, text string")
+    rows = parse_ofx(files).orderBy("position").collect()
+    assert [(r["description"], r["amount"], r["ext_id"], str(r["transaction_date"])) for r in rows] == [
+        ("First Shop", Decimal("-4.50"), "f1", "2024-01-05"), ("From memo", Decimal("-1.00"), "", "2024-01-06")]
+
+
+def test_credits_of_the_month_or_of_all_months(spark):
+    rows = [row(0, 3, -50, "NETFLIX.COM", fixed=True), row(1, 34, -50, "NETFLIX.COM", fixed=True), row(2, 5, 20, "Platinum credit - NETFLIX.COM", kind="card_credit")]
+    manual = spark.createDataFrame([], "user_id string, name string, amount_cents long")
+    by = lambda scope: {r["ym"]: r["net_amount"] for r in cr.fixed_with_cover(frame(spark, rows), manual, by_month=True, credits_of=scope).collect()}
+    assert by("month") == {"2024-01": Decimal("30.00"), "2024-02": Decimal("50.00")}
+    assert by("all") == {"2024-01": Decimal("30.00"), "2024-02": Decimal("30.00")}
