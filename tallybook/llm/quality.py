@@ -1,7 +1,7 @@
 """Quality classifier: random-indexing word vectors pooled per document, a two-layer network and calibrated probabilities.
 
 Word vectors: every token bucket has a sparse random index vector; its context vector sums those of its neighbours over
-the training documents. A document is the mean vector of its words and that of the shapes of its tokens. A network with one
+all documents, labelled or not. A document is the mean vector of its words and that of the shapes of its tokens. A network with one
 hidden layer scores it, and a temperature fitted on rows kept from training calibrates the probability.
 """
 
@@ -78,17 +78,44 @@ def context_sums(texts) -> np.ndarray:
     return sums
 
 
-def _context_sums(batches):
-    sums = np.zeros((WORDS + SHAPES, SIZE), np.float32)
+def _context_rows(batches):
+    """The sums of one task's texts: a row for each bucket that has neighbours."""
+    sums = np.zeros((WORDS + SHAPES, SIZE))
     for b in batches:
         texts = b["text"].tolist()
         for part in batch_rows(texts, SLICE_CHARS):
             sums += context_sums(texts[part])
-    yield pd.DataFrame({"sums": [sums.tobytes()]})
+    yield from _rows(sums)
+
+
+def _merged_rows(batches):
+    sums = np.zeros((WORDS + SHAPES, SIZE))
+    for b in batches:
+        np.add.at(sums, b["bucket"].to_numpy(), np.frombuffer(b"".join(b["sums"]), float).reshape(-1, SIZE))
+    yield from _rows(sums)
+
+
+def _rows(sums):
+    buckets = np.flatnonzero(sums.any(axis=1))
+    yield pd.DataFrame({"bucket": buckets.astype(np.int32), "sums": [sums[k].tobytes() for k in buckets]})
+
+
+def corpus_sums(docs: DataFrame) -> np.ndarray:
+    """Context sums over the texts of all documents.
+
+    Every task gives at most one row per bucket, which meet by bucket; the driver gets one row per bucket, 4 MB in all.
+    The sums are whole numbers, so that they are the same in any order. Null and empty texts add nothing.
+    """
+    rows = "bucket int, sums binary"
+    parts = docs.where("text <> ''").select("text").mapInPandas(_context_rows, rows)
+    sums = np.zeros((WORDS + SHAPES, SIZE))
+    for r in parts.repartition("bucket").mapInPandas(_merged_rows, rows).toLocalIterator():
+        sums[r["bucket"]] += np.frombuffer(r["sums"], float)
+    return sums
 
 
 def word_vectors(sums: np.ndarray) -> np.ndarray:
-    """Unit context vectors; a bucket that training never saw keeps its index vector."""
+    """Unit context vectors; a bucket without neighbours keeps its index vector."""
     index = index_vectors()
     norm = lambda x: x / np.maximum(1e-9, np.linalg.norm(x, axis=1, keepdims=True))
     return norm(norm(sums) + norm(index)).astype(np.float32)
@@ -154,7 +181,7 @@ def held_out(c: str = "doc_id") -> Column:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = TRAINING_ROWS) -> Model:
-    """Train on at most `max_rows` labelled documents that are not held out.
+    """Train on at most `max_rows` labelled documents that are not held out; word vectors come from all documents.
 
     Rows with a null id or a label other than 0 and 1 are ignored; several labels of an id count by their mean (from 0.5: 1).
     The driver gets sums of fixed size and `max_rows` pooled vectors.
@@ -162,13 +189,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = TRAINING_ROW
     spark = ready(docs.sparkSession)
     known = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out())
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
+    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     chosen = saved(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows), "labelled")
     texts = only(docs.select("doc_id", "text"), chosen.select("doc_id"), "doc_id").dropDuplicates(["doc_id"])
     sample = saved(texts.join(chosen, "doc_id").repartition(8), "sample")
-    sums = np.zeros((WORDS + SHAPES, SIZE), np.float32)
-    for row in sample.select("text").mapInPandas(_context_sums, "sums binary").toLocalIterator():
-        sums += np.frombuffer(row[0], np.float32).reshape(sums.shape)
-    vectors = word_vectors(sums)
+    vectors = word_vectors(corpus_sums(docs))
     shared = spark.sparkContext.broadcast(vectors)
 
     def features(batches):
