@@ -12,8 +12,6 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import only, saved
-
 # The base patterns, the group that must have a least length, and that length.
 BASE = [
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -22,8 +20,8 @@ BASE = [
 ]
 #: Tokens that the models judge, their alphabet, and the mean log ratio per step from which a token is random.
 TOKEN, ALPHABET, THRESHOLD = r"[A-Za-z0-9+/_=-]{20,}", string.ascii_letters + string.digits + "+/_=-", 0.35
-#: Documents that give ordinary identifiers for training (those with the smallest hash of doc_id), and generated random strings.
-TRAINING_DOCS, RANDOM_STRINGS = 2000, 2000
+#: Generated random strings among the labelled samples; all other samples come from all documents.
+RANDOM_STRINGS = 2000
 RANDOM_KIND = "random"
 MASK = "[secret]"
 _SPAN = "array<struct<start:int,kind_order:int,kind:string,end:int>>"
@@ -55,18 +53,29 @@ def match_spans(text: Column, kind: str, order: int, pattern: str, group: int =
     return F.when(F.regexp_like(text, p), found).otherwise(empty)
 
 
-def labelled_samples(docs: DataFrame, max_docs: int = TRAINING_DOCS, random_strings: int = RANDOM_STRINGS) -> DataFrame:
-    """(sample, random) training strings: SHA-2 digests in hex and base64 and what the base patterns catch are random;
-    other tokens of 8 characters or more in at most `max_docs` documents are ordinary."""
-    spark = docs.sparkSession
-    ids = docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    texts = only(docs.where("text is not null").select("doc_id", "text"), ids.distinct(), "doc_id").select("text")
+def labelled_samples(docs: DataFrame, random_strings: int = RANDOM_STRINGS) -> DataFrame:
+    """(sample, random, n): training strings of all documents and how often each counts.
+
+    SHA-2 digests in hex and base64 and the distinct strings that the base patterns catch are random and count once, so that
+    copies of one secret weigh nothing; other tokens of 8 characters or more are ordinary and count as often as they occur.
+    Tokens are counted per task before they are shuffled.
+    """
+    texts = docs.where("text is not null").select("text")
     digest = F.sha2(F.col("id").cast("string").cast("binary"), 256)
-    made = spark.range(random_strings).select(F.explode(F.array(F.substring(digest, 1, 40), F.regexp_replace(F.base64(F.unhex(digest)), "=+$", ""))).alias("sample"), F.lit(True).alias("random"))
-    caught = texts.select(F.explode(F.array_union(F.regexp_extract_all("text", F.lit(BASE[0][1]), F.lit(2)), F.regexp_extract_all("text", F.lit(BASE[2][1]), F.lit(0)))).alias("sample"), F.lit(True).alias("random"))
+    made = docs.sparkSession.range(random_strings).select(F.explode(F.array(F.substring(digest, 1, 40), F.regexp_replace(F.base64(F.unhex(digest)), "=+$", ""))).alias("sample"))
+    caught = texts.select(F.explode(F.array_union(F.regexp_extract_all("text", F.lit(BASE[0][1]), F.lit(2)), F.regexp_extract_all("text", F.lit(BASE[2][1]), F.lit(0)))).alias("sample"))
+    random = made.union(caught.where("length(sample) >= 16")).distinct().select("sample", F.lit(True).alias("random"), F.lit(1).cast("long").alias("n"))
     rest = F.regexp_replace(F.regexp_replace(F.col("text"), BASE[0][1], " "), f"{BASE[1][1]}|{BASE[2][1]}", " ")
-    ordinary = texts.select(F.explode(F.regexp_extract_all(rest, F.lit("[A-Za-z0-9+/_=-]{8,}"), F.lit(0))).alias("sample"), F.lit(False).alias("random"))
-    return made.union(caught.where("length(sample) >= 16")).union(ordinary.where("not sample rlike '^[0-9]+$'"))
+    ordinary = texts.select(F.explode(F.regexp_extract_all(rest, F.lit("[A-Za-z0-9+/_=-]{8,}"), F.lit(0))).alias("sample")).where("not sample rlike '^[0-9]+$'")
+    return random.union(ordinary.groupBy("sample").agg(F.count("*").alias("n")).select("sample", F.lit(False), "n"))
+
+
+def pair_counts(samples: DataFrame) -> DataFrame:
+    """(random, pair, n): how often each two characters of the alphabet follow each other in the samples."""
+    chars = F.filter(F.split("sample", ""), lambda c: F.instr(F.lit(ALPHABET), c) > 0)
+    pairs = samples.select("random", "n", chars.alias("c")).where("size(c) > 1")
+    steps = F.zip_with(F.slice("c", 1, F.size("c") - 1), F.slice("c", 2, F.size("c") - 1), lambda a, b: F.concat(a, b))
+    return pairs.select("random", "n", F.explode(steps).alias("pair")).groupBy("random", "pair").agg(F.sum("n").alias("n"))
 
 
 def train_markov(samples: DataFrame) -> list[float]:
@@ -74,10 +83,7 @@ def train_markov(samples: DataFrame) -> list[float]:
 
     Counts are smoothed by half a step; only alphabet squared times two counts reach the driver.
     """
-    chars = F.filter(F.split("sample", ""), lambda c: F.instr(F.lit(ALPHABET), c) > 0)
-    pairs = samples.select("random", chars.alias("c")).where("size(c) > 1")
-    pairs = pairs.select("random", F.explode(F.zip_with(F.slice("c", 1, F.size("c") - 1), F.slice("c", 2, F.size("c")), lambda a, b: F.concat(a, b))).alias("pair"))
-    counts = {(r["random"], r["pair"]): r["count"] for r in pairs.groupBy("random", "pair").count().collect()}
+    counts = {(r["random"], r["pair"]): r["n"] for r in pair_counts(samples).collect()}
 
     def log_share(kind, a, b):
         row = sum(counts.get((kind, a + c), 0) for c in ALPHABET)
@@ -111,8 +117,9 @@ def find_secrets(docs: DataFrame, ratios: list[float]) -> DataFrame:
     return spans.withColumn("all_spans", F.array_sort(F.concat("base_spans", added)))
 
 
-def fit_secrets(docs: DataFrame, max_docs: int = TRAINING_DOCS) -> list[float]:
-    return train_markov(saved(labelled_samples(docs, max_docs), "samples"))
+def fit_secrets(docs: DataFrame) -> list[float]:
+    """Ratios learned from all texts; without any text, from the generated strings alone."""
+    return train_markov(labelled_samples(docs))
 
 
 def span_text(spans: str) -> Column:
@@ -131,7 +138,7 @@ def masked(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
 
 
-def mask_documents(docs: DataFrame, max_docs: int = TRAINING_DOCS) -> DataFrame:
+def mask_documents(docs: DataFrame) -> DataFrame:
     """The same rows and columns with all secrets in `text` masked and n_chars, where there is one, counted anew.
 
     A null text stays null.
@@ -139,5 +146,5 @@ def mask_documents(docs: DataFrame, max_docs: int = TRAINING_DOCS) -> DataFrame:
     names = {"text": F.when(F.col("d.text").isNotNull(), masked(F.col("d.text"), F.col("all_spans")))}
     if "n_chars" in docs.columns:
         names["n_chars"] = F.when(F.size("all_spans") == 0, F.col("d.n_chars")).otherwise(F.length(names["text"]).cast(docs.schema["n_chars"].dataType))
-    found = find_secrets(docs.select(F.struct(*docs.columns).alias("d"), "text"), fit_secrets(docs, max_docs))
+    found = find_secrets(docs.select(F.struct(*docs.columns).alias("d"), "text"), fit_secrets(docs))
     return found.select(*[names.get(c, F.col("d").getField(c)).alias(c) for c in docs.columns])

@@ -222,6 +222,22 @@ def test_context_sums_of_neighbours(table):
     assert np.array_equal(quality.context_sums(texts), want)
 
 
+def test_corpus_sums_cover_all_documents(spark, table):
+    rows = table[:60] + AWKWARD
+    assert np.array_equal(quality.corpus_sums(frame(spark, rows).repartition(5)), quality.context_sums([t for _, t in rows]))
+    assert not quality.corpus_sums(frame(spark, [])).any() and not quality.corpus_sums(frame(spark, [(1, None), (2, "")])).any()
+
+
+def test_quality_trains_on_labels_of_given_documents(spark, table):
+    """Labels of other ids do not use up the bound on training rows."""
+    ids = [i for i, _ in table if zlib.crc32(str(i).encode()) % 3 != 1]
+    others = [(10_000_000 + i, 1) for i in range(500)]
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)] + others, "doc_id long, quality int")
+    only = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, quality int")
+    scores = [sorted(tuple(r) for r in quality.score_quality(frame(spark, table), known, 40).collect()) for known in (labels, only)]
+    assert scores[0] == scores[1]
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -285,6 +301,28 @@ def brute_secrets(text):
     return [sum(s[1] == k for s in spans) for k in range(3)], ",".join(f"{n}:{a}:{b}" for a, _, n, b in spans)
 
 
+def test_secret_models_count_all_documents(spark):
+    rows = [(i, f"ordinaryword{'x' * (i % 3)} token=Zq81Lm22Pz93Rt04 12345678901 café_identifier") for i in range(300)] + AWKWARD
+    want, caught = Counter(), set()
+    digests = [hashlib.sha256(str(i).encode()) for i in range(secret_scan.RANDOM_STRINGS)]
+    caught |= {d.hexdigest()[:40] for d in digests} | {base64.b64encode(d.digest()).decode().rstrip("=") for d in digests}
+    for _, t in rows:
+        found = [m.group(2) for m in re.finditer(secret_scan.BASE[0][1], t or "")] + re.findall(secret_scan.BASE[2][1], t or "")
+        caught |= {x for x in found if len(x) >= 16}
+        rest = re.sub(f"{secret_scan.BASE[1][1]}|{secret_scan.BASE[2][1]}", " ", re.sub(secret_scan.BASE[0][1], " ", t or ""))
+        for x in re.findall("[A-Za-z0-9+/_=-]{8,}", rest):
+            if not re.fullmatch("[0-9]+", x):
+                want.update((False, a + b) for a, b in zip(x, x[1:]))
+    for x in caught:
+        x = [c for c in x if c in secret_scan.ALPHABET]
+        want.update((True, a + b) for a, b in zip(x, x[1:]))
+    got = secret_scan.pair_counts(secret_scan.labelled_samples(frame(spark, rows).repartition(5))).collect()
+    assert {(r.random, r.pair): r.n for r in got} == dict(want)
+    empty = secret_scan.fit_secrets(frame(spark, []))
+    assert len(empty) == len(secret_scan.ALPHABET) ** 2
+    assert secret_scan.find_secrets(frame(spark, []), empty).count() == 0 and secret_scan.mask_documents(frame(spark, [])).count() == 0
+
+
 def test_secrets(spark):
     sf = "/root/testdata/sf0.01/documents.parquet"
     d = pq.read_table(sf).to_pydict()
