@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -24,7 +25,7 @@ TRAINING_ROWS = 6000
 WORDS, SHAPES, SIZE, HIDDEN, REACH = 8192, 256, 64, 32, 2
 EPOCHS, RATE, DECAY = 400, 0.01, 1e-3
 #: Tokens whose pairs of neighbours are counted at a time.
-_PAIRED = 50_000
+_PAIRED = 100_000
 #: Characters whose tokens a task holds at a time (one text at least).
 SLICE_CHARS = 1_000_000
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
@@ -48,6 +49,7 @@ def token_buckets(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words[codes], shapes[codes], sizes
 
 
+@cache
 def index_vectors() -> np.ndarray:
     """Sparse ternary index vectors, the same on every machine."""
     rng = np.random.default_rng(11)
@@ -57,25 +59,29 @@ def index_vectors() -> np.ndarray:
     return out
 
 
+@cache
+def _places() -> np.ndarray:
+    """For every bucket the columns of its index vector that are not 0, those of -1 moved by SIZE."""
+    rows, columns = np.nonzero(index_vectors())
+    return (columns + SIZE * (index_vectors()[rows, columns] < 0)).reshape(WORDS + SHAPES, -1)
+
+
 def context_sums(texts) -> np.ndarray:
-    """Sums of the index vectors of all neighbours of every bucket, from counts of the distinct pairs of neighbours."""
-    index, sums, n = index_vectors(), np.zeros((WORDS + SHAPES, SIZE), np.float32), WORDS + SHAPES
+    """Sums of the index vectors of all neighbours of every bucket, from counts of bucket and column."""
+    found = np.zeros((WORDS + SHAPES) * 2 * SIZE, np.int64)
     *streams, sizes = token_buckets(texts)
     text = np.repeat(np.arange(len(sizes)), sizes)
     for stream in streams:
-        for at in range(0, len(stream), _PAIRED):
-            codes = []
-            for d in range(1, REACH + 1):
+        for d in range(1, REACH + 1):
+            for at in range(0, len(stream) - d, _PAIRED):
                 b = stream[at + d : at + d + _PAIRED]
                 a = stream[at : at + len(b)]
                 same = text[at : at + len(b)] == text[at + d : at + d + len(b)]
-                codes += [(a * n + b)[same], (b * n + a)[same]]
-            pairs, times = np.unique(np.concatenate(codes), return_counts=True)
-            if len(pairs):
-                bucket, other = np.divmod(pairs, n)
-                first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-                sums[bucket[first]] += np.add.reduceat(index[other] * times[:, None].astype(np.float32), first, axis=0)
-    return sums
+                a, b = a[same], b[same]
+                for bucket, other in ((a, b), (b, a)):
+                    found += np.bincount((bucket[:, None] * (2 * SIZE) + _places()[other]).ravel(), minlength=len(found))
+    found = found.reshape(-1, 2, SIZE)
+    return (found[:, 0] - found[:, 1]).astype(float)
 
 
 def _context_rows(batches):
