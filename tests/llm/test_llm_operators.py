@@ -457,7 +457,7 @@ def test_wrapped_licenses(spark):
 @pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         con.execute(f"create view {t} as select * from '{DIR}/{t}.parquet'")
     df = queries.QUERIES[name](spark, DIR)
     got = con.execute(queries.ORACLES[name])
