@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from tallybook.columns import contains_any, first_match, squash
+from tallybook.columns import contains_any, first_match, squash, staged
 from tallybook.functions import parsing as p
+from tallybook.sources.sinks import stored
 
 # Column ranges, line shapes, section markers and skip words of the issuer templates.
 AMEX_COLUMNS = {"date": (45, 95), "description": (95, 290), "amount": (480, 560)}
@@ -74,13 +75,22 @@ def rows_by_bucket(words: DataFrame, height: int) -> DataFrame:
 
 
 def rows_by_anchor(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
-    """Words within `tolerance` of a row's first height form the row; the anchors fold over distinct heights of a page."""
-    tops = words.groupBy("doc_id", "page").agg(F.array_sort(F.collect_set("top")).alias("tops"))
-    none = F.expr("cast(array() as array<double>)")
-    anchors = F.aggregate("tops", none, lambda acc, t: F.when((F.size(acc) == 0) | (t - F.try_element_at(acc, F.lit(-1)) > tolerance), F.concat(acc, F.array(t))).otherwise(acc))
-    span = tops.select("doc_id", "page", F.explode("tops").alias("top"), anchors.alias("anchors"))
-    span = span.select("doc_id", "page", "top", F.array_max(F.filter("anchors", lambda a: a <= F.col("top"))).alias("row"))
-    return _row_text(words.join(span, ["doc_id", "page", "top"]), ["doc_id", "page", "row"])
+    """Words within `tolerance` of a row's first height form the row.
+
+    A height more than `tolerance` above the one before always starts a row, so a row's first height is found by windows over the
+    page's sorted words. Only heights that lie further than `tolerance` above the start of their unbroken run (rows printed
+    closer than that) are folded, from that start on.
+    """
+    top, page = F.col("top"), Window.partitionBy("doc_id", "page")
+    up = page.orderBy("top")
+    w = words.filter("doc_id is not null and page is not null and top is not null").withColumn("_before", F.lag("top").over(up))
+    opens = F.col("_before").isNull() | ((top != F.col("_before")) & (top - F.col("_before") > tolerance))
+    w = w.withColumn("_run", F.max(F.when(opens, top)).over(up))
+    w = w.withColumn("_far", F.collect_set(F.when(top - F.col("_run") > tolerance, top)).over(page))
+    inside = F.array_sort(F.filter("_far", lambda t: (t > F.col("_run")) & (t <= top)))
+    folded = F.aggregate(inside, F.col("_run"), lambda anchor, t: F.when(t - anchor > tolerance, t).otherwise(anchor))
+    row = F.when(top - F.col("_run") > tolerance, folded).otherwise(F.col("_run"))
+    return _row_text(w.withColumn("row", row), ["doc_id", "page", "row"])
 
 
 def words_between(words: Column | str, lo: float, hi: float) -> Column:
@@ -93,26 +103,27 @@ def in_columns(rows: DataFrame, columns: dict[str, tuple[int, int]]) -> DataFram
     return rows.withColumns({f"c_{f}": words_between("words", *r) for f, r in columns.items()})
 
 
-#: Width of the x bins that words and column ranges meet in.
-X_BIN = 50
-
-
 def in_layout(rows: DataFrame, banks: DataFrame, layouts: DataFrame) -> DataFrame:
     """Text of every column of every row, for any number of banks at once: rows with `fields`, a map from field to text.
 
     `rows` is what `rows_by_anchor` gives, `banks` (doc_id, bank) and `layouts` (bank, field, lo, hi): a word belongs to the
-    fields of its document's bank whose range [lo, hi) holds its left edge. Words and ranges meet by equal bank and bin of x,
-    so that a word meets the few ranges of its bin. Words without a field and rows without such words give nothing.
+    fields of its document's bank whose range [lo, hi) holds its left edge. A row meets its bank's few ranges as one list, so
+    that its words stay together; the lists are written first, so that Spark knows their size. Words without a field and rows
+    without such words give nothing.
     """
-    keys = ["doc_id", "page", "row"]
-    bins = F.sequence(F.floor(F.col("lo") / X_BIN), F.floor((F.col("hi") - 1e-9) / X_BIN))
-    ranges = layouts.filter("lo < hi").select("bank", "field", "lo", "hi", F.explode(bins).alias("bin"))
-    words = rows.select(*keys, F.posexplode("words").alias("place", "w")).join(banks, "doc_id")
-    words = words.withColumns({"bin": F.floor(F.col("w.x0") / X_BIN), "x0": F.col("w.x0")})
-    found = words.join(ranges, ["bank", "bin"]).filter("x0 >= lo and x0 < hi")
-    texts = found.groupBy(*keys, "bank", "field").agg(F.array_sort(F.collect_list(F.struct("place", F.col("w.text").alias("text")))).alias("ws"))
-    texts = texts.withColumn("text", F.array_join(F.transform("ws", lambda w: w["text"]), " "))
-    return texts.groupBy(*keys, "bank").agg(F.map_from_entries(F.collect_list(F.struct("field", "text"))).alias("fields"))
+    fields = layouts.filter("lo < hi").groupBy("bank", "field").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    fields = fields.filter("field is not null").groupBy("bank").agg(F.collect_list(F.struct("field", "ranges")).alias("_fields"))
+    documents = stored(banks.select("doc_id", "bank").distinct().join(fields, "bank"), "layouts")
+
+    def texts(f):
+        holding = lambda w: F.filter(f["ranges"], lambda r: (w["x0"] >= r["lo"]) & (w["x0"] < r["hi"]))
+        return F.flatten(F.transform("words", lambda w: F.transform(holding(w), lambda r: w["text"])))
+
+    found = F.transform("_fields", lambda f: F.struct(f["field"].alias("field"), texts(f).alias("texts")))
+    found = F.filter(found, lambda f: F.size(f["texts"]) > 0)
+    joined = F.transform("_found", lambda f: F.struct(f["field"].alias("field"), F.array_join(f["texts"], " ").alias("text")))
+    got = staged(rows.select("doc_id", "page", "row", "words").join(documents, "doc_id"), _found=found).filter(F.size("_found") > 0)
+    return got.select("doc_id", "page", "row", "bank", F.map_from_entries(joined).alias("fields"))
 
 
 def statement_years(lines: DataFrame) -> DataFrame:
