@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallybook.columns import cents, contains_any, first_match, money, round_ratio
 from tallybook.functions import fixed_values as v
 from tallybook.functions.parsing import is_valid_row
-from tallybook.operators.dedup import dedupe
+from tallybook.operators.dedup import DEDUPE_COLUMNS, dedupe
 
 # Reconciliation tolerance in cents, chunk size, overlap and how far a cut may move to a dated line.
 TOLERANCE = 5
@@ -60,7 +60,8 @@ def review_flags(rows: DataFrame, status: DataFrame) -> DataFrame:
 
 def outcomes(incoming: DataFrame, history: DataFrame) -> DataFrame:
     """`incoming` with what became of each row: pending, saved, or duplicate of the history or the upload (user_id and seq name a row)."""
-    kept = dedupe(incoming, history).select("user_id", "seq").withColumn("_kept", F.lit(True))
+    read = [c for c in incoming.columns if c in DEDUPE_COLUMNS]
+    kept = dedupe(incoming.select(*read), history).select("user_id", "seq").withColumn("_kept", F.lit(True))
     outcome = F.when(F.coalesce("is_pending", F.lit(False)), "pending").when(F.col("_kept"), "saved").otherwise("duplicate")
     return incoming.join(kept, ["user_id", "seq"], "left").withColumn("outcome", outcome).drop("_kept")
 

@@ -1,10 +1,13 @@
 """Rewritten operators give the rows of a plain loop, and their plans move rows no more often than needed."""
 
+import datetime as dt
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
+from tallybook.operators import dedup
 from tallybook.sources import layout
 
 
@@ -61,3 +64,19 @@ def test_in_layout_keeps_the_words_of_a_row_together(spark, words):
             want.append((r.doc_id, r.page, r.row, sorted(fields.items())))
     assert sorted((r.doc_id, r.page, r.row, sorted(r.fields.items())) for r in got.collect()) == sorted(want)
     assert exchanges(got.select(F.size("fields"))) <= 2  # words were regrouped by field and by row before
+
+
+SCHEMA = "user_id string, seq string, bank_source string, account_name string, transaction_date date, amount decimal(18,2), description string, ext_id string"
+
+
+def test_batch_rows_move_once_and_by_short_keys(spark):
+    day = dt.date(2001, 3, 5)
+    rows = [("u", str(i), "b", account, day, Decimal("-4.50"), text, None) for i, (account, text) in enumerate([(None, "Coffee"), ("", "coffee "), ("", "COFFEE"), ("a", "coffee"), (None, None)])]
+    rows += [("u", str(10 + i), "b", "a", day, Decimal(-i), "other", "OFX-1") for i in range(3)]
+    df = dedup.with_fingerprint(spark.createDataFrame(rows, SCHEMA))
+    got = dedup.first_in_batch(df)
+    assert sorted(r.seq for r in got.collect()) == ["0", "10", "3", "4"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "_same" not in plan  # every row was first moved by fingerprint and text, which a batch repeats in three columns
+    fresh = dedup.new_by_fingerprint(df, df.limit(0))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(user_id" in fresh and "_print" in fresh
