@@ -165,10 +165,10 @@ def distinct_texts(rows: DataFrame, c: str, name: str = "description") -> DataFr
     """Distinct values of a text column, spread over all tasks.
 
     The values are few bytes but expensive to work on; an explicit partition count keeps adaptive execution from
-    coalescing them into one task.
+    coalescing them into one task. (Spark leaves out a repartition by the values themselves: `distinct` already put them so.)
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select(F.col(c).alias(name)).distinct().repartition(n, name)
+    return rows.select(F.col(c).alias(name)).distinct().repartition(n, F.xxhash64(name))
 
 
 def staged(df: DataFrame, **cols: Column) -> DataFrame:

@@ -215,15 +215,21 @@ def verdict(scores: Column | str) -> Column:
 # ------------------------------------------------------------------ distinct-descriptor profile
 
 
-def text_profile(rows: DataFrame, text: str = "description") -> DataFrame:
-    """Everything classification needs from the text alone, one row per distinct descriptor.
+def cleaned_texts(rows: DataFrame, text: str = "description") -> DataFrame:
+    """(description, cleaned) of the distinct descriptors, written below the shared checkpoint folder."""
+    return stored(rows.select(F.col(text).alias("description")).distinct().withColumn("cleaned", clean_description("description")), "cleaned")
 
-    Use explode_outer on the array columns: a plain explode infers a size filter that the optimizer would push through
-    the staged projections, repeating their expressions.
-    """
-    d = distinct_texts(rows, text)
-    d = d.withColumn("cleaned", clean_description("description"))
-    d = d.withColumn("merchant", merchant_alias("cleaned"))
+
+def named_texts(rows: DataFrame, text: str = "description") -> DataFrame:
+    """(description, cleaned, merchant) of the distinct descriptors; the merchant is worked out once per cleaned text."""
+    d = cleaned_texts(rows, text)
+    names = distinct_texts(d, "cleaned", "cleaned").withColumn("merchant", merchant_alias("cleaned"))
+    return d.join(stored(names, "merchants"), "cleaned").select("description", "cleaned", "merchant")
+
+
+def _name_profile(names: DataFrame) -> DataFrame:
+    """What classification needs of a cleaned text."""
+    d = names.withColumn("merchant", merchant_alias("cleaned"))
     d = d.withColumn("hits", pattern_hits("cleaned", "merchant"))
     d = d.withColumn("scores", scores_from_hits("hits"))
     d = adjust_scores(d)
@@ -231,17 +237,35 @@ def text_profile(rows: DataFrame, text: str = "description") -> DataFrame:
     c = F.col("cleaned")
     foreign = (F.col("v.category") == "Other") & ~F.col("merchant").rlike("[a-zA-Z]{3,}")
     return d.select(
-        "description", "cleaned", "merchant", "hits", "scores", "adjusted",
+        *names.columns, "merchant", "hits", "scores", "adjusted",
         F.col("v.category").alias("best_category"), F.col("v.confidence").alias("best_confidence"),
         F.col("v.needs_review").alias("best_review"),
         F.when(foreign, "international_merchant").otherwise(F.col("v.reason")).alias("best_reason"),
         _type_rules(c, True).alias("rule_in"), _type_rules(c, False).alias("rule_out"),
         p.is_summary_row("cleaned", F.lit(1)).alias("is_summary"), c.rlike(HOUSING_LOAN).alias("is_housing"),
-        c.rlike(SALARY_WORDS).alias("is_salary"), p.exclusion_of("description").alias("exclusion"),
-        p.is_statement_credit("description").alias("is_credit"),
+        c.rlike(SALARY_WORDS).alias("is_salary"),
     )
 
 
+def text_profile(rows: DataFrame, text: str = "description") -> DataFrame:
+    """Everything classification needs from the text alone, one row per distinct descriptor.
+
+    Descriptors are cleaned first; patterns and scores are worked out once per distinct cleaned text, of which there are never
+    more, and written, so that Spark knows their size and moves them to the descriptors where they are few.
+
+    Use explode_outer on the array columns: a plain explode infers a size filter that the optimizer would push through
+    the staged projections, repeating their expressions.
+    """
+    if rows.isStreaming:
+        d = _name_profile(distinct_texts(rows, text).withColumn("cleaned", clean_description("description")))
+    else:
+        d = cleaned_texts(rows, text)
+        d = d.join(stored(_name_profile(distinct_texts(d, "cleaned", "cleaned")), "profile"), "cleaned")
+    return d.select(
+        "description", *[c for c in d.columns if c != "description"],
+        p.exclusion_of("description").alias("exclusion"), p.is_statement_credit("description").alias("is_credit"))
+
+
 RESULT = ["transaction_type", "category", "confidence", "needs_review", "review_reason", "recurring_hint"]
 
 
@@ -278,10 +302,20 @@ def decide(profiled: DataFrame) -> DataFrame:
     return df.drop("category", "transaction_type", "needs_review", "confidence").select("*", "r.*").drop("r", "t")
 
 
-def _ngrams(text: Column, longest: int = 3) -> Column:
+#: Anchors are cut to a power of two of characters, so that a text has few lengths of substrings to look up.
+ANCHOR_LENGTHS = [1, 2, 4, 8, 16, 32]
+
+
+def _anchor(text: Column) -> Column:
+    """The start of a text that stands for it in equi joins."""
+    return first_match([(F.length(text) >= n, F.substring(text, 1, n)) for n in reversed(ANCHOR_LENGTHS)], text)
+
+
+def _substrings(text: Column, lengths: Column) -> Column:
+    """Distinct substrings of the given lengths."""
     n = F.length(text)
-    of = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.substring(text, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.flatten(F.array(*[of(k) for k in range(1, longest + 1)])))
+    of = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(text, i, k))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.transform(lengths, of)))
 
 
 SHARED = "*"
@@ -301,15 +335,16 @@ def rejected_rules(rules: DataFrame) -> DataFrame:
     return r.select("id", refusal("how", "value").alias("reason")).filter("reason is not null")
 
 
-def best_rules(texts: DataFrame, rules: DataFrame, user_texts: DataFrame) -> DataFrame:
-    """Best matching rule per (rule_user, description); rule_user is '*' for global rules.
+def best_named_rules(names: DataFrame, rules: DataFrame) -> DataFrame:
+    """Best matching rule (`best`) of each (rule_user, cleaned, merchant); rule_user is '*' for global rules.
 
-    `texts` is (description, cleaned, merchant), `user_texts` the (user_id, description) pairs that occur. A user's rules
-    meet only that user's texts. Exact, prefix, substring and regex rules meet them by equi joins (on the
-    value, on every prefix, on three-character anchors that are then verified: those of the plain substrings that a pattern's
-    structure requires, one for each alternative); only patterns that require no plain character at all, such as \\d+, are
-    compared with every text of their scope. Equal rules collapse to the best one first and the winner is kept by a map-side-combining
-    min_by, so a rule that matches everything never builds one big group. Invalid patterns are left out (`rejected_rules`).
+    Exact, prefix, substring and regex rules meet the texts by equi joins (on the value, on the start of the value, on anchors
+    that are then verified: the starts of the plain substrings that a pattern's structure requires, one for each alternative).
+    Anchors are as long as their substrings allow, up to a power of two, and texts are cut only to lengths that occur in their
+    scope; only patterns that require no plain character at all, such as \\d+, are compared with every text of their scope.
+    Equal rules collapse to the best one first and are written, so that Spark knows how many they are; the winner is kept by a
+    map-side-combining min, so a rule that matches everything never builds one big group. Invalid patterns are left out
+    (`rejected_rules`).
     """
     order = F.struct((-F.col("priority")).alias("p"), first_match([(F.col("how") == h, n) for h, n in RULE_MATCH_ORDER.items()], 2).alias("h"), F.col("id"))
     r = rules.filter(F.coalesce("is_active", F.lit(True))).select(
@@ -321,39 +356,80 @@ def best_rules(texts: DataFrame, rules: DataFrame, user_texts: DataFrame) -> Dat
     ).filter(refusal("how", "value").isNull())
     pick = F.struct(F.col("id").alias("rule_id"), "rule_type", "rule_category", "rule_confidence")
     r = r.groupBy("rule_user", "field", "how", "value").agg(F.min(F.struct(order.alias("o"), pick.alias("b"))).alias("best"))
-    owners = r.select("rule_user").distinct()
-    own = user_texts.select(F.col("user_id").alias("rule_user"), "description").join(owners, "rule_user", "left_semi").join(texts, "description")
-    scoped = own.select("rule_user", "description", "cleaned", "merchant").unionByName(texts.select(F.lit(SHARED).alias("rule_user"), "description", "cleaned", "merchant"))
+    required = F.udf(substring_reader(), "array<string>")
+    anchors = F.when(F.col("how") == "regex", required("value")).otherwise(F.array("value"))
+    anchors = F.array_distinct(F.transform(anchors, _anchor))
+    r = stored(r.withColumn("anchor", F.explode_outer(anchors)), "rules")
+    own = names.join(r.select("rule_user").distinct(), "rule_user", "left_semi")
     both = F.explode(F.array(
         F.struct(F.lit("merchant").alias("field"), F.col("merchant").alias("target")),
         F.struct(F.lit("description").alias("field"), F.col("cleaned").alias("target"))))
-    t = scoped.select("rule_user", "description", both.alias("x")).select("rule_user", "description", "x.field", "x.target")
+    t = own.select("*", both.alias("x")).select("*", "x.*").drop("x")
     keys = ["rule_user", "field"]
+    as_written = F.rlike("target", F.concat(F.lit("(?i)"), "value"))
+
+    def pieces(ruled: DataFrame, text: Column, cut) -> DataFrame:
+        lengths = ruled.groupBy(*keys).agg(F.collect_set(F.length("anchor")).alias("_lengths"))
+        return t.join(lengths, keys).withColumn("anchor", F.explode(cut(text, F.col("_lengths")))).drop("_lengths").join(ruled, [*keys, "anchor"])
+
     exact = t.withColumnRenamed("target", "value").join(r.filter("how = 'exact'"), [*keys, "value"])
-    prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.length("target"), F.lit(1))), lambda i: F.substring("target", F.lit(1), i))
-    starts = t.withColumn("value", F.explode(prefixes)).join(r.filter("how = 'starts_with'"), [*keys, "value"])
-    required = F.udf(substring_reader(), "array<string>")
-    anchors = F.when(F.col("how") == "contains", F.array("value")).when(F.col("how") == "regex", required("value"))
-    anchors = F.array_distinct(F.transform(anchors, lambda x: F.substring(x, 1, 3)))
-    anchored = r.filter("how in ('contains', 'regex')").withColumn("gram", F.explode_outer(anchors))
-    grams = t.withColumn("gram", F.explode(_ngrams(F.lower("target"))))
-    found = F.when(F.col("how") == "contains", F.col("target").contains(F.col("value"))).otherwise(F.rlike("target", F.concat(F.lit("(?i)"), "value")))
-    inside = grams.join(anchored.filter("gram is not null"), [*keys, "gram"]).filter(found)
-    loose = t.join(anchored.filter("gram is null"), keys).filter(F.rlike("target", F.concat(F.lit("(?i)"), "value")))
-    cols = ["rule_user", "description", "best"]
+    prefixes = lambda text, ks: F.transform(F.filter(ks, lambda k: F.length(text) >= k), lambda k: F.substring(text, F.lit(1), k))
+    starts = pieces(r.filter("how = 'starts_with'"), F.col("target"), prefixes).filter(F.col("target").startswith(F.col("value")))
+    found = F.when(F.col("how") == "contains", F.col("target").contains(F.col("value"))).otherwise(as_written)
+    inside = pieces(r.filter("how in ('contains', 'regex') and anchor is not null"), F.lower("target"), _substrings).filter(found)
+    loose = t.join(r.filter("how = 'regex' and anchor is null"), keys).filter(as_written)
+    cols = ["rule_user", "cleaned", "merchant", "best"]
     hits = exact.select(*cols).unionByName(starts.select(*cols)).unionByName(inside.select(*cols)).unionByName(loose.select(*cols))
-    return hits.groupBy("rule_user", "description").agg(F.min("best").alias("best")).select("rule_user", "description", F.col("best.b").alias("best"))
+    return hits.groupBy(*cols[:3]).agg(F.min("best").alias("best")).withColumn("best", F.col("best.b"))
+
 
+def _best_of_scopes(texts: DataFrame, rules: DataFrame, user_texts: DataFrame) -> DataFrame:
+    """`best_named_rules` of all texts for global rules and of each user's own texts for that user's rules."""
+    owners = rules.select(F.col("user_id").alias("rule_user")).distinct()
+    own = user_texts.select(F.col("user_id").alias("rule_user"), "description").join(owners, "rule_user", "left_semi").join(texts, "description")
+    scoped = own.select("rule_user", "cleaned", "merchant").unionByName(texts.select(F.lit(SHARED).alias("rule_user"), "cleaned", "merchant"))
+    return best_named_rules(stored(scoped.distinct(), "names"), rules)
 
-def with_best_rule(rows: DataFrame, texts: DataFrame, rules: DataFrame, text: str) -> DataFrame:
-    """Adds `best` (the user's rule before a global one) and `rule_scope`."""
-    pairs = stored(rows.select("user_id", F.col(text).alias("description")).distinct(), "pairs")
-    best = stored(best_rules(stored(texts, "texts"), rules, pairs), "best")
-    own = best.filter(F.col("rule_user") != SHARED).select(F.col("rule_user").alias("user_id"), F.col("description").alias(text), F.col("best").alias("own"))
-    everyone = best.filter(F.col("rule_user") == SHARED).select(F.col("description").alias(text), F.col("best").alias("shared"))
-    rows = rows.join(own, ["user_id", text], "left").join(everyone, text, "left")
-    scope = F.when(F.col("own").isNotNull(), "user").when(F.col("shared").isNotNull(), "global").otherwise("classifier")
-    return rows.withColumn("best", F.coalesce("own", "shared")).withColumn("rule_scope", scope).drop("own", "shared")
+
+def best_rules(texts: DataFrame, rules: DataFrame, user_texts: DataFrame) -> DataFrame:
+    """Best matching rule per (rule_user, description); rule_user is '*' for global rules.
+
+    `texts` is (description, cleaned, merchant), `user_texts` the (user_id, description) pairs that occur. A user's rules
+    meet only that user's texts. Rules meet distinct names (cleaned text and merchant), see `best_named_rules`.
+    """
+    best = _best_of_scopes(texts, rules, user_texts)
+    scoped = user_texts.select(F.col("user_id").alias("rule_user"), "description").distinct().join(texts, "description")
+    scoped = scoped.select("rule_user", "description", "cleaned", "merchant").unionByName(texts.select(F.lit(SHARED).alias("rule_user"), "description", "cleaned", "merchant"))
+    named = best.select(*[F.col(c).alias(f"_{c}") for c in ("rule_user", "cleaned", "merchant")], "best")
+    same = [scoped[c].eqNullSafe(named[f"_{c}"]) for c in ("rule_user", "cleaned", "merchant")]
+    return scoped.join(named, same).select("rule_user", "description", "best").distinct()
+
+
+def user_texts(rows: DataFrame, text: str) -> DataFrame:
+    """Distinct (user_id, description) of rows, written below the shared checkpoint folder."""
+    return stored(rows.select("user_id", F.col(text).alias("description")).distinct(), "pairs")
+
+
+def with_best_rule(rows: DataFrame, texts: DataFrame, rules: DataFrame, text: str, pairs: DataFrame | None = None) -> DataFrame:
+    """Adds `best` (the user's rule before a global one) and `rule_scope`.
+
+    `texts` is (description, cleaned, merchant); rows that have cleaned and merchant are not joined with it. `pairs` is
+    `user_texts` of the rows, where it is known.
+    """
+    texts = stored(texts, "texts")
+    best = stored(_best_of_scopes(texts, rules, user_texts(rows, text) if pairs is None else pairs), "best")
+    name = ["cleaned", "merchant"]
+    own = best.filter(F.col("rule_user") != SHARED).select(F.col("rule_user").alias("user_id"), *name, F.col("best").alias("own"))
+    everyone = best.filter(F.col("rule_user") == SHARED).select(*name, F.col("best").alias("shared"))
+    named = set(name) <= set(rows.columns)
+    if not named:
+        rows = rows.join(texts.withColumnRenamed("description", text).select(text, *name), text, "left")
+    rows = rows.join(own, ["user_id", *name], "left").join(everyone, name, "left")
+    given = F.col(text).isNotNull()
+    own, shared = F.when(given, F.col("own")), F.when(given, F.col("shared"))
+    scope = F.when(own.isNotNull(), "user").when(shared.isNotNull(), "global").otherwise("classifier")
+    rows = rows.withColumn("best", F.coalesce(own, shared)).withColumn("rule_scope", scope).drop("own", "shared")
+    return rows if named else rows.drop(*name)
 
 
 def classify(ledger: DataFrame, rules: DataFrame | None = None, text: str = "description") -> DataFrame:
@@ -361,16 +437,20 @@ def classify(ledger: DataFrame, rules: DataFrame | None = None, text: str = "des
 
     Every row stays; a missing text counts as an empty one.
     """
-    profile = text_profile(ledger.withColumn(text, F.coalesce(text, F.lit(""))), text)
-    if rules is not None and not ledger.isStreaming:
-        profile = stored(profile, "profile")  # read four times below
+    pairs = None
+    if rules is None:
+        profile = text_profile(ledger.withColumn(text, F.coalesce(text, F.lit(""))), text)
+    else:
+        # The ledger is read twice: for its distinct texts by user, and for its rows.
+        pairs = user_texts(ledger, text)
+        profile = text_profile(pairs.withColumn("description", F.coalesce("description", F.lit(""))))
     keyed = profile.withColumnRenamed("description", "_text")
     rows = ledger.join(keyed, F.coalesce(ledger[text], F.lit("")) == keyed["_text"]).drop("_text")
     empty = F.lit(None).cast("struct<rule_id:bigint,rule_type:string,rule_category:string,rule_confidence:string>")
     if rules is None:
         rows = rows.withColumn("best", empty)
     else:
-        rows = with_best_rule(rows, profile.select("description", "cleaned", "merchant"), rules, text)
+        rows = with_best_rule(rows, profile.select("description", "cleaned", "merchant"), rules, text, pairs)
     return decide(rows.select("*", "best.*").drop("best"))
 
 

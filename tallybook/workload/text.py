@@ -430,9 +430,8 @@ def merchant_rules(t):
  where coalesce(o.id, g.id) is not null""",
 )
 def d5(t):
-    texts = C.distinct_texts(t.ledger, "memo").withColumn("cleaned", mt.clean_description("description"))
-    texts = texts.withColumn("merchant", mt.merchant_alias("cleaned"))
-    rows = cl.with_best_rule(t.ledger, texts, merchant_rules(t), "memo").filter("best is not null")
+    pairs = cl.user_texts(t.ledger, "memo")
+    rows = cl.with_best_rule(t.ledger, cl.named_texts(pairs), merchant_rules(t), "memo", pairs).filter("best is not null")
     return rows.select("transaction_id", "best.rule_id", F.col("rule_scope").alias("scope"), F.col("best.rule_category").alias("category"), F.col("best.rule_confidence").alias("confidence"))
 
 
