@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.columns import month_from_index, month_index, top_per_group
+from tallybook.columns import month_from_index, month_index, staged, top_per_group
 from tallybook.functions.fingerprints import fingerprint
 from tallybook.functions.merchants import key8, learned_core
 
@@ -45,10 +45,14 @@ def apply_corrections(ledger: DataFrame, corrections: DataFrame) -> DataFrame:
 
 
 def learn_rules(ledger: DataFrame, corrections: DataFrame, existing: DataFrame) -> DataFrame:
-    """Merchant rules after corrections that changed a category: one rule per user and stable merchant core."""
+    """Merchant rules after corrections that changed a category: one rule per user and stable merchant core.
+
+    Of a user's corrections of one description only the newest can win; cores are worked out for those.
+    """
     changed = with_implied_type(corrections).filter("category is not null").select("user_id", "transaction_id", F.col("category").alias("new_category"), "updated_at")
     rows = ledger.select("user_id", "transaction_id", "description", "category").join(changed, ["user_id", "transaction_id"]).filter(~F.col("category").eqNullSafe(F.col("new_category")))
-    fresh = rows.select("user_id", learned_core("description").alias("match_value"), F.col("new_category").alias("category"), "updated_at").filter("match_value <> ''")
+    newest = top_per_group(rows, ["user_id", "description"], [F.desc_nulls_last("updated_at")], 1)
+    fresh = staged(newest, match_value=learned_core("description")).filter("match_value <> ''").select("user_id", "match_value", F.col("new_category").alias("category"), "updated_at")
     learned = fresh.select("*", F.lit("contains").alias("match_type"), F.lit("merchant").alias("match_field"), F.lit("expense").alias("transaction_type"), F.lit(10).alias("priority"), F.lit(True).alias("is_active"))
     return upsert(existing, learned, ["user_id", "match_value"])
 
