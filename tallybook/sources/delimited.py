@@ -126,7 +126,8 @@ def parse_sheet(rows: DataFrame) -> DataFrame:
     two = first_match([(debit != 0, -F.abs(debit)), (credit != 0, F.abs(credit))])
     amount = F.when(has("amount"), F.when(flip, -single).otherwise(single)).when(has("debit") & has("credit"), two)
     desc = F.nullif(F.nullif(F.trim(cell("description")), F.lit("")), F.lit("nan"))
-    out = r.select("path", "row_no", F.coalesce("issuer", F.lit("Unknown Bank")).alias("bank_source"), day.alias("transaction_date"), desc.alias("description"), amount.alias("amount"))
+    r = staged(r.select("path", "row_no", "issuer", "role", "cells"), transaction_date=day, description=desc, amount=amount)
+    out = r.select("path", "row_no", F.coalesce("issuer", F.lit("Unknown Bank")).alias("bank_source"), "transaction_date", "description", "amount")
     return out.filter("transaction_date is not null and description is not null and coalesce(amount, 0) <> 0")
 
 
