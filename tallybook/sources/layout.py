@@ -154,6 +154,8 @@ def _amount(text: Column) -> Column:
 
 def _out(df: DataFrame, source: str) -> DataFrame:
     """Transaction lines, and in `reason` why a line cannot become a row (a statement without a year gives no date)."""
+    row = F.struct("transaction_date", "description", "amount", "parser_type")
+    df = staged(df.select("doc_id", "page", "text", row.alias("_made")), _row=F.col("_made")).select("doc_id", "page", "text", "_row.*")
     reason = first_match([
         (F.col("transaction_date").isNull(), "no date"), (F.col("amount").isNull(), "no amount"), (F.trim(F.coalesce("description", F.lit(""))) == "", "no description")])
     return df.select("doc_id", "page", "text", "transaction_date", "description", "amount", "parser_type", F.lit(source).alias("source"), reason.alias("reason"))
