@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import random
+import types
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from tallybook.columns import distinct_texts
-from tallybook.operators import classify
+from tallybook.operators import classify, corrections, dedup
+from tallybook.sources import delimited, layout
+from tallybook.workload import matching
 
 
 def _plan(df) -> str:
@@ -40,3 +47,62 @@ def test_rules_meet_names_by_substrings_of_their_length(spark):
     found = {(r.rule_user, r.description): r.best.rule_id for r in best.collect()}
     shared = {("*", f"D{i}"): {12: 1, 13: 2}.get(i, 0) for i in range(60)} | {("*", "none"): 5}
     assert found == shared | {("u1", "D14"): 3, ("u1", "D15"): 3, ("u1", "D16"): 4}
+
+
+def test_similarity_in_slots_of_days_against_brute_force(spark):
+    rnd = random.Random(5)
+    make = lambda n: [(rnd.choice("uv"), rnd.choice(["a", None]), dt.date(1969, 12, 20) + dt.timedelta(rnd.randrange(110)), Decimal(rnd.choice([0, 1, 2])), rnd.choice(["x", " X", "y", ""]), i) for i in range(n)]
+    schema = "user_id string, account_name string, transaction_date date, amount decimal(18,2), description string, seq int"
+    new, old = make(300), make(60)
+    ok = lambda r: r[3] != 0 and r[4] != ""
+    key = lambda r: (r[0], r[1], r[3], r[4].strip().lower())
+    for repeats, least in (("merge", 0), ("occurrence", 1)):
+        out = dedup.new_by_similarity(spark.createDataFrame(new, schema), spark.createDataFrame(old, schema), repeats)
+        assert "sequence" not in _plan(out)
+        kept = {r[5] for r in new if not (ok(r) and any(ok(h) and key(h) == key(r) and least <= abs((h[2] - r[2]).days) <= 3 for h in old))}
+        assert sorted(r.seq for r in out.collect()) == sorted(kept) and len(kept) < 300
+
+
+def test_incoming_rows_read_the_ledger_once(spark):
+    t = types.SimpleNamespace(spark=spark, ledger=_ledger(spark))
+    for df in (matching.incoming(t), matching.repeated(t)):
+        assert _plan(df).count("Range (") == 1
+        assert "Union" not in _plan(df)
+    t.ledger.createOrReplaceTempView("ledger")
+    for df, text in ((matching.incoming(t), matching.INCOMING), (matching.repeated(t), matching.REPEATED)):
+        expected = spark.sql(text)
+        assert df.columns == expected.columns and sorted(map(str, df.collect())) == sorted(map(str, expected.collect()))
+
+
+def _ledger(spark):
+    return spark.range(12).selectExpr(
+        "'u' || id % 2 as user_id", "'t' || id as transaction_id", "date_add(date'2020-01-01', cast(id as int)) as transaction_date", "cast(id as decimal(18,2)) as amount", "id * 100 + id as cents", "'SHOP ' || id as description",
+        "'B' as bank_source", "'A' as account_name", "'C' as category", "id % 5 = 0 as is_pending", "case when id % 3 = 0 then 'EXT-' || id end as ext_id", "'s' || id as seq")
+
+
+def test_newest_correction_of_a_core_wins_over_descriptions(spark):
+    rows = [("u", "1", "SHOP 123456", "Old"), ("u", "2", "SHOP 123456", "Old"), ("u", "3", "shop", "Old"), ("u", "4", None, "Old"), ("v", "5", "shop", "New")]
+    ledger = spark.createDataFrame(rows, "user_id string, transaction_id string, description string, category string")
+    fixes = [("u", "1", "A", 3), ("u", "2", "B", 1), ("u", "3", "C", 2), ("u", "4", "D", 9), ("v", "5", "New", 9)]
+    given = spark.createDataFrame([(u, i, c, None, n) for u, i, c, n in fixes], "user_id string, transaction_id string, category string, transaction_type string, updated_at long")
+    none = spark.createDataFrame([], "user_id string, match_value string, category string, updated_at long")
+    learned = corrections.learn_rules(ledger, given, none)
+    assert [(r.user_id, r.match_value, r.category) for r in learned.collect()] == [("u", "shop", "A")]
+    # Cores are worked out behind the choice of the newest correction of a description.
+    assert _plan(learned).count("Window") >= 2
+
+
+def test_a_statement_line_is_read_once_for_its_row_and_its_reason(spark):
+    lines = spark.createDataFrame([("a", 1, 0, "Payment Due Date 03/01/2012"), ("a", 1, 2, "02/05 02/05 12345 REFX SHOP $1.50")], "doc_id string, page int, line_no int, text string")
+    parsed = layout.parse_wells_credit(lines)
+    assert [(str(r.transaction_date), r.description, r.amount) for r in parsed.collect()] == [("2012-02-05", "SHOP", Decimal("-1.50"))]
+    filters = [x for x in _plan(parsed).splitlines() if "Filter" in x]
+    assert not any("regexp_extract" in x for x in filters)
+
+
+def test_a_sheet_row_is_read_once_for_its_values_and_the_filter(spark):
+    rows = spark.createDataFrame([("f", 0, ["Date", "Description", "Amount"]), ("f", 1, ["01/02/2020", "SHOP", "$1.50"]), ("f", 2, ["x", "SHOP", "2"])], "path string, row_no int, cells array<string>")
+    parsed = delimited.parse_sheet(rows)
+    assert [(str(r.transaction_date), r.description, r.amount) for r in parsed.collect()] == [("2020-01-02", "SHOP", Decimal("1.50"))]
+    filters = [x for x in _plan(parsed).splitlines() if "Filter" in x]
+    assert not any("regexp_replace" in x for x in filters)
