@@ -67,3 +67,23 @@ def test_one_file_is_read_by_several_tasks(spark, tmp_path):
     rows = rg.whole_lines(lines).collect()
     assert len(rows) == rg.text_lines(spark, str(tmp_path)).count()
     assert sorted((r["line_no"], r["line"]) for r in rows) == [(i, f'{i},"left right {i}",{i}') for i in range(200)]
+
+
+def test_lines_stay_with_the_task_that_reads_them(spark, tmp_path, monkeypatch):
+    """Text is neither written nor sorted by range on the way, however small pieces and Arrow batches are."""
+    rnd = random.Random(8)
+    pieces = ['a', ',"', '",', '"', '""', '\n', '\n', '"\n', '\n"', 'bcd,e\n', ',"x\ny"\n']
+    for i in range(20):
+        (tmp_path / f"f{i}.csv").write_text("".join(rnd.choice(pieces) for _ in range(rnd.randint(20, 200))) + "end", encoding="utf-8")
+    written, store = [], rg.stored
+    monkeypatch.setattr(rg, "stored", lambda df, name: (written.extend(df.columns), store(df, name))[1])
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for lines, batch in ((3, 2), (8, 3), (1000, 5)):
+            monkeypatch.setattr(rg, "PIECE_LINES", lines)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+            assert by_range(spark, str(tmp_path)) == whole_file(spark, str(tmp_path))
+        plan = rg.text_lines(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert "raw" not in written and "Window" not in plan
