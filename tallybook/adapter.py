@@ -85,9 +85,10 @@ def ledger_sql() -> str:
 def star_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger over the parquet tables; only referenced columns reach the scans.
 
-    Orders find their customers first, so that lines are moved once for both.
+    Orders find their customers first, so that lines are moved once for both; the hint keeps lines from being the broadcast side
+    of a small ledger, which one or two tasks would then work on.
     """
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     placed = read("orders").selectExpr("o_orderkey as l_orderkey", "o_custkey as c_custkey").join(read("customer"), "c_custkey")
-    joined = read("lineitem").join(placed, "l_orderkey").join(read("part").withColumnRenamed("p_partkey", "l_partkey"), "l_partkey")
+    joined = read("lineitem").join(placed.hint("merge"), "l_orderkey").join(read("part").withColumnRenamed("p_partkey", "l_partkey"), "l_partkey")
     return joined.selectExpr(*[f"{expr} as {name}" for name, expr in LEDGER_COLUMNS.items()])

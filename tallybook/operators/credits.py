@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from tallybook.columns import cents, col, first_match, money, month_key, top_per_group
 from tallybook.functions import fixed_values as v
 from tallybook.functions.merchants import credit_hint
-from tallybook.operators.periods import spend, with_period
+from tallybook.operators.periods import is_spend, spend, with_period
+from tallybook.sources.sinks import stored
 
 
 def classify_credit(description: Column | str) -> Column:
@@ -125,11 +126,16 @@ def net_category_spend(ledger: DataFrame, offsets: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ cover by merchant text
 
 
+def _credit_key() -> Column:
+    """Merchant key of a card credit whose text names one, else NULL."""
+    named = (F.col("transaction_type") == "card_credit") & F.col("description").rlike(r"-\s*(.+)")
+    return F.when(named, F.lower(F.substring(F.trim(F.regexp_extract("description", r"-\s*(.+)", 1)), 1, 10)))
+
+
 def credit_map(ledger: DataFrame) -> DataFrame:
     """Summed credits per user and 10-character merchant key, with the first row's order."""
-    named = ledger.filter((F.col("transaction_type") == "card_credit") & F.col("description").rlike(r"-\s*(.+)"))
-    key = F.lower(F.substring(F.trim(F.regexp_extract("description", r"-\s*(.+)", 1)), 1, 10))
-    return named.groupBy("user_id", key.alias("credit_key")).agg(F.sum(cents()).alias("credit"), F.min("seq").alias("first_seq"))
+    named = ledger.withColumn("credit_key", _credit_key()).filter("credit_key is not null")
+    return named.groupBy("user_id", "credit_key").agg(F.sum(cents()).alias("credit"), F.min("seq").alias("first_seq"))
 
 
 def cover_by_text(names: DataFrame, credits: DataFrame) -> DataFrame:
@@ -187,19 +193,26 @@ def fixed_with_cover(ledger: DataFrame, manual: DataFrame, by_month: bool = Fals
     With `by_month` every dated month of a user is a period of its own, each with the manual items. `credits_of` says which
     credits pay an item: "all" of the user, whatever the period, or only those of the same "month".
     """
-    from tallybook.operators.recurrence import fixed_groups
+    from tallybook.operators.recurrence import grouped_spellings, spelling, spelling_sums
 
     if credits_of not in ("all", "month") or (credits_of == "month" and not by_month):
         raise ValueError("credits_of is 'all', or 'month' together with by_month")
-    scoped, owner = ledger, F.col("user_id")
+    # One read of the ledger for items and credits: sums per user, month, spelling of an item and key of a credit, written once.
+    fixed = F.col("is_fixed") & ((is_spend() & F.col("exclusion_reason").isNull()) | (F.col("exclusion_reason") == "credit_covered"))
+    month = month_key() if by_month else F.lit(None).cast("string")
+    rows = ledger.filter(fixed | _credit_key().isNotNull()).select("user_id", month.alias("ym"), F.when(fixed, spelling()).alias("raw"), _credit_key().alias("credit_key"), F.abs(cents()).alias("spent"), cents().alias("credit"), "seq")
+    sums = stored(rows.groupBy("user_id", "ym", "raw", "credit_key").agg(*spelling_sums(), F.sum("credit").alias("credit"), F.min("seq").alias("first_seq")), "fixed-sums")
+    dated, owner = sums, F.col("user_id")
     if by_month:
-        dated = ledger.filter("transaction_date is not null")
-        scoped = dated.withColumn("user_id", F.struct("user_id", month_key().alias("ym")))
-        manual = manual.join(dated.select("user_id", month_key().alias("ym")).distinct(), "user_id").withColumn("user_id", F.struct("user_id", "ym"))
+        dated = sums.filter("ym is not null")
+        months = ledger.filter("transaction_date is not null").select("user_id", month.alias("ym")).distinct()
+        manual = manual.join(months, "user_id").withColumn("user_id", F.struct("user_id", "ym"))
+        dated = dated.withColumn("user_id", F.struct("user_id", "ym"))
         owner = owner if credits_of == "month" else F.col("user_id.user_id")
-    rows = spend(scoped).unionByName(scoped.filter("exclusion_reason = 'credit_covered' and is_fixed"))
-    items = fixed_groups(rows).withColumns({"merchant_key": F.lower(F.substring("merchant", 1, 10)), "owner": owner})
-    cover = cover_by_text(items.select(F.col("owner").alias("user_id"), "merchant_key").distinct(), credit_map(scoped if credits_of == "month" else ledger))
+    items = grouped_spellings(dated.filter("raw is not null")).withColumns({"merchant_key": F.lower(F.substring("merchant", 1, 10)), "owner": owner})
+    credits = (dated if credits_of == "month" else sums).filter("credit_key is not null")
+    credits = credits.groupBy("user_id", "credit_key").agg(F.sum("credit").alias("credit"), F.min("first_seq").alias("first_seq"))
+    cover = cover_by_text(items.select(F.col("owner").alias("user_id"), "merchant_key").distinct(), credits)
     cover = cover.withColumnRenamed("user_id", "owner")
     items = items.join(cover, ["owner", "merchant_key"], "left").withColumn("covered", F.least(F.coalesce("credit", F.lit(0).cast("long")), F.col("total")))
     auto = items.select("user_id", "merchant", "total", "varies", "occurrences", F.lit(False).alias("manual"), "covered")

@@ -137,24 +137,46 @@ def fixed_or_variable(ledger: DataFrame, confirmed: DataFrame | None = None) ->
     )
 
 
+def spelling_sums() -> list[Column]:
+    return [*_moments(), F.max("seq").alias("seq")]
+
+
+def _merged_spellings(by_raw: DataFrame) -> DataFrame:
+    """Moments per user and dedup key with the shortest spelling (the latest among equals) from `spelling_sums` of finer groups."""
+    by_raw = by_raw.groupBy("user_id", "raw").agg(*_merged(), F.max("seq").alias("seq")).withColumn("dk", mt.dedup_key("raw"))
+    return by_raw.groupBy("user_id", "dk").agg(*_merged(), F.max_by("raw", F.struct(-F.length("raw"), F.col("seq"))).alias("raw"))
+
+
 def _by_dedup_key(rows: DataFrame) -> DataFrame:
     """Moments per user and dedup key with the shortest spelling (the latest among equals); input carries raw, spent, seq.
 
     Equal spellings combine first, so the key is worked out once per user and spelling.
     """
-    by_raw = rows.groupBy("user_id", "raw").agg(*_moments(), F.max("seq").alias("seq")).withColumn("dk", mt.dedup_key("raw"))
+    by_raw = rows.groupBy("user_id", "raw").agg(*spelling_sums()).withColumn("dk", mt.dedup_key("raw"))
     return by_raw.groupBy("user_id", "dk").agg(*_merged(), F.max_by("raw", F.struct(-F.length("raw"), F.col("seq"))).alias("raw"))
 
 
-def fixed_groups(rows: DataFrame) -> DataFrame:
-    """Fixed rows grouped by user and dedup key (cents)."""
-    raw = F.trim(F.coalesce(F.nullif(F.col("description"), F.lit("")), F.nullif(F.col("category"), F.lit("")), F.lit("Other")))
-    g = _by_dedup_key(rows.filter("is_fixed").withColumns({"raw": raw, "spent": F.abs(cents())}))
+def spelling() -> Column:
+    """What names a fixed item: its text, else its category."""
+    return F.trim(F.coalesce(F.nullif(F.col("description"), F.lit("")), F.nullif(F.col("category"), F.lit("")), F.lit("Other")))
+
+
+def _shown_groups(g: DataFrame) -> DataFrame:
     sd = sample_stddev(F.col("n"), F.col("total"), F.col("squares"))
     varies = (F.col("n") > 1) & (F.col("total") > 0) & (sd / (F.col("total") / F.col("n")) > 0.05)
     return g.select("user_id", "dk", mt.group_display_name("raw").alias("merchant"), "total", round_ratio("total", "n").alias("avg"), F.coalesce(varies, F.lit(False)).alias("varies"), F.col("n").alias("occurrences"))
 
 
+def fixed_groups(rows: DataFrame) -> DataFrame:
+    """Fixed rows grouped by user and dedup key (cents)."""
+    return _shown_groups(_by_dedup_key(rows.filter("is_fixed").withColumns({"raw": spelling(), "spent": F.abs(cents())})))
+
+
+def grouped_spellings(by_raw: DataFrame) -> DataFrame:
+    """`fixed_groups` from `spelling_sums` per user and spelling, or finer."""
+    return _shown_groups(_merged_spellings(by_raw))
+
+
 def fixed_summary(ledger: DataFrame) -> DataFrame:
     """Fixed expenses per merchant: period total, mean, whether the amount varies, occurrences."""
     g = fixed_groups(spend(ledger))

@@ -106,3 +106,22 @@ def test_a_sheet_row_is_read_once_for_its_values_and_the_filter(spark):
     assert [(str(r.transaction_date), r.description, r.amount) for r in parsed.collect()] == [("2020-01-02", "SHOP", Decimal("1.50"))]
     filters = [x for x in _plan(parsed).splitlines() if "Filter" in x]
     assert not any("regexp_replace" in x for x in filters)
+
+
+def test_fixed_items_and_credits_come_from_one_read(spark):
+    from pyspark.sql.functions import col
+
+    from tallybook.operators import credits
+
+    rows = [("u", "SHOP ONE", -500, "expense", None, True), ("u", "SHOP ONE", -500, "expense", "credit_covered", True), ("u", "Platinum credit - shop one", 300, "card_credit", None, False),
+            ("u", "Platinum credit - shop one", 200, "card_credit", "credit_covered", True), ("u", "", -100, "expense", None, True), ("v", "OTHER", -100, "expense", None, False), ("u", "NO CREDIT", 900, "card_credit", None, False)]
+    ledger = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "user_id string, description string, c int, transaction_type string, exclusion_reason string, is_fixed boolean, seq int")
+    ledger = ledger.select("*", (col("c") / 100).cast("decimal(18,2)").alias("amount"), F.when(col("seq") != 4, F.date_add(F.lit("2020-01-05").cast("date"), col("seq"))).alias("transaction_date"), F.lit("Food").alias("category"))
+    manual = spark.createDataFrame([("u", "Rent", 700), ("w", "Rent", 1)], "user_id string, name string, amount_cents long")
+    show = lambda df: sorted((r.user_id, r.merchant, float(r.amount), r.occurrences, float(r.credit_covered)) for r in df.collect())
+    once = credits.fixed_with_cover(ledger, manual)
+    assert show(once) == [("u", "Food", 1.0, 1, 0.0), ("u", "Platinum Credit Shop", 2.0, 1, 0.0), ("u", "Rent", 7.0, 1, 0.0), ("u", "Shop One", 10.0, 2, 5.0), ("w", "Rent", 0.01, 1, 0.0)]
+    monthly = credits.fixed_with_cover(ledger, manual, by_month=True, credits_of="month")
+    assert show(monthly) == [("u", "Platinum Credit Shop", 2.0, 1, 0.0), ("u", "Rent", 7.0, 1, 0.0), ("u", "Shop One", 10.0, 2, 5.0)]
+    # Items and credits come from what was written; the ledger itself is read again for the months of manual items only.
+    assert "card_credit" not in _plan(once) and "card_credit" not in _plan(monthly)
