@@ -16,6 +16,8 @@ from tallybook.sources.sinks import scratch_path
 BROADCAST_ROWS = 1_000_000
 #: A key with more than this part of all rows is a hot one; there are fewer of those than this number.
 HOT_KEYS = 1000
+#: Bytes that one Arrow batch aims at: a worker holds its texts several times over while it works on it.
+BATCH_BYTES = 4 << 20
 _SHIPPED: set[str] = set()
 
 
@@ -34,7 +36,7 @@ def ready(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(target)
         _SHIPPED.add(app)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 

@@ -10,12 +10,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words that a worker remembers (about 100 MB); beyond that it drops the latest quarter.
-REMEMBERED = 600_000
+#: Words that a worker remembers (about 70 MB); beyond that it drops the latest quarter.
+REMEMBERED = 400_000
 #: Of these it keeps so many when a task ends (a few tens of MB): the common ones, which come early.
 KEPT = 150_000
 #: Characters that one call of the tokenizer gets, a longer word excepted.
-CALL_CHARS = 200_000
+CALL_CHARS = 100_000
 
 
 class WordIds:
@@ -97,13 +97,12 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def batch_rows(texts: list, chars: int = 4_000_000):
-    """Slices of a batch that hold about so many characters each."""
+def batch_rows(texts: list, chars: int = 2_000_000):
+    """Slices of a batch that hold about so many characters each; behind each, Arrow gives back what memory it keeps unused."""
     at, held = 0, 0
     for i, t in enumerate(texts):
         held += len(t or "")
-        if held >= chars:
+        if held >= chars or i + 1 == len(texts):
             yield slice(at, i + 1)
             at, held = i + 1, 0
-    if at < len(texts):
-        yield slice(at, len(texts))
+            pa.default_memory_pool().release_unused()
