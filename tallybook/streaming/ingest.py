@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tallybook.columns import cents
-from tallybook.operators.dedup import DRIFT_DAYS, first_in_batch, first_of_each_id, new_by_similarity, trusted_id, with_fingerprint
+from tallybook.operators.dedup import DRIFT_DAYS, first_by_id, first_in_batch, new_by_similarity, trusted_id, with_fingerprint
 from tallybook.sources.versions import add_version, current_version
 
 #: Month folders, written so that no reader takes them for dates, and the folder of rows without a date.
@@ -28,13 +28,21 @@ def statement_stream(spark: SparkSession, path: str, schema, files_per_batch: in
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+def _short(rows: DataFrame) -> DataFrame:
+    """Fingerprints as 32 bytes instead of 64 digits, which no compression halves in a shuffle."""
+    return rows.withColumn("fingerprint", F.unhex("fingerprint"))
+
+
 def new_rows(rows: DataFrame, stored: list[DataFrame]) -> DataFrame:
-    """Rows of a batch (with fingerprints) that no stored ledger has by fingerprint or similarity, after the duplicates in the batch."""
+    """Rows of a batch that no stored ledger has by fingerprint or similarity, after the duplicates in the batch.
+
+    The batch has short fingerprints and one row per external id; a ledger's are digits.
+    """
     for ledger in stored:
-        past = ledger if "fingerprint" in ledger.columns else with_fingerprint(ledger)
+        past = _short(ledger if "fingerprint" in ledger.columns else with_fingerprint(ledger))
         rows = rows.join(past.select("user_id", "fingerprint").distinct(), ["user_id", "fingerprint"], "left_anti")
         rows = new_by_similarity(rows, past)
-    return first_in_batch(rows)
+    return first_in_batch(rows, ids_are_first=True)
 
 
 def start_ingest(stream: DataFrame, ledger_path: str, checkpoint: str, history: DataFrame | None = None) -> StreamingQuery:
@@ -49,18 +57,18 @@ def start_ingest(stream: DataFrame, ledger_path: str, checkpoint: str, history:
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = first_of_each_id(with_fingerprint(batch))
+        printed = with_fingerprint(batch)
         bucket = F.substring("fingerprint", 1, ID_DIGITS)
-        ids = rows.filter(trusted_id() != "").select("user_id", "fingerprint", bucket.alias("bucket"))
-        fresh, earlier = rows, [] if history is None else [history]
+        ids = _short(printed.filter(trusted_id() != "").select("user_id", "fingerprint", bucket.alias("bucket")))
+        fresh, earlier = first_by_id(_short(printed)), [] if history is None else [history]
         if batch_id > 0:
             buckets = [r[0] for r in ids.select("bucket").distinct().collect()]  # at most 16 ** ID_DIGITS
             known = _before(spark, ids_path, batch_id, ids.schema).filter(F.col("bucket").isin(buckets))
             fresh = fresh.join(known.select("user_id", "fingerprint").distinct(), ["user_id", "fingerprint"], "left_anti")
             months = batch.select(F.explode(F.array(*[F.date_format(F.date_add("transaction_date", d), MONTH) for d in (-DRIFT_DAYS, DRIFT_DAYS)])).alias("ym")).distinct()
-            stored = _before(spark, ledger_path, batch_id, rows.withColumn("ym", F.lit("")).schema)
+            stored = _before(spark, ledger_path, batch_id, printed.withColumn("ym", F.lit("")).schema)
             earlier.append(stored.join(months.union(_undated(spark)), "ym", "left_semi").drop("ym"))
-        fresh = new_rows(fresh, earlier).withColumn("ym", F.coalesce(F.date_format("transaction_date", MONTH), F.lit(UNDATED)))
+        fresh = new_rows(fresh, earlier).withColumn("fingerprint", F.lower(F.hex("fingerprint"))).withColumn("ym", F.coalesce(F.date_format("transaction_date", MONTH), F.lit(UNDATED)))
         fresh.write.mode("overwrite").partitionBy("ym").parquet(f"{ledger_path}/batch={batch_id}")
         ids.distinct().repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{ids_path}/batch={batch_id}")
 

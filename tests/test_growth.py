@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tallybook.columns import distinct_texts
 from tallybook.operators import classify, corrections, dedup
 from tallybook.sources import delimited, layout
+from tallybook.streaming import ingest
 from tallybook.workload import matching
 
 
@@ -125,3 +126,13 @@ def test_fixed_items_and_credits_come_from_one_read(spark):
     assert show(monthly) == [("u", "Platinum Credit Shop", 2.0, 1, 0.0), ("u", "Rent", 7.0, 1, 0.0), ("u", "Shop One", 10.0, 2, 5.0)]
     # Items and credits come from what was written; the ledger itself is read again for the months of manual items only.
     assert "card_credit" not in _plan(once) and "card_credit" not in _plan(monthly)
+
+
+def test_an_ingested_batch_moves_once_without_a_ledger(spark):
+    """Rows have one row per external id already, and are moved with short fingerprints; three moves of wide rows before."""
+    columns = "user_id string, account_name string, transaction_date date, amount decimal(18,2), description string, ext_id string, seq string, stem string, fingerprint binary"
+    rows = [("u", "a", dt.date(2024, 1, 1 + i % 9), Decimal(5), "Shop", f"EXT-{i}" if i % 3 == 0 else None, f"{i:03d}", "shop", bytes([i % 7] * 32)) for i in range(30)]
+    once = dedup.first_by_id(spark.createDataFrame(rows, columns))
+    assert sum(r.ext_id is not None for r in once.collect()) == 7 and once.filter("ext_id is null").count() == 20
+    left = ingest.new_rows(spark.createDataFrame(rows, columns), [])
+    assert left._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
