@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tallybook.columns import contains_any, first_match, staged
 from tallybook.functions import fixed_values as v
 from tallybook.functions import parsing as p
+from tallybook.sources.sinks import stored
 
 # Header words of each column role, in the order they are tried.
 ROLE_WORDS = [
@@ -57,15 +58,17 @@ def _cell(role: str) -> Column:
 def parse_delimited(lines: DataFrame, issuers: DataFrame | None = None, source: str = "csv") -> DataFrame:
     """Statement lines to raw rows; undated, blank, balance and zero rows are dropped.
 
-    `issuers` is (path, issuer); without it the file name and the lines up to the header decide.
+    `issuers` is (path, issuer); without it the file name and the lines up to the header decide. What is known of each file is
+    written first, so that Spark knows its size and moves it to the lines where it is small. Lines are read three times.
     """
-    h = headers(lines)
+    h = stored(headers(lines), "headers")
     if issuers is None:
         name = F.element_at(F.split("path", "/"), -1)
         above = lines.join(h.select("path", "header_no"), "path").filter(F.col("line_no") <= F.greatest("header_no", F.lit(ISSUER_LINES - 1)))
         top = above.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n").alias("head"))
         issuers = top.select("path", p.detect_issuer(name, "head", "head", whole=True).alias("issuer"))
-    rows = lines.join(h, "path").filter("line_no > header_no and trim(line) <> ''").join(issuers, "path")
+    files = stored(h.join(issuers, "path"), "delimited-files")
+    rows = lines.join(files, "path").filter("line_no > header_no and trim(line) <> ''")
     rows = staged(rows, cells=cells("line"))
     blank = lambda c: F.when(F.lower(F.trim(c)).isin("", "nan", "none"), None).otherwise(F.trim(c))
     split = F.exists("roles", lambda r: r.isin("debit", "credit"))

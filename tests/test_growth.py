@@ -136,3 +136,12 @@ def test_an_ingested_batch_moves_once_without_a_ledger(spark):
     assert sum(r.ext_id is not None for r in once.collect()) == 7 and once.filter("ext_id is null").count() == 20
     left = ingest.new_rows(spark.createDataFrame(rows, columns), [])
     assert left._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_delimited_lines_meet_what_is_known_of_their_file_once(spark):
+    """One join of the lines behind small stored tables; three joins of all lines before."""
+    text = ["Discover card", "Trans. Date,Description,Amount", '01/02/2024,"Shop, one",5.00', "01/03/2024,Cafe,-2.50"]
+    lines = spark.createDataFrame([("x.csv", i, line) for i, line in enumerate(text)], "path string, line_no int, line string")
+    rows = delimited.parse_delimited(lines)
+    assert _plan(rows).count("Join") == 1
+    assert sorted((r.bank_source, r.description, float(r.amount)) for r in rows.collect()) == [("Discover", "Cafe", 2.5), ("Discover", "Shop, one", -5.0)]
