@@ -10,8 +10,8 @@ is not empty; k leaves room for the expected number of empty parts, and a set wi
 again below each of them, so two such sets always meet in some key. Documents with a common key fall into one candidate
 block (connected components of star edges, never pairs). A block beyond the pool limit is taken apart by the prefix
 principle: counts of its shingles order every set from rare to frequent, and only documents that share one of their rarest
-n - ceil(t n) + 1 shingles stay together, so a passage that many documents share joins none of them. Blocks share pools; one
-that is still too large is cut into chunks of which every two meet in a cell of their own.
+n - ceil(t n) + 1 shingles stay together, so a passage that many documents share joins none of them. Small blocks share pools,
+larger ones have one each; one that is still too large is cut into chunks of which every two meet in a cell of their own.
 """
 
 from __future__ import annotations
@@ -33,10 +33,14 @@ from tallybook.llm.word_ids import batch_rows
 
 #: Shingles of one pool: what one search task holds.
 POOL_SHINGLES = 1_000_000
+#: A block of more than a pool's shingles through this number has a pool of its own: hashed among others, a few large ones could meet in one.
+SHARED_PART = 16
 #: Sizes of one band differ by this factor at most.
 BAND = 1.2
 #: Keys that one map task collects before it links and writes them.
 FLUSH_KEYS = 1_000_000
+#: Rows of one frame of keys that a task gives.
+FRAME_ROWS = 100_000
 #: Characters whose words and shingles a task holds at a time (one text at least).
 SLICE_CHARS = 1_000_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -147,11 +151,12 @@ def t_occurrence_links(sets: list[np.ndarray], num: int, den: int, chunk=None, c
     if chunk is not None:
         chunk = np.asarray(chunk)[order]
     flat = np.concatenate([sets[i] for i in order]) if len(order) else np.empty(0, np.uint64)
-    _, token = np.unique(flat, return_inverse=True)
+    # Tokens and places of a pool fit 32 bits; each array goes as soon as the next is made.
+    token = np.unique(flat, return_inverse=True)[1].astype(np.int32)
+    del flat
     length = np.bincount(token)
     start = np.r_[0, np.cumsum(length)]
-    by_token = np.argsort(token, kind="stable")
-    lists = np.repeat(np.arange(len(order)), size)[by_token]
+    lists = np.repeat(np.arange(len(order), dtype=np.int32), size)[np.argsort(token, kind="stable")]
     ends = np.cumsum(size)
     label = np.arange(len(order))
     members = {i: [i] for i in range(len(order))}
@@ -275,17 +280,23 @@ def _star(key, node):
     return first, node[np.flatnonzero(first)[np.cumsum(first) - 1]]
 
 
+def _frames(key, node, edge):
+    """Rows in frames of bounded size, as worker and JVM hold each frame whole."""
+    for at in range(0, len(key), FRAME_ROWS):
+        yield pd.DataFrame({"key": key[at : at + FRAME_ROWS], "node": node[at : at + FRAME_ROWS], "edge": edge})
+
+
 def _signatures(width, num, den):
     def write(keys, nodes):
         key, node = signed(np.concatenate(keys)), np.concatenate(nodes)
         order = np.lexsort((node, key))
         key, node = key[order], node[order]
         first, pivot = _star(key, node)
-        yield pd.DataFrame({"key": key[first], "node": node[first], "edge": False})
+        yield from _frames(key[first], node[first], False)
         more = node != pivot
         if more.any():
             pairs = np.unique(np.c_[node[more], pivot[more]], axis=0)
-            yield pd.DataFrame({"key": pairs[:, 0], "node": pairs[:, 1], "edge": True})
+            yield from _frames(pairs[:, 0], pairs[:, 1], True)
 
     def signatures(batches):
         keys, nodes, held = [], [], 0
@@ -380,6 +391,23 @@ def _taken_apart(docs, inside, width, num, den, pool_shingles):
     return inside, saved(inside.groupBy("block").agg(F.sum("n").alias("total")), "blocks")
 
 
+def _cells(inside, totals, pool_shingles):
+    """The sets of `inside` with the cell that searches them: a pool of small blocks, a block, or two chunks of a large one."""
+    alone = F.col("total") * SHARED_PART > pool_shingles
+    shared = totals.where(~alone).agg(F.sum("total")).first()[0] or 0
+    pools = -(-int(shared) * 2 // pool_shingles) or 1
+    inside = inside.join(totals, "block")
+    chunks = F.ceil(F.col("total") * 2 / F.lit(pool_shingles)).cast("int")
+    inside = inside.withColumn("chunks", F.when(F.col("total") <= pool_shingles, 1).otherwise(chunks))
+    inside = inside.withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
+    other = F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    cells = inside.withColumn("other", other)
+    pool = F.when(alone, F.concat(F.lit("block "), "block")).otherwise(F.concat(F.lit("pool "), F.pmod(F.xxhash64("block"), F.lit(pools))))
+    cell = F.when(F.col("other") < 0, pool).otherwise(F.concat_ws(" ", "block", F.least("chunk", "other"), F.greatest("chunk", "other")))
+    cells = cells.select("cid", "d1", "d2", "n_copies", "chunk", (F.col("other") >= 0).alias("has_chunks"), F.coalesce(F.col("other") != F.col("chunk"), F.lit(False)).alias("differs"), cell.alias("cell"))
+    return cells.withColumn("cross", F.col("has_chunks") & F.col("differs")).drop("has_chunks", "differs")
+
+
 def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, pool_shingles: int = POOL_SHINGLES) -> DataFrame:
     """Groups of documents joined by Jaccard >= num/den over sets of `width`-word shingles.
 
@@ -417,19 +445,7 @@ def _grouped(docs, width, num, den, pool_shingles, count):
     inside = saved(classes.join(blocks, "d1").select("cid", "d1", "d2", "rep", "n", "n_copies", "block"), "inside")
 
     inside, totals = _taken_apart(docs, inside, width, num, den, pool_shingles)
-    everything = totals.agg(F.sum("total")).first()[0] or 0
-    pools = -(-int(everything) * 2 // pool_shingles) or 1
-    inside = inside.join(totals, "block")
-    chunks = F.ceil(F.col("total") * 2 / F.lit(pool_shingles)).cast("int")
-    inside = inside.withColumn("chunks", F.when(F.col("total") <= pool_shingles, 1).otherwise(chunks))
-    inside = inside.withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
-    other = F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    cells = inside.withColumn("other", other)
-    cell = F.when(F.col("other") < 0, F.concat(F.lit("pool "), F.pmod(F.xxhash64("block"), F.lit(pools)))).otherwise(
-        F.concat_ws(" ", "block", F.least("chunk", "other"), F.greatest("chunk", "other")))
-    cells = cells.select("cid", "d1", "d2", "n_copies", "chunk", (F.col("other") >= 0).alias("has_chunks"), F.coalesce(F.col("other") != F.col("chunk"), F.lit(False)).alias("differs"), cell.alias("cell"))
-    cells = cells.withColumn("cross", F.col("has_chunks") & F.col("differs")).drop("has_chunks", "differs")
-
+    cells = _cells(inside, totals, pool_shingles)
     grams = _grams_of(docs, inside, width)
     links = saved(grams.join(cells, ["d1", "d2"]).groupBy("cell").applyInPandas(_search(num, den, count), "a long, b long, linked long"), "links")
     joined = components(links.select("a", "b"))

@@ -10,6 +10,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from tallybook.columns import distinct_texts
+from tallybook.llm import ngram_jaccard
 from tallybook.operators import classify, corrections, dedup
 from tallybook.sources import delimited, layout
 from tallybook.streaming import ingest
@@ -145,3 +146,15 @@ def test_delimited_lines_meet_what_is_known_of_their_file_once(spark):
     rows = delimited.parse_delimited(lines)
     assert _plan(rows).count("Join") == 1
     assert sorted((r.bank_source, r.description, float(r.amount)) for r in rows.collect()) == [("Discover", "Cafe", 2.5), ("Discover", "Shop, one", -5.0)]
+
+
+def test_search_pools_hold_no_more_than_their_limit(spark):
+    """Blocks near a pool's size are not hashed into one pool; 40 of them in 72 pools met before."""
+    inside = spark.range(400).selectExpr("id as cid", "id as d1", "id as d2", "1L as n_copies", "9 as n", "id % 40 as block")
+    small = spark.range(1000, 1040).selectExpr("id as cid", "id as d1", "id as d2", "1L as n_copies", "2 as n", "id as block")
+    inside = inside.union(small)
+    totals = inside.groupBy("block").agg(F.sum("n").alias("total"))
+    cells = ngram_jaccard._cells(inside, totals, 100)
+    loads = cells.join(inside.select("cid", "n"), "cid").groupBy("cell").agg(F.sum("n").alias("load")).collect()
+    assert max(r.load for r in loads) <= 100 and sum(r.load for r in loads) == 400 * 9 + 80
+    assert cells.filter("d1 >= 1000").select("cell").distinct().count() < 40
