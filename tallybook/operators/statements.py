@@ -61,7 +61,7 @@ def review_flags(rows: DataFrame, status: DataFrame) -> DataFrame:
 def outcomes(incoming: DataFrame, history: DataFrame) -> DataFrame:
     """`incoming` with what became of each row: pending, saved, or duplicate of the history or the upload (user_id and seq name a row)."""
     read = [c for c in incoming.columns if c in DEDUPE_COLUMNS]
-    kept = dedupe(incoming.select(*read), history).select("user_id", "seq").withColumn("_kept", F.lit(True))
+    kept = dedupe(incoming.select(*read), history, columns=["user_id", "seq"]).withColumn("_kept", F.lit(True))
     outcome = F.when(F.coalesce("is_pending", F.lit(False)), "pending").when(F.col("_kept"), "saved").otherwise("duplicate")
     return incoming.join(kept, ["user_id", "seq"], "left").withColumn("outcome", outcome).drop("_kept")
 

@@ -158,3 +158,59 @@ def test_search_pools_hold_no_more_than_their_limit(spark):
     loads = cells.join(inside.select("cid", "n"), "cid").groupBy("cell").agg(F.sum("n").alias("load")).collect()
     assert max(r.load for r in loads) <= 100 and sum(r.load for r in loads) == 400 * 9 + 80
     assert cells.filter("d1 >= 1000").select("cell").distinct().count() < 40
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def _uploads(spark, seed, n):
+    rnd = random.Random(seed)
+    make = lambda i: (
+        rnd.choice(["u", "u", "v", None]), rnd.choice(["a", "", None]), rnd.choice(["b", None]), dt.date(2024, 1, 1) + dt.timedelta(rnd.randrange(24)), rnd.choice([Decimal(-5), Decimal(-6), Decimal(0), None]),
+        rnd.choice(["Red Cup", " red cup", "POS PURCHASE RED CUP", "Blue Bowl", "", None]), rnd.choice([None, None, "", "12", "EXT-100", "EXT-200", "EXT-300"]), rnd.choice([False, False, False, True, None]), f"{seed}{i:05d}")
+    return spark.createDataFrame([make(i) for i in range(n)], "user_id string, account_name string, bank_source string, transaction_date date, amount decimal(18,2), description string, ext_id string, is_pending boolean, seq string")
+
+
+def test_an_upload_meets_the_history_in_one_move_of_its_rows(spark):
+    """Same rows as by a join for every check; whole rows were moved four times before, with 64 digits of a fingerprint each."""
+    new, old = _uploads(spark, 1, 500), _uploads(spark, 2, 60)
+    rows = dedup.new_by_external_id(dedup.with_fingerprint(new.filter("not coalesce(is_pending, false)")), old)
+    rows = rows.join(dedup.with_fingerprint(old).select("user_id", "fingerprint").distinct(), ["user_id", "fingerprint"], "left_anti")
+    want = sorted(r.seq for r in dedup.first_in_batch(dedup.new_by_similarity(rows, old)).collect())
+    got = dedup.dedupe(new, old, columns=["seq"])
+    assert sorted(r.seq for r in got.collect()) == want and 0 < len(want) < 400
+    full = dedup.dedupe(new, dedup.with_fingerprint(old))
+    assert sorted(r.seq for r in full.collect()) == want and {*new.columns, "stem", "fingerprint"} == {*full.columns}
+    assert "_print" in str(got._jdf.queryExecution().optimizedPlan()) and got.columns == ["seq"]
+    whole = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "MapInArrow" in line]
+    assert whole and not any(c in line for line in whole for c in ("fingerprint", "ext_id", "description"))
+
+
+def test_a_batch_moves_only_what_its_scan_compares(spark):
+    df = dedup.with_fingerprint(_uploads(spark, 3, 300))
+    slim = dedup.first_in_batch(df, columns=["seq", "is_pending"])
+    assert sorted(map(str, slim.collect())) == sorted(map(str, dedup.first_in_batch(df).select("seq", "is_pending").collect()))
+    scan = next(line for line in slim._jdf.queryExecution().executedPlan().toString().splitlines() if "MapInArrow" in line)
+    assert "fingerprint" not in scan and "description" not in scan
+
+
+def test_similarity_moves_the_history_once(spark):
+    """Its aggregate and the join agree on the keys; null-safe equality had the aggregate moved again."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert _exchanges(dedup.new_by_similarity(_uploads(spark, 1, 50), _uploads(spark, 2, 50))) == 2
+        fresh = dedup.new_by_fingerprint(dedup.with_fingerprint(_uploads(spark, 1, 50)), dedup.with_fingerprint(_uploads(spark, 2, 50)))
+        n = dedup.FINER * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        plan = fresh._jdf.queryExecution().executedPlan().toString()
+        assert [f", {n})" in line for line in plan.splitlines() if "hashpartitioning(user_id" in line and "_print" in line] == [True, True]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_the_history_beside_incoming_rows_has_the_rows_of_the_history(spark):
+    t = types.SimpleNamespace(spark=spark, ledger=_ledger(spark))
+    beside = matching.history_beside(t)
+    assert sorted(map(str, beside.collect())) == sorted(map(str, matching.history(t).select(*matching.HISTORY_COLUMNS).collect()))
+    # No filter of the history reaches below the ledger, so that its joins are the same.
+    assert "Filter" not in _plan(beside).split("Generate")[1]
