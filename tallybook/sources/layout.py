@@ -34,6 +34,8 @@ DISCOVER_SKIP = ["previous balance", "total fees for this period", "total intere
 DISCOVER_LABELS = ["services", "merchandise", "restaurants", "travel", "automotive", "cashback bonus", "% cashback"]
 DISCOVER_CUTS = [r"\s+[A-Z]{2}$", r"\s+\d{3}-\d{3}-\d{4}.*$", r"\s+\d{6,}.*$", r"\s+\d{3,}\s*[A-Z]{2}$", r"\s+\+\$[\d.]+$"]
 SHIFT = 29
+#: How many times as many partitions as other moves that of the words of pages has, whose windows sort them whole: nothing is spilled.
+FINER = 4
 
 
 def _from_second(words):
@@ -63,10 +65,14 @@ def carry_forward(df: DataFrame, doc: Sequence[str], page: str, order: Sequence[
     return joined.withColumn(out, F.coalesce("_here", "_above")).drop("_here", "_above")
 
 
+def _text_of(words: Column | str) -> Column:
+    return F.array_join(F.transform(words, lambda w: w["text"]), " ")
+
+
 def _row_text(words: DataFrame, keys: Sequence[str]) -> DataFrame:
     items = F.array_sort(F.collect_list(F.struct("x0", "text")))
     rows = words.groupBy(*keys).agg(items.alias("words"))
-    return rows.withColumn("text", F.array_join(F.transform("words", lambda w: w["text"]), " "))
+    return rows.withColumn("text", _text_of("words"))
 
 
 def rows_by_bucket(words: DataFrame, height: int) -> DataFrame:
@@ -83,7 +89,8 @@ def rows_by_anchor(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
     """
     top, page = F.col("top"), Window.partitionBy("doc_id", "page")
     up = page.orderBy("top")
-    w = words.filter("doc_id is not null and page is not null and top is not null").withColumn("_before", F.lag("top").over(up))
+    tasks = FINER * int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    w = words.filter("doc_id is not null and page is not null and top is not null").repartition(tasks, "doc_id", "page").withColumn("_before", F.lag("top").over(up))
     opens = F.col("_before").isNull() | ((top != F.col("_before")) & (top - F.col("_before") > tolerance))
     w = w.withColumn("_run", F.max(F.when(opens, top)).over(up))
     w = w.withColumn("_far", F.collect_set(F.when(top - F.col("_run") > tolerance, top)).over(page))
@@ -253,11 +260,14 @@ def parse_macys(lines: DataFrame) -> DataFrame:
 def parse_discover(words: DataFrame) -> DataFrame:
     """Font-shifted words; the description drops amounts, category labels and trailing noise."""
     w = words.withColumn("text", decode_shifted("text"))
-    rows = rows_by_bucket(w, 5)
     close = r"OPEN TO CLOSE DATE\s*\d{2}/\d{2}/\d{4}\s*-\s*(\d{2})/\d{2}/(\d{4})"
+    dated = lambda text: text.rlike(r"^\d{2}/\d{2}(\s|$)") & ~contains_any(F.lower(text), DISCOVER_SKIP)
+    # Written, as the statement's dates and its lines are both read from them.
+    rows = rows_by_bucket(w, 5).select("doc_id", "page", "row", "text")
+    rows = stored(rows.filter(F.col("text").rlike(close) | dated(join_split_amounts("text"))), "statement-rows")
     first = rows.filter(F.col("text").rlike(close)).groupBy("doc_id").agg(F.min(F.struct("page", "row", "text")).alias("f"))
     y = first.select("doc_id", F.regexp_extract("f.text", close, 1).cast("int").alias("stmt_month"), F.regexp_extract("f.text", close, 2).cast("int").alias("stmt_year"))
-    rows = rows.withColumn("text", join_split_amounts("text")).filter(F.col("text").rlike(r"^\d{2}/\d{2}(\s|$)") & ~contains_any(F.lower("text"), DISCOVER_SKIP)).join(y, "doc_id", "left")
+    rows = rows.withColumn("text", join_split_amounts("text")).filter(dated(F.col("text"))).join(stored(y, "statement-dates"), "doc_id", "left")
     parts = _from_second(F.split("text", r"\s+"))
     money = r"^-?\$[\d,]+\.\d{2}$"
     amt = _amount(F.try_element_at(F.filter(parts, lambda x: x.rlike(money)), F.lit(-1)))
@@ -306,8 +316,9 @@ def parse_bofa(words: DataFrame) -> DataFrame:
 @template
 def parse_wells_bank(words: DataFrame) -> DataFrame:
     """Checking pages: the rightmost amount is the balance, the one before it the movement; its position tells the side."""
-    rows = rows_by_bucket(words, 4)
-    years = statement_years(rows.withColumnRenamed("row", "line_no"))
+    # Written, as the years and the lines are all read from them; what is small then is not met by moving every line.
+    rows = stored(rows_by_bucket(words, 4).drop("text"), "statement-rows").withColumn("text", _text_of("words"))
+    years = stored(statement_years(rows.withColumnRenamed("row", "line_no")), "statement-years")
     first = F.get("words", F.lit(0))["text"]
     rows = rows.filter(first.rlike(r"^\d{1,2}/\d{1,2}$") & ~contains_any(F.lower("text"), WELLS_BANK_SKIP)).join(years, "doc_id", "left")
     rest = _from_second(F.col("words"))

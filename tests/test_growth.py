@@ -214,3 +214,26 @@ def test_the_history_beside_incoming_rows_has_the_rows_of_the_history(spark):
     assert sorted(map(str, beside.collect())) == sorted(map(str, matching.history(t).select(*matching.HISTORY_COLUMNS).collect()))
     # No filter of the history reaches below the ledger, so that its joins are the same.
     assert "Filter" not in _plan(beside).split("Generate")[1]
+
+
+def test_rows_of_a_statement_are_made_once(spark):
+    """Years and lines come from rows that were written; the words met in rows two and three times before."""
+    words = [("a", 1, 4.0, 60.0 + 15 * i, w) for i, w in enumerate("Statement March 2012".split())] + [("a", 1, 20.0, 30.0 + 100 * i, w) for i, w in enumerate(["3/5", "Coffee", "4.50", "100.00"])]
+    words += [("b", 1, 20.0, 30.0 + 100 * i, w) for i, w in enumerate(["3/6", "Bakery", "2.50", "90.00"])] + [("b", 2, 40.0, 10.0, "2013"), (None, 1, 20.0, 30.0, "3/7")]
+    given = spark.createDataFrame(words, "doc_id string, page int, top double, x0 double, text string")
+    rows = layout.parse_wells_bank(given)
+    assert sorted((r.doc_id, str(r.transaction_date), r.description, r.amount) for r in rows.collect()) == [("a", "2012-03-05", "Coffee", Decimal("4.50")), ("b", "2013-03-06", "Bakery", Decimal("2.50"))]
+    assert "collect_list" not in _plan(rows)
+    lines = [("a", 1, 5.0 + 0.1 * i, 60.0 + 15 * i, w) for i, w in enumerate("OPEN TO CLOSE DATE 01/06/2012 - 02/05/2012".split())] + [("a", 1, 20.0, 30.0 + 100 * i, w) for i, w in enumerate(["01/20", "Coffee", "$4", ".50"])]
+    shifted = spark.createDataFrame(lines, given.schema).withColumn("text", F.translate("text", "".join(chr(i + layout.SHIFT) for i in range(1, 127)), "".join(chr(i) for i in range(1, 127))))
+    rows = layout.parse_discover(shifted)
+    assert [(str(r.transaction_date), r.description, r.amount) for r in rows.collect()] == [("2012-01-20", "Coffee", Decimal("-4.50"))]
+    assert "collect_list" not in _plan(rows)
+
+
+def test_words_of_pages_are_sorted_in_small_tasks(spark):
+    words = spark.createDataFrame([("a", 1, 4.0, 60.0, "x"), ("a", 1, 5.0, 70.0, "y"), ("a", 2, 4.0, 60.0, "z")], "doc_id string, page int, top double, x0 double, text string")
+    rows = layout.rows_by_anchor(words)
+    assert sorted(r.text for r in rows.collect()) == ["x y", "z"]
+    moves = [line for line in rows._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning(doc_id" in line]
+    assert moves and all(f", {layout.FINER * int(spark.conf.get('spark.sql.shuffle.partitions'))})" in line for line in moves)
